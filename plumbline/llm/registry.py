@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality
+from plumbline.llm import bpe, packing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +20,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sha256(column: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+
+
+def _round_trip(model: bpe.WordBpe, ids, offsets) -> dict[str, pa.Array]:
+    data = ids.astype("<u4").tobytes()
+    cuts = (offsets * 4).tolist()
+    return {
+        "n_tokens": pa.array(offsets[1:] - offsets[:-1]),
+        "ids_sha256": pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()),
+        "decoded_sha256": _sha256(model.decode(ids, offsets)),
+    }
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode(_table(spark, sf_dir, "documents"), path, finish=_round_trip, finish_ddl=ddl)
+
+
+def _crc32(pieces: list) -> dict[str, pa.Array]:
+    return {"ids_crc32": pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in pieces], pa.int64())}
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), path, summary=_crc32, summary_ddl="ids_crc32 long")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    index = token_files.write_files(_table(spark, sf_dir, "documents"), path)
+    counts = token_files.count(index)
+    return index.join(counts, ["file", "number"]).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op5_bpe_round_trip, op6_packing, op8_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
