@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, packing, quality, token_files, toxicity
+from plumbline.llm import bpe, near_dup, packing, quality, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(_table(spark, sf_dir, "documents"))
+
+
 def _sha256(column: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
 
@@ -68,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op5_bpe_round_trip, op6_packing, op8_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op4_near_dup, op5_bpe_round_trip, op6_packing, op8_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
