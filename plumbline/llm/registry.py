@@ -6,12 +6,13 @@ import hashlib
 import zlib
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, near_dup, packing, quality, token_files, toxicity
+from plumbline.llm import bpe, near_dup, packing, quality, repeats, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path, summary=_crc32, summary_ddl="ids_crc32 long")
 
 
+@F.pandas_udf("string")
+def _words_sha256(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: hashlib.sha256(" ".join(repeats.WORD.findall(t or "")).encode()).hexdigest())
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", _words_sha256("text").alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     index = token_files.write_files(_table(spark, sf_dir, "documents"), path)
@@ -72,7 +83,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op4_near_dup, op5_bpe_round_trip, op6_packing, op8_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
