@@ -61,14 +61,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path, summary=_crc32, summary_ddl="ids_crc32 long")
 
 
-@F.pandas_udf("string")
 def _words_sha256(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hashlib.sha256(" ".join(repeats.WORD.findall(t or "")).encode()).hexdigest())
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove(_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", _words_sha256("text").alias("kept_sha256"))
+    digest = F.pandas_udf(_words_sha256, "string")
+    return kept.select("doc_id", "n_words", "n_removed", digest("text").alias("kept_sha256"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
