@@ -68,7 +68,7 @@ def count(files: DataFrame, end_id: int = 50256, width: int = 2, block_bytes: in
                 size = fs.FileSystem.from_uri(folder)[0].get_file_info(file).size
                 at = np.arange(0, size, block_bytes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([folder] * len(at)), pa.array([file] * len(at)), pa.array(np.arange(len(at))), pa.array(at), pa.array(np.minimum(block_bytes, size - at))],
+                    [pa.array([folder] * len(at), pa.string()), pa.array([file] * len(at), pa.string()), pa.array(np.arange(len(at))), pa.array(at), pa.array(np.minimum(block_bytes, size - at))],
                     names=["folder", "file", "block", "at", "size"],
                 )
 
