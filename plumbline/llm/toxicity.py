@@ -5,8 +5,7 @@ if their word or one of its prefixes occurs in toxic documents far more often
 than chance allows; all other tokens carry 0. A two-label chain is trained on
 them (emissions by word and prefix, transitions, start). Forward-backward gives
 each token's marginal; a document's score is a logistic function of its largest
-marginal and of their sum, fitted on labelled documents that the chain did not
-see. Offending offsets are runs of tokens whose marginal is at least 0.5.
+marginal and of their sum, fitted on the same labelled documents. Offending offsets are runs of tokens whose marginal is at least 0.5.
 
 The training rows are a bounded sample: `Limits.documents` labelled rows, in the
 order of a hash of their id. Every document is scored over its whole text.
