@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from plumbline.llm import near_dup, packing, quality, repeats, toxicity, workspace
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the repetition rules reject go."""
+    return quality.keep_rows(docs)
+
+
+def toxic_spans(spark, docs, sf_dir):
+    """Documents with a toxicity score of 0.7 or more go; learnt from the labels that may train."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_rows(docs, model)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays."""
+    return near_dup.keep_rows(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Words in windows that an earlier document has too are cut out."""
+    cut = repeats.remove(docs).select(*docs.columns)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+def packed_sequences(spark, docs, sf_dir):
+    """Pieces of at most 2048 tokens, with their place in the training sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_spans),
+    ("near_dup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("packing", packed_sequences),
+]
+#: Scores of a trained model are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over the whole of `documents`; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = workspace.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

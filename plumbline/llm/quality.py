@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import textkit as tk
 
@@ -85,23 +86,41 @@ def _measure(s: tk.Slice, rules: Rules) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, the counts, the shares, `base_failed`, and `kept`."""
+def _verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
+    """Adds `base_failed` and `kept`."""
+    base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+    verdict = (F.col("dup_line_share") <= rules.line_share) & (F.col("n_symbols") <= rules.symbols_per_word * F.col("n_words"))
+    for n, most in rules.ngram_share.items():
+        verdict &= F.col(f"dup_{n}gram_share") <= most
+    return measured.withColumn("base_failed", base).withColumn("kept", ~base & verdict)
+
+
+def _measured(docs: DataFrame, rules: Rules, text_col: str) -> DataFrame:
+    """Rows (row, counts and shares): row is a struct of the input's columns."""
     shares = ["dup_line_share", *(f"dup_{n}gram_share" for n in rules.ngram_share)]
-    schema = pa.schema([("id", pa.int64())] + [(c, pa.int64()) for c in COUNTS] + [(c, pa.float64()) for c in shares])
+    names = COUNTS + shares
 
     def run(batches):
         for batch in batches:
-            for s in tk.slices(batch.column(1)):
+            row = batch.column(0)
+            for s in tk.slices(row.field(text_col).cast(pa.string())):
                 got = _measure(s, rules)
-                ids = batch.column(0).slice(s.first, s.rows)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(got[c]) for c in COUNTS + shares)], schema=schema)
+                columns = [row.slice(s.first, s.rows), *(pa.array(got[c], pa.int64()) for c in COUNTS), *(pa.array(got[c], pa.float64()) for c in shares)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", *names])
 
-    ddl = "id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in shares)
-    got = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
-    base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    verdict = (F.col("dup_line_share") <= rules.line_share) & (F.col("n_symbols") <= rules.symbols_per_word * F.col("n_words"))
-    for n, most in rules.ngram_share.items():
-        verdict &= F.col(f"dup_{n}gram_share") <= most
-    got = got.withColumn("base_failed", base).withColumn("kept", ~base & verdict)
-    return got.withColumnRenamed("id", id_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = T.StructType(rows.schema.fields + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in shares])
+    return rows.mapInArrow(run, schema)
+
+
+def measure(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id, the counts, the shares, `base_failed`, and `kept`."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    got = _verdicts(_measured(slim, rules, "text"), rules)
+    return got.select(F.col("row.id").alias(id_col), *(c for c in got.columns if c != "row"))
+
+
+def keep_rows(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns, in one pass."""
+    got = _verdicts(_measured(docs, rules, text_col), rules).filter("kept")
+    return got.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, near_dup, packing, quality, repeats, token_files, toxicity
+from plumbline.llm import bpe, cover_tree, html_text, near_dup, packing, quality, repeats, token_files, toxicity, zip_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = zip_warc.read(zip_warc.write(_table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").filter(cover_tree.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", cover_tree.quantised(F.col("embedding")).alias("embedding"))
+    return cover_tree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(_table(spark, sf_dir, "documents"))
 
@@ -78,13 +89,36 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(counts, ["file", "number"]).select(F.col("id").alias("doc_id"), "n_tokens")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+#: Exact inner products of the quantised vectors, and the payloads' digests, are plain SQL.
+SQL = {
+    "op2_zip_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f""",
+    "op3_top_k_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op10_quality_rules)}
+    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules)
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

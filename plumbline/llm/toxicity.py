@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from plumbline.llm import textkit as tk
 
@@ -275,29 +276,48 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
     return train(rows["text"].tolist(), rows["toxic"].to_numpy() > 0, limits)
 
 
-def tag(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score, predicted, and spans of (start, end, marginal) in characters."""
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
+SPANS_DDL = "array<struct<start:int,end:int,marginal:double>>"
+
+
+def _spans(s: tk.Slice, t: Tokens, p: np.ndarray) -> pa.Array:
+    """Runs of tokens whose marginal is at least 0.5, in characters of their rows."""
+    spans: list[list[dict]] = [[] for _ in range(s.rows)]
+    hot = np.flatnonzero(p >= 0.5)
+    if len(hot):
+        chars = tk.prefix((s.data & 0xC0) != 0x80)
+        breaks = np.flatnonzero((np.diff(hot) > 1) | (np.diff(t.row[hot]) > 0)) + 1
+        for run in np.split(hot, breaks):
+            r = t.row[run[0]]
+            base = chars[s.offsets[r]]
+            spans[r].append({"start": chars[t.start[run[0]]] - base, "end": chars[t.end[run[-1]]] - base, "marginal": float(p[run].max())})
+    return pa.array(spans, SPANS)
+
+
+def _tagged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """Rows (row, score, spans): row is a struct of the input's columns."""
 
     def run(batches):
         for batch in batches:
-            for s in tk.slices(batch.column(1)):
+            row = batch.column(0)
+            for s in tk.slices(row.field(text_col).cast(pa.string())):
                 t = tokens_of(s)
                 largest, total, p = _apply(model, t)
-                spans: list[list[dict]] = [[] for _ in range(s.rows)]
-                hot = np.flatnonzero(p >= 0.5)
-                if len(hot):
-                    chars = tk.prefix((s.data & 0xC0) != 0x80)
-                    first = np.ones(len(hot), bool)
-                    first[1:] = (np.diff(hot) > 1) | (np.diff(t.row[hot]) > 0)
-                    for run_ in np.split(hot, np.flatnonzero(first)[1:]):
-                        r = t.row[run_[0]]
-                        base = chars[s.offsets[r]]
-                        spans[r].append({"start": chars[t.start[run_[0]]] - base, "end": chars[t.end[run_[-1]]] - base, "marginal": float(p[run_].max())})
-                ids = batch.column(0).slice(s.first, s.rows)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(model.score(largest, total)), pa.array(spans, span)], names=["id", "score", "spans"])
-
-    ddl = "id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
-    got = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
-    got = got.select("id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
-    return got.withColumnRenamed("id", id_col)
+                columns = [row.slice(s.first, s.rows), pa.array(model.score(largest, total)), _spans(s, t, p)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "spans"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.mapInArrow(run, StructType(rows.schema.fields + DataType.fromDDL(f"score double, spans {SPANS_DDL}").fields))
+
+
+def tag(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, score, predicted, and spans of (start, end, marginal) in characters."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return _tagged(slim, model, "text").select(F.col("row.id").alias(id_col), "score", predicted, "spans")
+
+
+def keep_rows(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows that score below the threshold, with all their columns, in one pass."""
+    got = _tagged(docs, model, text_col).filter(F.col("score") < threshold)
+    return got.select(*(F.col("row")[c].alias(c) for c in docs.columns))
