@@ -174,6 +174,7 @@ class Search:
     def leaf(self, node: int, frontier: np.ndarray) -> None:
         """Best bound first: the best leaf fills the scores, then ever fewer nodes are left."""
         bound = self.bounds(node, frontier)
+        many = 2
         while len(frontier):
             worst = self.worst(node)
             keep_ = bound >= worst
@@ -189,7 +190,7 @@ class Search:
                 bound = np.concatenate([bound[rest], self.bounds(node, down)])
                 leaves = np.flatnonzero(self.x.child_n[frontier] == 0)
                 if len(leaves):
-                    top = leaves[np.argsort(-bound[leaves], kind="stable")[:8]]
+                    top = leaves[np.argsort(-bound[leaves], kind="stable")[:many]]
                     self.compare(node, frontier[top])
                     rest = np.ones(len(frontier), bool)
                     rest[top] = False
@@ -197,7 +198,8 @@ class Search:
                 continue
             leaves = np.flatnonzero(~inner)
             if len(leaves):
-                top = leaves[np.argsort(-bound[leaves], kind="stable")[:64]]
+                many = min(2 * many, 64)
+                top = leaves[np.argsort(-bound[leaves], kind="stable")[:many]]
                 self.compare(node, frontier[top])
                 rest = np.ones(len(frontier), bool)
                 rest[top] = False

@@ -56,7 +56,8 @@ IMPLIED = {
 P_SCOPE = frozenset("table td th caption button object template html".split())
 # -- end of fixed values -----------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(/?)>|<[!?/][^>]*(?:>|\Z)", re.S)
+# a tag ends at the first > outside quoted values
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]{0,65536}\"|=\s*+'[^']{0,65536}'|[^>=]++|=)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\r\n\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -153,9 +154,9 @@ class TreeBuilder:
             self.push(node)
 
     def push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
         if len(self.open) > MAX_DEPTH:
             self.open.pop()
+        self.open[-1].children.append(node)
         self.open.append(node)
 
     def end(self, tag: str) -> None:
