@@ -1 +1 @@
-
+"""Column functions and small numerical helpers."""

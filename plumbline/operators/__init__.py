@@ -1 +1 @@
-
+"""Stability operators: each takes and gives DataFrames."""
