@@ -30,15 +30,20 @@ def metric_category(name: str) -> str:
     return "target_dependent" if low in TARGET_DEPENDENT_METRICS else "unknown"
 
 
-def to_long(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
-    """Rows (feature, x, y) of complete pairs: NaN and null are left out per feature."""
+def to_long_with(df: DataFrame, features: list[str], target: str | None, carried: list[str]) -> DataFrame:
+    """Rows (carried..., feature, x, y) of complete pairs: NaN and null are left out per feature."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), clean(f).alias("x")) for f in features)))
     y = clean(target).cast("int") if target else F.lit(None).cast("int")
-    rows = df.select(pairs.alias("p"), y.alias("y")).select("p.feature", "p.x", "y")
+    rows = df.select(*carried, pairs.alias("p"), y.alias("y")).select(*carried, "p.feature", "p.x", "y")
     keep = F.col("x").isNotNull()
     return rows.filter(keep & F.col("y").isNotNull() if target else keep)
 
 
+def to_long(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
+    """Rows (feature, x, y) of complete pairs."""
+    return to_long_with(df, features, target, [])
+
+
 def severity(minority: Column) -> Column:
     out = F.lit("none")
     for most, name, _ in reversed(IMBALANCE):

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans import marginal_queries
+from plumbline.plans.registry import QUERIES, SQL, Query, rounded
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """The stability panel of lineitem."""
+    return rounded(marginal_queries.panel_summary(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")).drop("run_timestamp"))
