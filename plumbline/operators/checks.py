@@ -126,13 +126,13 @@ def snapshot(df: DataFrame, features: list[str] | None = None, target: str | Non
 
 
 def null_shares(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (column, null_share), NaN counted as null."""
+    """Rows (name, null_share), NaN counted as null."""
     shares = df.agg(*(F.avg(clean(c).isNull().cast("double")).alias(c) for c in columns))
-    return shares.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("null_share")) for c in columns))).alias("p")).select("p.*")
+    return shares.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("null_share")) for c in columns))).alias("p")).select("p.*")
 
 
 def drop_sparse(df: DataFrame, columns: list[str], most: float = 0.5) -> DataFrame:
-    shares = {r["column"]: r["null_share"] or 0.0 for r in null_shares(df, columns).collect()}  # one row for each column
+    shares = {r["name"]: r["null_share"] or 0.0 for r in null_shares(df, columns).collect()}  # one row for each column
     return df.drop(*(c for c, s in shares.items() if s > most))
 
 

@@ -20,13 +20,13 @@ def ranking_metrics(df: DataFrame, by: list[str], label: str, score: str) -> Dat
     upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     c = counts.withColumns({"cp": F.sum("p").over(upto), "cn": F.sum("n").over(upto)})
     whole = Window.partitionBy(*by)
-    c = c.withColumns({"P": F.sum("p").over(whole), "N": F.sum("n").over(whole)})
+    c = c.withColumns({"all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
     u = F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2.0))
-    gap = F.max(F.abs(F.try_divide(F.col("cp"), F.col("P")) - F.try_divide(F.col("cn"), F.col("N"))))
+    gap = F.max(F.abs(F.try_divide(F.col("cp"), F.col("all_p")) - F.try_divide(F.col("cn"), F.col("all_n"))))
     square = F.sum(F.col("p") * F.pow(1 - F.col(score), 2) + F.col("n") * F.pow(F.col(score), 2))
-    both = (F.max("P") > 0) & (F.max("N") > 0)
+    both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
     agg = c.groupBy(*by) if by else c
-    got = agg.agg(F.when(both, u / (F.max("P") * F.max("N")).cast("double")).otherwise(F.lit(0.5)).alias("auc"), F.when(both, gap).otherwise(F.lit(0.0)).alias("ks"), (square / (F.max("P") + F.max("N"))).alias("brier"))
+    got = agg.agg(F.when(both, u / (F.max("all_p") * F.max("all_n")).cast("double")).otherwise(F.lit(0.5)).alias("auc"), F.when(both, gap).otherwise(F.lit(0.0)).alias("ks"), (square / (F.max("all_p") + F.max("all_n"))).alias("brier"))
     return got.withColumn("gini", 2 * F.col("auc") - 1)
 
 

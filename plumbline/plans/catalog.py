@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import marginal_queries
+from plumbline.plans import attribution_queries, feature_queries, marginal_queries  # noqa: F401
 from plumbline.plans.registry import QUERIES, SQL, Query, rounded
 
 

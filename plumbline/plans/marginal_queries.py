@@ -69,9 +69,9 @@ def _(read):
     return checks.to_long(joined, ["quality"], "toxic").groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.sum("y").alias("events"))
 
 
-@query("null_shares", "column ~null_share", """
+@query("null_shares", "name ~null_share", """
     WITH j AS (SELECT l.toxic, l.quality, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id))
-    SELECT 'toxic' AS "column", avg((toxic IS NULL)::INT) AS null_share FROM j UNION ALL SELECT 'quality', avg((quality IS NULL)::INT) FROM j UNION ALL SELECT 'n_chars', avg((n_chars IS NULL)::INT) FROM j""")
+    SELECT 'toxic' AS name, avg((toxic IS NULL)::INT) AS null_share FROM j UNION ALL SELECT 'quality', avg((quality IS NULL)::INT) FROM j UNION ALL SELECT 'n_chars', avg((n_chars IS NULL)::INT) FROM j""")
 def _(read):
     return checks.null_shares(read("documents").drop("quality").join(read("labels"), "doc_id", "left"), ["toxic", "quality", "n_chars"])
 
