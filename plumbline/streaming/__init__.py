@@ -1 +1 @@
-
+"""Empty on purpose: the operators to match have no streams, windows in time or late data."""
