@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import clean
+from plumbline.functions.numeric import clean, clip
 
 # -- fixed values: grades -----------------------------------------------------------------
 GRADES = ((0.8, "A"), (0.6, "B"), (0.4, "C"), (0.2, "D"))
@@ -51,7 +51,7 @@ INPUTS = ("complexity_score", "importance_score", "coverage_ratio", "cross_seed_
 
 def bounded(c: Column, low: float, high: float, invert: bool = False) -> Column:
     """The value's place between fixed bounds, held to [0, 1]; null gives one half."""
-    place = F.least(F.greatest((clean(c) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    place = clip((clean(c) - low) / (high - low), 0, 1)
     return F.coalesce(1 - place if invert else place, F.lit(0.5))
 
 
@@ -97,7 +97,7 @@ def grade(c: Column, grades=GRADES) -> Column:
 
 def simple_score(importance: Column, complexity: Column) -> Column:
     """Importance, lowered by a complexity between -300 and 200."""
-    return importance * (1 - F.least(F.greatest((complexity + 300) / 500.0, F.lit(0.0)), F.lit(1.0)))
+    return importance * (1 - clip((complexity + 300) / 500.0, 0, 1))
 
 
 class ReliabilityScorer:

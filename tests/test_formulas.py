@@ -242,6 +242,6 @@ def test_conversions(spark, tmp_path):
     assert [r["n"] for r in df.select(tables.number_of("c").alias("n")).collect()] == [None, 1.5, 7.0, None, None]
     tables.write_json({"a": np.float64("nan"), "b": np.arange(2), "c": {1: np.int64(3)}}, f"{tmp_path}/x.json")
     assert (tmp_path / "x.json").read_text().split() == ["{", '"a":', "null,", '"b":', "[", "0,", "1", "],", '"c":', "{", '"1":', "3", "}", "}"]
-    tables.write_csv(df, f"{tmp_path}/out", single=True)
+    tables.write_csv(df.withColumn("k", F.lit(1)), f"{tmp_path}/out", single=True)
     assert tables.read_csv(spark, f"{tmp_path}/out", ["c"]).count() == 5
     assert tables.read_csv_if_there(spark, f"{tmp_path}/none.csv") is None
