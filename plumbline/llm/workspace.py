@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_DIR = "/tmp/plumbline-checkpoints"
@@ -28,6 +29,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of ids that `split_near` broadcasts at most.
+BUCKETS = 1 << 20
+
+
+def split_near(df: DataFrame, ids: DataFrame, column: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the ids, and rows that have none: a join need shuffle the first alone.
+
+    Ids are known by one of BUCKETS hash buckets, so what is broadcast is bounded
+    whatever their number; a null id has none.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    taken = F.broadcast(ids.select(bucket("id").alias("_taken")).distinct())
+    marked = F.col("_bucket") == F.col("_taken")
+    rows = df.withColumn("_bucket", F.when(F.col(column).isNotNull(), bucket(column)))
+    return rows.join(taken, marked, "left_semi").drop("_bucket"), rows.join(taken, marked, "left_anti").drop("_bucket")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of jobs that ended: they go
     when the driver's references to them are collected."""
