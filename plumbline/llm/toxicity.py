@@ -38,7 +38,7 @@ _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 class Limits:
     """Bounds of training: labelled documents, words of evidence, windows of tokens."""
 
-    documents: int = 4_000
+    documents: int = 3_000
     keys: int = 4_000
     windows: int = 12_000
     window: int = 64
