@@ -7,9 +7,10 @@ document with a smaller id are removed.
    two documents share mark the windows that can recur.
 2. Confirm: the windows so marked are hashed whole; of those in two documents or
    more, the smallest id is the owner. Runs of owned windows are the passages.
-3. Compile: passages are dealt into shards of bounded size. A shard's automaton
-   (Aho-Corasick) holds a phrase of every STRIDE words of its passages, so each
-   recurring window contains one whole phrase.
+3. Compile: passages are dealt into shards of bounded size. Owners that repeat passages
+   of one smaller owner form its family, and a family shares a shard, or as many as
+   its size needs. A shard's automaton (Aho-Corasick) holds a phrase of every STRIDE
+   words of its passages, so each recurring window contains one whole phrase.
 4. Stream: the texts that share a window with a shard's owners pass through its
    automaton, in chunks of bounded size; each hit is compared word by word and
    extended, and runs of at least WINDOW words are spans to remove. Texts without
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
-from plumbline.llm.workspace import keep, release
+from plumbline.llm.workspace import keep, release, split_near
 
 WINDOW = 50
 PHRASE = 8
@@ -187,32 +188,43 @@ def _stream(passages: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
 
 
+def _homes(passages: DataFrame, routes: DataFrame) -> DataFrame:
+    """(owner, shard): small families share shards, large ones are spread over several."""
+    sizes = passages.groupBy("owner").agg(F.sum(F.octet_length("passage")).alias("bytes"))
+    root = routes.groupBy(F.col("id").alias("owner")).agg(F.min("owner").alias("root"))
+    sizes = sizes.join(root, "owner", "left").select("owner", "bytes", F.coalesce("root", "owner").alias("family"))
+    parts = F.ceil(F.sum("bytes") / SHARD_BYTES).alias("parts")
+    sizes = sizes.join(sizes.groupBy("family").agg(parts), "family")
+    total = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    part = F.pmod(F.xxhash64("owner"), F.col("parts"))
+    return sizes.select("owner", F.pmod(F.xxhash64("family", part), F.lit(max(1, -(-total // SHARD_BYTES)))).alias("shard"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, spans): the word spans to remove, of documents that have some. Spans may overlap."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop()
 
-    names = _names(texts)
+    names = keep(_names(texts), "names")
     shared = names.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("name")
-    of = names.join(shared, "name").groupBy("id").agg(F.collect_set("name").alias("names"))
-    marked = keep(texts.join(of, "id"), "marked")
+    of = keep(names.join(shared, "name").groupBy("id").agg(F.collect_set("name").alias("names")), "marks")
+    marked = keep(split_near(texts, of)[0].join(of, "id"), "marked")
     release(spark)
 
     windows = _marked_windows(marked)
     owner = windows.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("high")).filter("owner != high")
     owner = keep(owner.select("window", "owner"), "owners")
     routes = keep(windows.join(owner, "window").filter("id > owner").select("id", "owner").distinct(), "routes")
-    owned = owner.groupBy(F.col("owner").alias("id")).agg(F.collect_list("window").alias("windows"))
-    passages = keep(_passages(marked.join(owned, "id")), "passages")
+    owned = keep(owner.groupBy(F.col("owner").alias("id")).agg(F.collect_list("window").alias("windows")), "owned")
+    passages = keep(_passages(split_near(marked, owned)[0].join(owned, "id")), "passages")
     release(spark)
 
-    size = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("owner"), F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
-    routed = routes.select(shard, "id").distinct().join(marked.select("id", "text"), "id")
+    homes = keep(_homes(passages, routes), "homes")
+    routed = routes.join(homes, "owner").select("shard", "id").distinct().join(split_near(marked.select("id", "text"), routes)[0], "id")
     routed = keep(routed, "routed")
     chunks = routed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / CHUNK_BYTES).cast("int").alias("chunks"))
     chunks = keep(chunks, "chunks")  # one row per shard
-    copies = passages.select(shard, "owner", "passage").join(chunks, "shard")
+    copies = passages.join(homes, "owner").join(chunks, "shard")
     copies = copies.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "owner", "passage")
     routed = routed.join(chunks, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "text")
     found = copies.groupBy("shard", "chunk").cogroup(routed.groupBy("shard", "chunk")).applyInArrow(_stream, "id long, start long, end long")
@@ -231,7 +243,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         rows = [_trimmed(t, s) for t, s in zip(texts, spans, strict=True)]
         return pd.DataFrame(rows, columns=["text", "n_words", "n_removed"])
 
-    cut = rows.join(repeated_spans(docs, id_col, text_col), "id", "left").select("row", trim("text", "spans").alias("cut"))
+    spans = repeated_spans(docs, id_col, text_col)
+    near, rest = split_near(rows, spans)
+    met = near.join(spans, "id", "left").unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    cut = met.select("row", trim("text", "spans").alias("cut"))
     columns = [F.col("cut.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_words", "n_removed")]
     return cut.select(*columns, "cut.n_words", "cut.n_removed")
 
