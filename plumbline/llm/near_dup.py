@@ -4,15 +4,17 @@ A document is the set of its distinct word shingles. Sets that are equal fall
 together by digest first. Each tree then branches the sets: a node chooses one
 or two positions of the minhash signature, and a set goes on to the child named
 by its minimum there. Nodes of at most SMALL sets are compared exhaustively;
-larger ones are compared with a few pivots, and the sets that no pivot is like
-branch further: inside one task below LOCAL sets, by a shuffle above. Trees are
-independent, so a linked pair is missed only if all miss it. Comparisons of
-signatures give candidate pairs; links are confirmed on the full sets of 64-bit
-shingle hashes.
-
-The first trees link each set with few others; the components so found let the
-later trees skip pairs that are joined already, so a large group of copies costs
-its size and not its square. No link between different components is skipped.
+larger ones are compared with a few pivots and branch further: inside one task
+below LOCAL sets, by a shuffle above. Comparisons of signatures give candidate
+pairs; links are confirmed on the full sets of 64-bit shingle hashes.
+
+The first trees link each set with few others, and a set that a pivot is like
+goes no further there. The components so found let the later trees skip pairs
+that are joined already: a node of one component ends, and one in which at most
+SMALL sets are outside the largest component compares those with all its sets,
+so a large group of copies costs its size and not its square. In the later trees
+every other set of a larger node branches, whatever it is like. Those trees are
+independent: a link between different components is missed only if all miss it.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 fewer words than a shingle are one shingle together. Repeated rows of an id are
@@ -146,13 +148,15 @@ def _exhaustive(node: np.ndarray, rows: np.ndarray, sig: np.ndarray, comp: np.nd
     return rows[a], rows[b]
 
 
-def _met_pivots(est: np.ndarray, other: np.ndarray, like: float, spanning: bool) -> np.ndarray:
-    """Of members (rows) and pivots (columns), the candidate pairs: only the best, if spanning or like it."""
+def _met_pivots(est: np.ndarray, other: np.ndarray, spanning: bool) -> np.ndarray:
+    """Of members (rows) and pivots (columns), the candidate pairs: only the best, if spanning."""
+    if not spanning:
+        return other
     est = np.where(other, est, 0.0)
     best = np.zeros(est.shape, bool)
     if est.size:
         best[np.arange(len(est)), est.argmax(1)] = True
-    return other & (best | ((est.max(1, initial=0.0) < like)[:, None] & (not spanning)))
+    return other & best
 
 
 def _children(hashed: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,9 +169,15 @@ def _children(hashed: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield (turn == 0) | (chosen % tk.U(3) == 0), child
 
 
+def _outside(comp: np.ndarray) -> np.ndarray:
+    """Places that are not of the most frequent component."""
+    values, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(at != count.argmax())
+
+
 def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp: np.ndarray, n: np.ndarray, least: float, share: float, like: float, spanning: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Branches one node down to small ones, as `_branch` does across tasks: the small nodes'
-    rows, and the pairs with pivots."""
+    rows, and the pairs with pivots, or with all sets outside the largest component."""
     leaves, left, right, stack, met = [], [], [], [(key, rows, 0)], set()
     while stack:
         key, own, depth = stack.pop()
@@ -176,14 +186,17 @@ def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp:
         if len(own) <= SMALL or depth == MAX_DEPTH:
             leaves.append(own)
             continue
-        pivots = own[np.argsort(tk.mix(id_[own].view(np.uint64) + tk.U(key & 0xFFFFFFFFFFFFFFFF)), kind="stable")[:PIVOTS]]
+        outside = np.zeros(0, np.int64) if spanning else _outside(comp[own])
+        ends = 0 < len(outside) <= SMALL
+        pivots = own[outside] if ends else own[np.argsort(tk.mix(id_[own].view(np.uint64) + tk.U(key & 0xFFFFFFFFFFFFFFFF)), kind="stable")[:PIVOTS]]
         est = np.stack([_similarity(sig[own], sig[p]) for p in pivots], 1)
-        done = (est >= like).any(1) | np.isin(own, pivots)
         other = (comp[pivots][None, :] != comp[own][:, None]) & (est >= least) & _fit(n[pivots][None, :], n[own][:, None], share)
-        i, j = np.nonzero(_met_pivots(est, other, like, spanning))
+        i, j = np.nonzero(_met_pivots(est, other, spanning))
         left.append(own[i])
         right.append(pivots[j])
-        own = own[~done]
+        if ends:
+            continue
+        own = own[~(np.isin(own, pivots) | ((est >= like).any(1) & spanning))]
         hashed = np.full(len(own), tk.mix(np.array([key], np.int64).view(np.uint64))[0])
         for goes, child in _children(hashed, sig[own]):
             members, keys = own[goes], child[goes]
@@ -236,7 +249,7 @@ def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanni
 
 def _branch(rows: DataFrame, least: float, share: float, like: float, spanning: bool) -> DataFrame:
     """For members of large nodes: candidate pairs with the pivots of other components,
-    and, unless a pivot is like the member, the children's keys."""
+    and the children's keys, unless the node ends or, if spanning, a pivot is like the member."""
 
     def run(batches):
         for batch in batches:
@@ -248,12 +261,14 @@ def _branch(rows: DataFrame, least: float, share: float, like: float, spanning:
             p_id, p_comp, p_n, p_sig = flat.field("id").to_numpy(), flat.field("comp").to_numpy(), flat.field("n").to_numpy(), _matrix(flat.field("sig"))
             est = _similarity(sig[owner], p_sig)
             done = np.zeros(len(key), bool)
-            done[owner[(est >= like) | (p_id == id_[owner])]] = True
+            done[owner[((est >= like) & spanning) | (p_id == id_[owner])]] = True
+            done |= batch.column("ends").to_numpy(zero_copy_only=False)
             other = (p_comp != comp[owner]) & (est >= least) & _fit(p_n, n[owner], share)
             place = np.arange(len(owner)) - pivots.offsets.to_numpy()[:-1][owner] + pivots.offsets.to_numpy()[0]
-            wide, mask = np.zeros((len(key), PIVOTS)), np.zeros((len(key), PIVOTS), bool)
+            most = int(place.max(initial=0)) + 1
+            wide, mask = np.zeros((len(key), most)), np.zeros((len(key), most), bool)
             wide[owner, place], mask[owner, place] = est, other
-            use = np.flatnonzero(_met_pivots(wide, mask, like, spanning)[owner, place])
+            use = np.flatnonzero(_met_pivots(wide, mask, spanning)[owner, place])
             (go_a, key_a), (go_b, key_b) = _children(tk.mix(key.view(np.uint64)), sig)
             keep_a, keep_b = go_a & ~done, go_b & ~done
             out_id = np.concatenate([id_[owner[use]], id_[keep_a], id_[keep_b]])
@@ -280,8 +295,16 @@ def _candidates(sets: DataFrame, roots: range, least: float, share: float, like:
         large = nodes.filter(F.col("size") > LOCAL)
         if large.isEmpty():
             break
-        at = large.select("key", F.explode("pivots").alias("id")).join(slim, "id")
-        at = at.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("pivots"))  # PIVOTS at most
+        at = large.select("key", F.explode("pivots").alias("id"), F.lit(False).alias("ends"))
+        if not spanning:  # where the sets outside the largest component are few, all of them are pivots
+            count = rows.join(large.select("key"), "key").groupBy("key", "comp").agg(F.count("*").alias("own"))
+            count = count.groupBy("key").agg(F.sum("own").alias("size"), F.max(F.struct("own", "comp")).alias("top"))
+            ended = keep(count.filter(F.col("size") - F.col("top.own") <= SMALL).select("key", F.col("top.comp").alias("top")), "ended")
+            outside = rows.join(ended, "key").filter("comp != top").select("key", "id", F.lit(True).alias("ends"))
+            at = at.join(ended, "key", "left_anti").unionByName(outside)
+        # PIVOTS at most, or an ended node's sets in parts
+        part = F.when(F.col("ends"), F.pmod(F.xxhash64("id"), F.lit(SMALL // PIVOTS))).otherwise(0)
+        at = at.join(slim, "id").groupBy("key", "ends", part.alias("part")).agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("pivots"))
         members = rows.select("key", "id").join(slim, "id").join(at, "key")
         branched = keep(_branch(members, least, share, like, spanning), "branches")
         found.append(branched.filter("is_pair").select(F.col("id").alias("a"), "b"))

@@ -108,3 +108,34 @@ def test_large_nodes_by_shuffle(spark, monkeypatch):
     assert rows_of(near_dup.link(df)) == want
     monkeypatch.setattr(near_dup, "LOCAL", 70)
     assert rows_of(near_dup.link(df)) == want
+
+
+def star(r, size, first):
+    """A centre of 100 words, and texts that link with it, and with each other only if the same words changed."""
+    words = [f"s{first}x{r.randrange(10**9)}" for _ in range(100)]
+    docs = [(first, " ".join(words))]
+    for i in range(size):
+        own = list(words)
+        for at in (2, *r.sample(range(7, 97, 5), 2)):  # 13 of 96 shingles: 83 of 109 are common
+            own[at] = f"o{first}x{i}x{at}"
+        docs.append((first + 1 + i, " ".join(own)))
+    return docs
+
+
+def test_star_larger_than_a_small_node(spark):
+    docs = star(random.Random(2), 300, 1)
+    got = rows_of(near_dup.link(spark.createDataFrame(docs, "doc_id long, text string")))
+    wrong = [w for g, w in zip(got, brute(docs)) if g != w]
+    assert len(wrong) <= 3, wrong  # with members retired by pivots, 36 of 300 were apart
+
+
+def test_few_sets_outside_a_large_component():
+    """All pairs between components, while those within one are spared."""
+    r = np.random.default_rng(3)
+    rows = np.arange(500)
+    sig = np.repeat(r.integers(0, 256, (1, near_dup.SLOTS), dtype=np.uint8), 500, 0)
+    comp = np.where(rows < 470, 0, rows)
+    leaves, a, b = near_dup._descend(5, rows, rows, sig, comp, np.full(500, 9), 0.6, 0.75, 0.8, False)
+    pairs = {(min(x, y), max(x, y)) for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())}
+    assert not leaves
+    assert pairs == {(x, y) for x in range(500) for y in range(max(x + 1, 470), 500)}
