@@ -7,7 +7,8 @@ around paragraphs, marks and indents for lists, aligned columns for tables.
 Visible is all text but: head, script, style, template, embedded objects and
 their fallback, comments; elements with the hidden attribute, an inline style or
 a simple rule (tag, .class, #id) of the page's style sheets that says
-display:none or visibility:hidden; closed details but for their summary; closed
+display:none or visibility:hidden, for all media or screens, and that no later
+rule of the same selector undoes; closed details but for their summary; closed
 dialogs. noscript is shown, since no script runs.
 
 Defined results: null and empty pages give the empty text. Malformed pages are
@@ -31,7 +32,7 @@ MAX_DEPTH = 300
 # -- fixed values: element names of HTML ------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template iframe noembed noframes object svg math audio video canvas datalist map".split())
+UNSEEN = frozenset("head script style title template iframe noembed noframes object svg audio video canvas datalist annotation annotation-xml".split())
 #: Blocks with a blank line around them, and those that only begin a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 LINED = frozenset("html body div article section main nav header footer aside address form li dt dd tr caption legend figcaption details summary center dialog option optgroup select search hgroup".split())
@@ -61,7 +62,8 @@ _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\r\n\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
+_MEDIA = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*\Z", re.I)
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
 
 
@@ -84,7 +86,7 @@ class TreeBuilder:
     def __init__(self, page: str):
         self.root = Node("#root")
         self.open = [self.root]
-        self.hiding: set[tuple[str, str, str]] = set()
+        self.said: dict[tuple[tuple[str, str, str], str], tuple[bool, bool]] = {}
         at, n = 0, len(page)
         while at < n:
             m = _TOKEN.search(page, at)
@@ -106,13 +108,16 @@ class TreeBuilder:
                 inner = page[at : close.start() if close else n]
                 at = close.end() if close else n
                 if tag == "style":
-                    self.style(inner)
+                    if for_screens(Node(tag, m[3]).get("media") or ""):
+                        self.style(re.sub(r"/\*.*?(?:\*/|\Z)", "", inner, flags=re.S))
                 elif inner and tag not in UNSEEN:
                     self.text(inner)
                 self.end(tag)
 
     def text(self, data: str) -> None:
         data = html.unescape(data) if "&" in data else data
+        if self.open[-1].tag == "head" and data.strip(" \t\r\n\f"):
+            self.close_to(len(self.open) - 1)
         # text between a table's parts is laid out before the table, in its parent
         if self.open[-1].tag in ("table", "thead", "tbody", "tfoot", "tr") and data.strip():
             table = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == "table"), 0)
@@ -171,13 +176,46 @@ class TreeBuilder:
             if self.open[i].tag in stops:
                 break
 
-    def style(self, sheet: str) -> None:
-        for m in _RULE.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-            if _HIDING.search(m[2]):
-                for selector in m[1].split(","):
-                    simple = _SIMPLE.match(selector.strip())
-                    if simple and simple[0]:
-                        self.hiding.add(((simple[1] or "").lower(), simple[2] or "", simple[3] or ""))
+    @property
+    def hiding(self) -> set[tuple[str, str, str]]:
+        return {selector for (selector, _), (hides, _) in self.said.items() if hides}
+
+    def style(self, sheet: str, depth: int = 0) -> None:
+        """Reads the rules outside braces; of at-blocks, those of media that hold on every screen."""
+        start = level = 0
+        for m in re.finditer(r"[{};]|\Z", sheet):
+            if m[0] == "{":
+                level += 1
+                if level == 1:
+                    head, body = sheet[start : m.start()].strip(), m.end()
+            elif level and m[0] != ";":
+                level = level - 1 if m[0] else 0  # a sheet's end closes all
+                if not level:
+                    self.rule(head, sheet[body : m.start()], depth)
+                    start = m.end()
+            elif not level:
+                start = m.end()
+
+    def rule(self, head: str, body: str, depth: int) -> None:
+        if head.startswith("@"):
+            if head[:6].lower() == "@media" and for_screens(head[6:]) and depth < 20:
+                self.style(body, depth + 1)
+            return
+        if "{" in body:  # nested rules are of other selectors
+            body = body.partition("{")[0].rpartition(";")[0]
+        for m in _SHOWS.finditer(body):
+            prop, value, most = m[1].lower(), m[2].lower(), "important" in m[3].lower()
+            hides = value == "none" if prop == "display" else value in ("hidden", "collapse")
+            for selector in head.split(","):
+                simple = _SIMPLE.match(selector.strip())
+                if simple and simple[0]:
+                    key = ((simple[1] or "").lower(), simple[2] or "", simple[3] or ""), prop
+                    if most or not self.said.get(key, (False, False))[1]:
+                        self.said[key] = hides, most
+
+
+def for_screens(media: str) -> bool:
+    return any(_MEDIA.match(x) for x in media.split(","))
 
 
 class Renderer:

@@ -46,6 +46,22 @@ def test_cases(page, text):
     assert html_text.rendered(page) == text
 
 
+SHOWN = [
+    ("<style>@media print { .a { display:none } } @media (max-width:600px) { .b { display:none } .c {} }</style><p class=a>x<p class=b>y", "x\n\ny"),
+    ("<style media=print>p{display:none}</style><p>x", "x"),
+    ("<style>@import 'q'; @media screen { .a { display:none } } .b{display:none}</style><p class=a>no<p class=b>no<p>x", "x"),
+    ("<style>.a { display:none } .a { display:block }</style><p class=a>x", "x"),
+    ("<style>.a { display:none !important } .a { display:block }</style><p class=a>no</p>x", "x"),
+    ("<head><title>T</title>Hello <p>x", "Hello\n\nx"),
+    ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math><map name=m>y</map>", "x=y"),
+]
+
+
+@pytest.mark.parametrize("page,text", SHOWN)
+def test_shown_by_browsers(page, text):
+    assert html_text.rendered(page) == text
+
+
 def test_null_deep_and_long_pages():
     assert html_text.rendered(None) == ""
     assert html_text.rendered("<div>" * 50_000 + "deep") == "deep"
