@@ -12,9 +12,9 @@ document with a smaller id are removed.
    its size needs. A shard's automaton (Aho-Corasick) holds a phrase of every STRIDE
    words of its passages, so each recurring window contains one whole phrase.
 4. Stream: the texts that share a window with a shard's owners pass through its
-   automaton, in chunks of bounded size; each hit is compared word by word and
-   extended, and runs of at least WINDOW words are spans to remove. Texts without
-   a confirmed window hold no occurrence and skip this step.
+   automaton, in chunks of bounded size; the windows around each hit are compared
+   with the passages' own, and those of a smaller owner are spans to remove. Texts
+   without a confirmed window hold no occurrence and skip this step.
 
 Defined results: null and empty texts have no words and keep a null or empty
 text. Rows of one id are one document: they remove nothing from each other. A
@@ -40,7 +40,7 @@ WINDOW = 50
 PHRASE = 8
 STRIDE = WINDOW - PHRASE
 #: Bytes of passages per automaton, and of texts per pass through one.
-SHARD_BYTES, CHUNK_BYTES = 1 << 19, 1 << 20
+SHARD_BYTES, CHUNK_BYTES = 1 << 19, 1 << 22
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -125,44 +125,72 @@ def _passages(owned: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Locates the passages' windows in texts."""
+    """Locates the passages' windows in texts.
 
-    def __init__(self, passages: list[tuple[int, list[str]]]):
-        self.passages = passages
-        phrases: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, words) in enumerate(passages):
-            for at in range(0, len(words) - PHRASE + 1, STRIDE):
-                phrases.setdefault(f" {' '.join(words[at : at + PHRASE])} ", []).append((k, at))
+    The automaton finds whole phrases; only windows that contain one are looked up,
+    each once, in a table of the passages' windows, and compared byte by byte. Work
+    follows the number of words, however often a text repeats itself.
+    """
+
+    def __init__(self, passages: list[tuple[int, str]]):
+        self.data: list[bytes] = []
+        self.windows: dict[int, list[tuple[int, int, int, int]]] = {}
         self.automaton = ahocorasick.Automaton()
-        for phrase, places in phrases.items():
-            self.automaton.add_word(phrase, places)
-        self.automaton.make_automaton()
+        for owner, passage in sorted(passages):  # so that the smallest owner of a window is met first
+            words = passage.split(" ")
+            for at in range(0, len(words) - PHRASE + 1, STRIDE):
+                self.automaton.add_word(f" {' '.join(words[at : at + PHRASE])} ", PHRASE)
+            data = _padded(words).encode()
+            self.data.append(data)
+            at = _spaces(data).tolist()
+            for i in range(len(words) - WINDOW + 1):
+                window = data[at[i] : at[i + WINDOW]]
+                same = self.windows.setdefault(hash(window), [])
+                if self._owner(same, window) is None:
+                    same.append((owner, len(self.data) - 1, at[i], at[i + WINDOW]))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def _owner(self, places: list[tuple[int, int, int, int]], window: bytes) -> int | None:
+        for owner, k, a, b in places:
+            if self.data[k][a:b] == window:
+                return owner
+        return None
 
     def spans(self, owner_below: int, words: list[str]) -> list[tuple[int, int]]:
-        """Word spans that a passage of a smaller owner covers with whole windows."""
+        """Word spans that windows of a smaller owner's passages cover."""
         if len(words) < WINDOW or not len(self.automaton):
             return []
-        ends = {}  # position after each word's closing space: the word's number
-        at = 1
-        for i, word in enumerate(words):
-            at += len(word) + 1
-            ends[at - 1] = i
-        out, done = [], {}
-        for end, places in self.automaton.iter(f" {' '.join(words)} "):
-            first = ends[end] - PHRASE + 1
-            for k, at in places:
-                owner, passage = self.passages[k]
-                if owner >= owner_below or done.get((k, first - at), -1) >= first:
-                    continue
-                a, b, lo, hi = first, first + PHRASE, at, at + PHRASE
-                while a and lo and words[a - 1] == passage[lo - 1]:
-                    a, lo = a - 1, lo - 1
-                while b < len(words) and hi < len(passage) and words[b] == passage[hi]:
-                    b, hi = b + 1, hi + 1
-                done[k, first - at] = b
-                if b - a >= WINDOW:
-                    out.append((a, b))
-        return merged(out)
+        text = _padded(words)
+        ends = np.array([end for end, _ in self.automaton.iter(text)], np.int64)
+        if not len(ends):
+            return []
+        first = np.searchsorted(_spaces(text), ends) - PHRASE  # the space after word i is the (i + 1)th
+        low = np.maximum(first - STRIDE, 0)
+        high = np.minimum(first, len(words) - WINDOW)
+        step = np.zeros(len(words) + 1, np.int64)
+        np.add.at(step, low[low <= high], 1)
+        np.add.at(step, high[low <= high] + 1, -1)
+        data = text.encode()
+        at = _spaces(data).tolist()
+        hits = []
+        for i in np.flatnonzero(np.cumsum(step) > 0).tolist():
+            window = data[at[i] : at[i + WINDOW]]
+            owner = self._owner(self.windows.get(hash(window), ()), window)
+            if owner is not None and owner < owner_below:
+                hits.append(i)
+        return merged([(i, i + WINDOW) for i in hits])
+
+
+def _padded(words: list[str]) -> str:
+    return f" {' '.join(words)} "
+
+
+def _spaces(text: str | bytes) -> np.ndarray:
+    """Positions of the spaces of a padded text: in characters of a str, in bytes of bytes."""
+    if isinstance(text, bytes):
+        return np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    return np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -177,8 +205,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _stream(passages: pa.Table, texts: pa.Table) -> pa.Table:
     """One shard's automaton over one chunk of texts."""
-    own = [(o, p.split(" ")) for o, p in zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True)]
-    automaton = PhraseAutomaton(own)
+    automaton = PhraseAutomaton(list(zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True)))
     ids, starts, ends = [], [], []
     for i, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist(), strict=True):
         for a, b in automaton.spans(i, WORD.findall(text)):

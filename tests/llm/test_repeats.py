@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from plumbline.llm import registry, repeats
 
@@ -61,3 +62,34 @@ def test_nested_and_periodic_passages(spark):
 
 def test_empty(no_docs):
     assert repeats.remove(no_docs).count() == 0
+
+
+def test_long_periodic_text_is_linear():
+    """20,000 words that repeat one line, against a passage of that line."""
+    line = "the quick brown fox jumps over the lazy dog again and again".split()
+    words = line * 1667
+    automaton = repeats.PhraseAutomaton([(1, " ".join(line * 400))])
+    began = time.perf_counter()
+    assert automaton.spans(2, words) == [(0, len(words))]
+    assert time.perf_counter() - began < 1
+    assert automaton.spans(1, words) == []
+
+
+def test_many_near_copies(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(300)]
+    docs = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(r.randrange(0, 6)):
+            words[r.randrange(len(words))] = f"n{r.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    docs += [(1000 + i, "same line over and over\n" * r.randrange(5, 40)) for i in range(50)]
+    assert rows_of(repeats.remove(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_wide_characters_and_long_words():
+    words = [f"日{i}" for i in range(60)] + ["é" * 5000] + ["x" * 70000] + [f"😀{i}" for i in range(80)]
+    automaton = repeats.PhraseAutomaton([(1, " ".join(words))])
+    assert automaton.spans(2, ["a", *words, "b"]) == [(1, 1 + len(words))]
+    assert automaton.spans(2, words[:49]) == []
