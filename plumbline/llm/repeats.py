@@ -3,6 +3,9 @@
 Words covered by a window of WINDOW consecutive words that also stands in a
 document with a smaller id are removed.
 
+Documents with one and the same text count twice at most in what follows; further
+copies take the result of the second.
+
 1. Shortlist: each window is named by the least of its phrase hashes; names that
    two documents share mark the windows that can recur.
 2. Confirm: the windows so marked are hashed whole; of those in two documents or
@@ -215,6 +218,21 @@ def _stream(passages: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, second): documents whose whole text two smaller ids have too, and the second of these.
+
+    An owner of a window is at most the first, so all later copies lose the same words
+    as the second: they share its result. Ids with several rows are not among them.
+    """
+    digests = keep(texts.select("id", F.unhex(F.md5("text")).alias("digest")), "digests")
+    several = digests.groupBy("id").count().filter("count > 1").select("id")
+    digests = digests.join(several, "id", "left_anti")
+    low = digests.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
+    later = keep(digests.join(low, "digest").filter("id > low").select("digest", "id"), "later")
+    second = later.groupBy("digest").agg(F.min("id").alias("second"))
+    return later.join(second, "digest").filter("id > second").select("id", "second")
+
+
 def _homes(passages: DataFrame, routes: DataFrame) -> DataFrame:
     """(owner, shard): small families share shards, large ones are spread over several."""
     sizes = passages.groupBy("owner").agg(F.sum(F.octet_length("passage")).alias("bytes"))
@@ -232,7 +250,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop()
 
-    names = keep(_names(texts), "names")
+    further = keep(_copies(texts), "copies")
+    near, names = split_near(keep(_names(texts), "names"), further)
+    names = names.unionByName(near.join(further, "id", "left_anti"))
     shared = names.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("name")
     of = keep(names.join(shared, "name").groupBy("id").agg(F.collect_set("name").alias("names")), "marks")
     marked = keep(split_near(texts, of)[0].join(of, "id"), "marked")
@@ -257,7 +277,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = copies.groupBy("shard", "chunk").cogroup(routed.groupBy("shard", "chunk")).applyInArrow(_stream, "id long, start long, end long")
     spans = keep(found.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     release(spark)
-    return spans
+    return spans.unionByName(further.join(spans.withColumnRenamed("id", "second"), "second").select("id", "spans"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,3 +93,13 @@ def test_wide_characters_and_long_words():
     automaton = repeats.PhraseAutomaton([(1, " ".join(words))])
     assert automaton.spans(2, ["a", *words, "b"]) == [(1, 1 + len(words))]
     assert automaton.spans(2, words[:49]) == []
+
+
+def test_groups_of_copies(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"v{r.randrange(900)}" for _ in range(n)) for n in (49, 50, 51, 120, 300)]
+    docs = [(i, texts[i % 5]) for i in range(200)]
+    docs += [(200 + i, f"{texts[4]} tail{i % 3}") for i in range(30)]
+    docs += [(7, texts[3]), (7, texts[4]), (300, texts[3]), (300, texts[3])]
+    got = rows_of(repeats.remove(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == brute(docs)
