@@ -209,13 +209,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _stream(passages: pa.Table, texts: pa.Table) -> pa.Table:
     """One shard's automaton over one chunk of texts."""
     automaton = PhraseAutomaton(list(zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True)))
-    ids, starts, ends = [], [], []
-    for i, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist(), strict=True):
-        for a, b in automaton.spans(i, WORD.findall(text)):
-            ids.append(i)
-            starts.append(a)
-            ends.append(b)
-    return pa.table({"id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
+    out = []
+    for i, mark, text in zip(*(texts.column(c).to_pylist() for c in ("id", "mark", "text")), strict=True):
+        out += [(i, mark, a, b) for a, b in automaton.spans(i, WORD.findall(text))]
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "mark", "start", "end"])
 
 
 def _copies(texts: DataFrame) -> DataFrame:
@@ -246,7 +244,8 @@ def _homes(passages: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, spans): the word spans to remove, of documents that have some. Spans may overlap."""
+    """Rows (id, mark, spans): the word spans to remove, of texts that have some; mark is
+    the text's hash, since an id may stand for several texts. Spans may overlap."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop()
 
@@ -268,16 +267,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     homes = keep(_homes(passages, routes), "homes")
     routed = routes.join(homes, "owner").select("shard", "id").distinct().join(split_near(marked.select("id", "text"), routes)[0], "id")
-    routed = keep(routed, "routed")
+    routed = keep(routed.withColumn("mark", F.xxhash64("text")), "routed")
     chunks = routed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / CHUNK_BYTES).cast("int").alias("chunks"))
     chunks = keep(chunks, "chunks")  # one row per shard
     copies = passages.join(homes, "owner").join(chunks, "shard")
     copies = copies.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "owner", "passage")
-    routed = routed.join(chunks, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "text")
-    found = copies.groupBy("shard", "chunk").cogroup(routed.groupBy("shard", "chunk")).applyInArrow(_stream, "id long, start long, end long")
-    spans = keep(found.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    routed = routed.join(chunks, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "mark", "text")
+    found = copies.groupBy("shard", "chunk").cogroup(routed.groupBy("shard", "chunk")).applyInArrow(_stream, "id long, mark long, start long, end long")
+    spans = keep(found.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     release(spark)
-    return spans.unionByName(further.join(spans.withColumnRenamed("id", "second"), "second").select("id", "spans"))
+    return spans.unionByName(further.join(spans.withColumnRenamed("id", "second"), "second").select("id", "mark", "spans"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +291,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     spans = repeated_spans(docs, id_col, text_col)
     near, rest = split_near(rows, spans)
-    met = near.join(spans, "id", "left").unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    met = near.withColumn("mark", F.xxhash64("text")).join(spans, ["id", "mark"], "left").drop("mark").unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     cut = met.select("row", trim("text", "spans").alias("cut"))
     columns = [F.col("cut.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_words", "n_removed")]
     return cut.select(*columns, "cut.n_words", "cut.n_removed")
