@@ -2,7 +2,7 @@
 
 All functions work on one slice of rows at a time (`slices`), so a task's
 memory follows the slice and not the partition. Positions are byte offsets in
-the slice's buffer; hashes are 64-bit and wrap.
+the slice's buffer.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ U = np.uint64
 #: Bytes of text that are hashed at once; a longer row is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Hashes are polynomials modulo this prime, for two bases drawn at random: two different
+#: strings of n symbols agree in both with a chance of (n / 2 ** 31) ** 2 at most.
+_PRIME = (1 << 31) - 1
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_GRAM = 0xC2B2AE3D27D4EB4F
-_GRAM_INV = pow(_GRAM, -1, 1 << 64)
+_SYMBOL = _rng.integers(1, _PRIME, (2, 256), dtype=np.uint64)
+_BASES = [int(b) for b in _rng.integers(1 << 20, _PRIME, 2)]
 _powers: dict[int, np.ndarray] = {}
 
 #: True for the bytes that separate words: space, and 0x09 to 0x0D.
@@ -33,19 +33,51 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, by the prime's form."""
+    x = (x & U(_PRIME)) + (x >> U(31))
+    x = (x & U(_PRIME)) + (x >> U(31))
+    return x - (x >= U(_PRIME)) * U(_PRIME)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1), modulo 2 ** 64; kept for the next call while short."""
+    """base ** 0 ... base ** (n - 1), modulo _PRIME; kept for the next call while short."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 4 * SLICE_BYTES:
+        have = np.ones(1, U)
+        while len(have) < max(n, 1 << 16):  # twice as many at a time
+            have = np.concatenate([have, _mod(have * U(pow(base, len(have), _PRIME)))])
+        if len(have) <= 4 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 
 
+def _symbol_sums(symbols: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
+    """For both bases the prefix sums of symbol * base ** position, symbols below 2 ** 31.
+
+    symbols: a row for each base, or with tables one row of positions in them. Terms
+    are folded once, to below 2 ** 33; blocks stay in the processor's cache.
+    """
+    n = symbols.shape[-1]
+    out = np.zeros((2, n + 1), U)
+    for j, base in enumerate(_BASES):
+        power, own, sums = powers(base, n), symbols if tables is not None else symbols[j], out[j, 1:]
+        for at in range(0, n, 1 << 14):
+            part = slice(at, at + (1 << 14))
+            x = (tables[j][own[part]] if tables is not None else own[part]) * power[part]
+            np.add(x & U(_PRIME), x >> U(31), out=sums[part])
+        np.cumsum(sums, out=sums)
+    return out
+
+
+def _spans(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, place: np.ndarray | slice, size: int) -> np.ndarray:
+    """Both hashes of spans in one number; place: of the power that moves each span to 0, below size."""
+    out = []
+    for s, base in zip(sums, _BASES, strict=True):
+        out.append(_mod(_mod(s[end] - s[start]) * powers(pow(base, -1, _PRIME), size)[place]))
+    return mix(out[0] << U(31) | out[1])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every bit depends on every bit."""
     x = x ^ (x >> U(30))
@@ -125,15 +157,14 @@ def words_of(s: Slice, separator: np.ndarray = SPACE) -> Words:
 
 def byte_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which `span_hash` takes the hash of any span."""
-    return prefix(_BYTE[data] * powers(_BASE, len(data)))
+    return _symbol_sums(data, _SYMBOL)
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of byte spans: equal bytes give equal hashes wherever they stand."""
     if len(start) == 0:
         return np.zeros(0, U)
-    back = powers(_BASE_INV, int(start.max()) + 1)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    return _spans(sums, start, end, start, int(start.max()) + 1)
 
 
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
@@ -141,8 +172,8 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, U)
-    sums = prefix(words * powers(_GRAM, len(words)))
-    return mix((sums[n:] - sums[:-n]) * powers(_GRAM_INV, m) + U(n))
+    sums = _symbol_sums(np.stack([words & U(_PRIME), words >> U(33)]))  # different bits of a word's hash for each base
+    return _spans(sums, slice(0, m), slice(n, None), slice(0, m), m)
 
 
 def whole_grams(w: Words, n: int) -> np.ndarray:

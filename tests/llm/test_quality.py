@@ -3,7 +3,9 @@
 import re
 from collections import Counter
 
-from plumbline.llm import quality, registry
+import numpy as np
+
+from plumbline.llm import near_dup, quality, registry, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +67,33 @@ def test_query_on_driver_rows(spark, sf_dir):
 
 def test_empty(no_docs):
     assert quality.measure(no_docs).count() == 0
+
+
+def thue_morse(n: int, zero: str, one: str) -> str:
+    """2 ** n symbols, such that wrapping polynomial hashes of it and its complement agree."""
+    bits = [0]
+    for _ in range(n):
+        bits += [1 - b for b in bits]
+    return "".join((zero, one)[b] for b in bits)
+
+
+def test_complementary_lines_and_words_are_not_equal(spark):
+    a, b = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    texts = [f"{a}\n{b}\n", f"{a} x y {b} x y", f"{a}\n{b}\n{a}"]
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_dup_lines"] for i in range(3)] == [0, 0, 1]
+    assert got[1]["n_repeat_words"] == 0
+
+
+def test_complementary_sequences_of_words():
+    words = np.array([3, 5], np.uint64)
+    bits = np.array([c == "1" for c in thue_morse(11, "0", "1")]).astype(int)
+    both = np.concatenate([words[bits], words[1 - bits]])
+    grams = textkit.gram_hash(textkit.mix(both), 1 << 11)
+    assert grams[0] != grams[-1]
+
+
+def test_complementary_words_give_different_shingles(spark):
+    texts = [thue_morse(11, "a", "b"), thue_morse(11, "b", "a")]
+    got = near_dup.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(0, 0), (1, 1)]
