@@ -8,7 +8,8 @@ each token's marginal; a document's score is a logistic function of its largest
 marginal and of their sum, fitted on the same labelled documents. Offending offsets are runs of tokens whose marginal is at least 0.5.
 
 The training rows are a bounded sample: `Limits.documents` labelled rows, in the
-order of a hash of their id. Every document is scored over its whole text.
+order of a hash of their id; of their windows of tokens, `Limits.windows` train the
+chain. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no tokens, no spans, and the score of
 marginals 0. Without labelled rows, or with one label only, the score is the
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from plumbline.llm import textkit as tk
+from plumbline.llm.workspace import keep
 
 #: Prefix lengths in bytes.
 PREFIXES = (4, 5, 6, 7)
@@ -38,7 +40,7 @@ _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 class Limits:
     """Bounds of training: labelled documents, words of evidence, windows of tokens."""
 
-    documents: int = 3_000
+    documents: int = 4_000
     keys: int = 4_000
     windows: int = 12_000
     window: int = 64
@@ -127,8 +129,8 @@ def marginals(emission: np.ndarray, row_at: np.ndarray, chain: np.ndarray) -> np
 # -- training ------------------------------------------------------------------
 
 
-def _evidence(t: Tokens, toxic: np.ndarray, limits: Limits) -> np.ndarray:
-    """Sorted keys that stand in toxic rows beyond chance (likelihood ratio against all keys tried)."""
+def _key_counts(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key of a slice, the rows that hold it, and the toxic ones among them."""
     keys, ns, hit = [], [], []
     for kind in t.keys:  # one kind at a time, for the memory
         order = np.lexsort((t.row, kind))
@@ -138,47 +140,31 @@ def _evidence(t: Tokens, toxic: np.ndarray, limits: Limits) -> np.ndarray:
         flat, row = flat[new], row[new]
         own, at = np.unique(flat, return_index=True)
         keys.append(own)
-        ns.append(np.diff(np.append(at, len(flat))).astype(float))
-        hit.append(np.add.reduceat(toxic[row].astype(float), at) if len(at) else np.zeros(0))
-    key, n, hits = np.concatenate(keys), np.concatenate(ns), np.concatenate(hit)
-    share = toxic.mean()
-    miss = n - hits
-    gain = hits * np.log(np.maximum(hits / n, 1e-12) / share) + miss * np.log(np.maximum(miss / n, 1e-12) / (1 - share))
-    good = (hits / n > 2.5 * share) & (hits / n > 0.4) & (gain > np.log(len(key) + 1) + 2)
-    best = np.flatnonzero(good)
-    best = best[np.argsort(-gain[best], kind="stable")][: limits.keys]
-    return np.unique(key[best])
-
-
-def _train_chain(t: Tokens, toxic: np.ndarray, keys: np.ndarray, limits: Limits) -> Model:
-    """Gradient ascent on the penalised log-likelihood of windows of labelled tokens."""
+        ns.append(np.diff(np.append(at, len(flat))))
+        hit.append(np.add.reduceat(toxic[row].astype(np.int64), at) if len(at) else np.zeros(0, np.int64))
+    return np.concatenate(keys), np.concatenate(ns), np.concatenate(hit)
+
+
+def _places(keys: np.ndarray, t: Tokens) -> np.ndarray:
+    """For each kind and token its key's place in the sorted keys, or their number."""
     place = np.minimum(np.searchsorted(keys, t.keys), len(keys) - 1)
-    known = keys[place] == t.keys
-    place = np.where(known, place, len(keys))
-    label = known.any(0) & toxic[t.row]
-    # windows: those with known keys first, then others evenly spread
-    at = np.concatenate([np.arange(a, b, limits.window) for a, b in zip(t.row_at[:-1], t.row_at[1:], strict=True)] or [np.zeros(0, int)]).astype(np.int64)
-    end = np.minimum(at + limits.window, t.row_at[1:][t.row[at]])
-    touched = tk.prefix(known.any(0).astype(np.int64))
-    interesting = touched[end] > touched[at]
-    plain = np.flatnonzero(~interesting)
-    pick = np.concatenate([np.flatnonzero(interesting)[: limits.windows // 2], plain[:: max(1, len(plain) * 2 // limits.windows)]])
-    at, end = at[pick], end[pick]
-    size = end - at
-    row_at = tk.prefix(size)
-    index = np.repeat(at - row_at[:-1], size) + np.arange(row_at[-1])
-    y, place = label[index].astype(float), place[:, index]
+    return np.where(keys[place] == t.keys, place, len(keys))
+
+
+def _train_chain(row_at: np.ndarray, y: np.ndarray, place: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the keys and the chain, by gradient ascent on the penalised log-likelihood
+    of windows of labelled tokens. place: a row for each kind of key; n_keys: no key."""
     firsts = np.zeros(len(y), bool)
     firsts[row_at[:-1]] = True
     pair = np.flatnonzero(~firsts)
-    model = Model(keys, np.zeros(len(keys) + 1), np.array([-3.0, 0, 0, 0, 0, 0]), None, 0.0)
-    theta = np.concatenate([model.weights, model.chain])
+    n = n_keys + 1
+    theta = np.zeros(n + 6)
+    theta[n] = -3.0
     step = np.zeros(len(theta))
-    n = len(keys) + 1
     for _ in range(60):
         weights, chain = theta[:n].copy(), theta[n:]
         weights[-1] = 0
-        emission = chain[0] + weights[place].sum(0)
+        emission = chain[0] + sum(weights[k] for k in place)
         p, two = _expected(emission, row_at, chain, pair)
         gap = y - p
         grad = np.zeros(len(theta))
@@ -192,7 +178,7 @@ def _train_chain(t: Tokens, toxic: np.ndarray, keys: np.ndarray, limits: Limits)
         grad -= 0.5 * theta
         step += grad**2
         theta = theta + 0.5 * grad / np.sqrt(step + 1e-9)
-    return Model(keys, theta[: n - 1], theta[n:], None, float(toxic.mean()))
+    return theta[: n - 1], theta[n:]
 
 
 def _expected(emission: np.ndarray, row_at: np.ndarray, chain: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,32 +207,6 @@ def _train_head(largest: np.ndarray, total: np.ndarray, toxic: np.ndarray) -> np
     return w
 
 
-def _tokens(texts: list[str | None]) -> Tokens:
-    parts, rows, tokens = [], 0, 0
-    for s in tk.slices(pa.array(texts, pa.large_string())):
-        t = tokens_of(s)
-        parts.append(Tokens(t.start, t.end, t.row_at[:-1] + tokens, t.row + rows, t.keys))
-        rows += s.rows
-        tokens += len(t.start)
-    cat = lambda name, axis=0: np.concatenate([getattr(p, name) for p in parts], axis)
-    return Tokens(cat("start"), cat("end"), np.append(cat("row_at"), tokens), cat("row"), cat("keys", 1))
-
-
-def train(texts: list[str | None], toxic: np.ndarray, limits: Limits = Limits()) -> Model:
-    """A model from labelled texts: evidence, chain, then the score's weights."""
-    toxic = np.asarray(toxic, float)
-    if len(toxic) < 4 or toxic.min() == toxic.max():
-        return Model(np.zeros(0, tk.U), np.zeros(0), np.array([-9.0, 0, 0, 0, 0, 0]), None, float(toxic.mean()) if len(toxic) else 0.0)
-    t = _tokens(texts)
-    keys = _evidence(t, toxic > 0, limits)
-    if not len(keys):
-        return Model(keys, np.zeros(0), np.array([-9.0, 0, 0, 0, 0, 0]), None, float(toxic.mean()))
-    model = _train_chain(t, toxic > 0, keys, limits)
-    largest, total, _ = _apply(model, t)
-    model.head = _train_head(largest, total, toxic)
-    return model
-
-
 def _apply(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p = marginals(model.emissions(t.keys), t.row_at, model.chain)
     total = np.bincount(t.row, p, len(t.row_at) - 1)
@@ -265,15 +225,112 @@ def may_train(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+def _evidence(rows: DataFrame, share: float, limits: Limits) -> np.ndarray:
+    """Sorted keys that stand in toxic rows beyond chance (likelihood ratio against all keys
+    tried). Tasks count by slice, Spark adds up; `limits.keys` keys reach the driver."""
+
+    def run(batches):
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for s in tk.slices(batch.column(0)):
+                keys, n, hits = _key_counts(tokens_of(s), toxic[s.first : s.first + s.rows])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(hits)], names=["key", "n", "hits"])
+
+    counts = rows.select("text", "toxic").mapInArrow(run, "key long, n long, hits long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    counts = keep(counts, "evidence")
+    least = float(np.log(counts.count() + 1) + 2)
+    rate = F.col("hits") / F.col("n")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / F.col("n") / F.lit(p))).otherwise(0.0)
+    gain = part(F.col("hits"), share) + part(F.col("n") - F.col("hits"), 1 - share)
+    best = counts.withColumn("gain", gain).filter((rate > 2.5 * share) & (rate > 0.4) & (F.col("gain") > least))
+    best = best.orderBy(F.desc("gain"), "key").limit(limits.keys).select("key").collect()
+    return np.sort(np.array([r["key"] for r in best], np.int64).view(np.uint64))
+
+
+def _windows(rows: DataFrame, keys: np.ndarray, limits: Limits) -> DataFrame:
+    """Training windows of at most `limits.window` tokens: known (whether one of the keys is
+    in it), the tokens' labels and their keys' places, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            toxic = batch.column(2).to_numpy(zero_copy_only=False)
+            for s in tk.slices(batch.column(1)):
+                t = tokens_of(s)
+                place = _places(keys, t).astype(np.int32)
+                known = (place < len(keys)).any(0)
+                label = (known & toxic[s.first + t.row]).astype(np.uint8)
+                parts = [np.arange(a, b, limits.window) for a, b in zip(t.row_at[:-1], t.row_at[1:], strict=True)]
+                at = np.concatenate(parts).astype(np.int64)
+                end = np.minimum(at + limits.window, t.row_at[1:][t.row[at]])
+                touched = tk.prefix(known.astype(np.int64))
+                columns = [
+                    batch.column(0).slice(s.first, s.rows).take(pa.array(t.row[at])),
+                    pa.array(at - t.row_at[:-1][t.row[at]]),
+                    pa.array(touched[end] > touched[at]),
+                    pa.array([label[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary()),
+                    pa.array([place[:, a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "known", "label", "place"])
+
+    return rows.select("id", "text", "toxic").mapInArrow(run, "id long, at long, known boolean, label binary, place binary")
+
+
+def _chain(windows: DataFrame, n_keys: int, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """The chain fitted in one task, to `limits.windows` windows at most: half with keys, half without."""
+
+    def train(table: pa.Table) -> pa.Table:
+        rows = table.select(["label", "place", "id", "at"]).sort_by([("id", "ascending"), ("at", "ascending")])
+        label = [np.frombuffer(x, np.uint8) for x in rows.column("label").to_pylist()]
+        place = [np.frombuffer(x, np.int32).reshape(len(PREFIXES) + 1, -1) for x in rows.column("place").to_pylist()]
+        row_at = tk.prefix(np.array([len(x) for x in label]))
+        weights, chain = _train_chain(row_at, np.concatenate(label).astype(float), np.concatenate(place, 1), n_keys)
+        return pa.table({"weights": pa.array([weights.tolist()], pa.list_(pa.float64())), "chain": pa.array([chain.tolist()], pa.list_(pa.float64()))})
+
+    order = (F.xxhash64("id", "at"), "id", "at")
+    known, plain = (windows.filter(c).orderBy(*order).limit(limits.windows // 2) for c in ("known", "not known"))
+    got = known.unionByName(plain).groupBy().applyInArrow(train, "weights array<double>, chain array<double>").first()
+    return np.array(got["weights"]), np.array(got["chain"])
+
+
+def _marks(rows: DataFrame, model: Model) -> DataFrame:
+    """Per labelled row: its largest marginal, their sum, and the label."""
+
+    def run(batches):
+        for batch in batches:
+            for s in tk.slices(batch.column(0)):
+                largest, total, _ = _apply(model, tokens_of(s))
+                yield pa.RecordBatch.from_arrays([pa.array(largest), pa.array(total), batch.column(1).slice(s.first, s.rows)], names=["largest", "total", "toxic"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "largest double, total double, toxic boolean")
+
+
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Trains on a bounded sample of the labelled rows that may train."""
+    """Trains on a bounded sample of the labelled rows that may train.
+
+    Texts stay in tasks, whatever their length: keys are counted by Spark, the chain is
+    fitted in one task to a bounded number of windows, and the driver gets bounded
+    numbers of keys, weights and (largest, sum, label) rows.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).na.drop()
     known = known.filter(may_train(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(limits.documents)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = rows.toPandas().sort_values("id")  # at most limits.documents rows
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy() > 0, limits)
+    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), (F.max("toxic") > 0).alias("toxic"))
+    rows = keep(rows, "labelled")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
+    rate = toxic / n if n else 0.0
+    plain = Model(np.zeros(0, tk.U), np.zeros(0), np.array([-9.0, 0, 0, 0, 0, 0]), None, rate)
+    if n < 4 or toxic in (0, n):
+        return plain
+    keys = _evidence(rows, rate, limits)
+    if not len(keys):
+        return plain
+    weights, chain = _chain(_windows(rows, keys, limits), len(keys), limits)
+    model = Model(keys, weights, chain, None, rate)
+    marks = _marks(rows, model).collect()  # three numbers for each of at most limits.documents rows
+    largest, total, label = (np.array([r[c] for r in marks], float) for c in ("largest", "total", "toxic"))
+    model.head = _train_head(largest, total, label)
+    return model
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))

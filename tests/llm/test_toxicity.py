@@ -77,3 +77,11 @@ def test_without_labels(spark, no_docs):
 def test_long_text_spans_are_characters():
     s = next(tk.slices(pa.array(["é word"])))
     assert toxicity.tokens_of(s).start.tolist() == [0, 3]
+
+
+def test_long_labelled_texts_stay_in_tasks(spark):
+    words = " ".join(f"word{i % 700}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, words + (" you utter grobnak " if i % 3 == 0 else " end ") + words) for i in range(60)], "doc_id long, text string").repartition(8)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.tag(docs, model).collect()}
+    assert got == {i: int(i % 3 == 0) for i in range(60)}
