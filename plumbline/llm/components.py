@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.workspace import keep
+from plumbline.llm.workspace import keep, keep_result
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -36,14 +36,17 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until the edges are stars around the
     least vertices; the number of rounds grows with the logarithm of the vertices.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    e = keep(e, "edges")
-    before = None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if mark == before:
-            break
-        before = mark
-        e = keep(_small_star(_large_star(e)), "edges")
-    stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+    def rounds() -> DataFrame:
+        e = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+        before = None
+        while True:
+            mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+            if mark == before:
+                break
+            before = mark
+            e = keep(_small_star(_large_star(e)), "edges")
+        stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        return stars.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+    return keep_result(edges.sparkSession, rounds, "components")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
-from plumbline.llm.workspace import keep, release, split_near
+from plumbline.llm.workspace import keep, keep_result, split_near
 
 WINDOW = 50
 PHRASE = 8
@@ -246,16 +246,17 @@ def _homes(passages: DataFrame, routes: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, mark, spans): the word spans to remove, of texts that have some; mark is
     the text's hash, since an id may stand for several texts. Spans may overlap."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).na.drop()
+    return keep_result(docs.sparkSession, lambda: _spans_of(texts), "spans")
 
+
+def _spans_of(texts: DataFrame) -> DataFrame:
     further = keep(_copies(texts), "copies")
     near, names = split_near(keep(_names(texts), "names"), further)
     names = names.unionByName(near.join(further, "id", "left_anti"))
     shared = names.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("name")
     of = keep(names.join(shared, "name").groupBy("id").agg(F.collect_set("name").alias("names")), "marks")
     marked = keep(split_near(texts, of)[0].join(of, "id"), "marked")
-    release(spark)
 
     windows = _marked_windows(marked)
     owner = windows.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("high")).filter("owner != high")
@@ -263,7 +264,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     routes = keep(windows.join(owner, "window").filter("id > owner").select("id", "owner").distinct(), "routes")
     owned = keep(owner.groupBy(F.col("owner").alias("id")).agg(F.collect_list("window").alias("windows")), "owned")
     passages = keep(_passages(split_near(marked, owned)[0].join(owned, "id")), "passages")
-    release(spark)
 
     homes = keep(_homes(passages, routes), "homes")
     routed = routes.join(homes, "owner").select("shard", "id").distinct().join(split_near(marked.select("id", "text"), routes)[0], "id")
@@ -275,7 +275,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     routed = routed.join(chunks, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "mark", "text")
     found = copies.groupBy("shard", "chunk").cogroup(routed.groupBy("shard", "chunk")).applyInArrow(_stream, "id long, mark long, start long, end long")
     spans = keep(found.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    release(spark)
     return spans.unionByName(further.join(spans.withColumnRenamed("id", "second"), "second").select("id", "mark", "spans"))
 
 
