@@ -15,11 +15,13 @@ SMALL sets are outside the largest component compares those with all its sets,
 so a large group of copies costs its size and not its square. In the later trees
 every other set of a larger node branches, whatever it is like. Those trees are
 independent: a link between different components is missed only if all miss it.
+Nodes that MAX_DEPTH choices did not part are compared in blocks, all with all.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 fewer words than a shingle are one shingle together. Repeated rows of an id are
-one document of the links: each such row carries the id's component. A null id
-is linked with nothing unless its text equals another's. Other columns of the
+one document of the links: each such row carries the id's component. A row with
+a null id has the component of the rows whose set equals its own, null if none of
+them has an id; it links nothing. Other columns of the
 input do not matter; the result has the id and its own columns.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
 from plumbline.llm.components import components
-from plumbline.llm.workspace import keep, release, split_near
+from plumbline.llm.workspace import keep, keep_result, split_near
 
 SHINGLE = 5
 SLOTS, ROOTS = 128, 16
@@ -208,17 +210,18 @@ def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp:
     return leaves, left, right
 
 
-def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanning: bool) -> DataFrame:
-    """Candidate pairs (a, b) from nodes of at most LOCAL sets."""
+def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanning: bool, exhaustive: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) from nodes of at most LOCAL sets, branched down to SMALL ones unless `exhaustive`."""
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
         key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
         sig = _matrix(table.column("sig"))
         first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         size = np.diff(np.append(first, len(key)))
-        small = np.repeat(size <= SMALL, size)
+        whole = (size <= SMALL) | exhaustive
+        small = np.repeat(whole, size)
         nodes, at, left, right = [np.flatnonzero(small)], [np.repeat(np.arange(len(size)), size)[small]], [], []
-        for k in np.flatnonzero(size > SMALL):
+        for k in np.flatnonzero(~whole):
             leaves, a, b = _descend(int(key[first[k]]), np.arange(first[k], first[k] + size[k]), id_, sig, comp, n, least, share, like, spanning)
             left += a
             right += b
@@ -280,6 +283,16 @@ def _branch(rows: DataFrame, least: float, share: float, like: float, spanning:
     return rows.mapInArrow(run, "id long, b long, key long, is_pair boolean")
 
 
+def _in_blocks(rows: DataFrame, slim: DataFrame, least: float, share: float, like: float, spanning: bool, block: int = 4096) -> DataFrame:
+    """All candidate pairs of the nodes' sets, whatever the nodes' sizes: each pair of blocks is compared in a task of its own."""
+    nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("size > 1 and low != high")
+    parts = nodes.select("key", F.ceil(F.col("size") / block).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("own")
+    met = rows.join(parts, "key").select("key", "id", own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    return _node_pairs(met.select(key, "id").join(slim, "id"), least, share, like, spanning, exhaustive=True)
+
+
 def _candidates(sets: DataFrame, roots: range, least: float, share: float, like: float, spanning: bool) -> DataFrame:
     """Candidate pairs from the trees that begin at the given roots. sets: id, comp, n, sig, roots."""
     picked = F.array(*(F.element_at("roots", r + 1) for r in roots))
@@ -310,6 +323,8 @@ def _candidates(sets: DataFrame, roots: range, least: float, share: float, like:
         found.append(branched.filter("is_pair").select(F.col("id").alias("a"), "b"))
         # children may be met along two paths
         rows = branched.filter("not is_pair").select("id", "key").distinct().join(slim.select("id", "comp"), "id")
+    else:  # what MAX_DEPTH choices of positions did not part
+        found.append(_in_blocks(rows, slim, least, share, like, spanning))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -338,25 +353,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     return keep(both.filter((common > 0) & (100 * common >= percent * union)).select("a", "b"), "links")
 
 
-def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
+def _linked(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The component of each id with shingles; and, without an id, of each class (d1, d2, n) that rows without an id are in."""
     spark = docs.sparkSession
-    least, like = percent / 100 - 0.15, percent / 100 + 0.05
-    rows = keep(sketch(docs, id_col, text_col), "sketches")
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    member = rows.filter("n > 0").join(classes, ["d1", "d2", "n"]).select("id", "rep", "n", "sig", "roots")
+    least, like = percent / 100 - 0.15, percent / 100
+    full = rows.filter("n > 0")
+    classes = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    member = full.filter("id is not null").join(classes, ["d1", "d2", "n"]).select("id", "rep", "n", "sig", "roots")
     member = keep(member, "members")
-    sets = keep(member.filter("id = rep").select("id", "n", "sig", "roots", F.col("id").alias("comp")).dropDuplicates(["id"]), "sets")
-
-    first = _candidates(sets, range(FIRST_ROOTS), percent / 100 - 0.05, percent / 100, like, True)
-    first = _confirm(keep(first, "pairs"), docs, id_col, text_col, percent)
-    release(spark)
-    comp = keep(components(first), "components")
-    sets = sets.drop("comp").join(comp, "id", "left").select("id", "n", "sig", "roots", F.coalesce("component", "id").alias("comp"))
-    sets = keep(sets, "sets")
-    more = _candidates(sets, range(FIRST_ROOTS, ROOTS), least, percent / 100, like, False)
-    more = _confirm(keep(more, "pairs"), docs, id_col, text_col, percent)
-    release(spark)
+    alone = keep(member.filter("id = rep").select("id", "n", "sig", "roots", F.col("id").alias("comp")).dropDuplicates(["id"]), "sets")
+
+    def links(sets: DataFrame, roots: range, least: float, spanning: bool) -> DataFrame:
+        pairs = keep_result(spark, lambda: _candidates(sets, roots, least, percent / 100, like, spanning), "pairs")
+        return keep_result(spark, lambda: _confirm(pairs, docs, id_col, text_col, percent), "links")
+
+    comp = components(links(alone, range(FIRST_ROOTS), percent / 100 - 0.05, True))
+    sets = alone.drop("comp").join(comp, "id", "left").select("id", "n", "sig", "roots", F.coalesce("component", "id").alias("comp"))
+    more = links(keep(sets, "sets"), range(FIRST_ROOTS, ROOTS), least, False)
     # one id may stand for several texts: it joins their classes
     several = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
     several = member.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -367,12 +380,22 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     last = components(later)
     comp = comp.join(last.select(F.col("id").alias("component"), F.col("component").alias("_last")), "component", "left").select("id", F.coalesce("_last", "component").alias("component"))
     comp = keep(comp.unionByName(last.join(comp, "id", "left_anti")), "components")
+    comp = comp.select(F.col("id").alias("rep"), "component")
+
+    component = F.coalesce("component", "rep").alias("component_id")
+    by_id = member.select("id", "rep").distinct().join(comp, "rep", "left").select("id", component).groupBy("id").agg(F.min("component_id").alias("component_id"))
+    nameless = full.filter("id is null").select("d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"]).join(comp, "rep", "left").select("d1", "d2", "n", component)
+    return by_id.unionByName(nameless, allowMissingColumns=True)
+
 
-    out = rows.select("id", "n").alias("r")
-    of = member.select("id", "rep").distinct()
-    of = of.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-    of = of.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    got = out.join(of, F.col("r.id").eqNullSafe(of["id"]), "left").select("r.id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "r.id").alias("component_id"))
+def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept."""
+    rows = keep(sketch(docs, id_col, text_col), "sketches")
+    of = keep_result(docs.sparkSession, lambda: _linked(rows, docs, percent, id_col, text_col), "component-of")
+    known = rows.filter("id is not null").select("id", "n").join(of.filter("id is not null").select("id", "component_id"), "id", "left")
+    nameless = rows.filter("id is null").join(of.filter("id is null").drop("id"), ["d1", "d2", "n"], "left")
+    got = known.unionByName(nameless.select("id", "n", "component_id"))
+    got = got.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return got.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
 
 

@@ -139,3 +139,18 @@ def test_few_sets_outside_a_large_component():
     pairs = {(min(x, y), max(x, y)) for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())}
     assert not leaves
     assert pairs == {(x, y) for x in range(500) for y in range(max(x + 1, 470), 500)}
+
+
+def test_what_no_choice_parts_is_compared_in_blocks(spark, monkeypatch):
+    """Without any descent, nodes go to the block comparison whole."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(400)}" for _ in range(80)]
+    docs = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.randrange(0, 3)):
+            words[r.randrange(80)] = f"n{i}"
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dup, "MAX_DEPTH", 0)
+    monkeypatch.setattr(near_dup._in_blocks, "__defaults__", (16,))
+    assert rows_of(near_dup.link(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)

@@ -23,3 +23,11 @@ def test_null_ids(spark):
     cut = repeats.remove(docs).collect()
     assert len(cut) == 6 and all(r["n_removed"] == 0 for r in cut if r["doc_id"] != 5)
     assert next(r["n_removed"] for r in cut if r["doc_id"] == 5) == 90
+
+
+def test_null_ids_take_the_component_of_their_own_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(3, a), (5, b), (None, a), (None, b), (None, "a text of its own that no other row has"), (None, ""), (7, "")]
+    linked = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in linked)
+    assert got == sorted(map(str, [(3, 26, 3), (5, 26, 5), (None, 26, 3), (None, 26, 5), (None, 6, None), (None, 0, None), (7, 0, 7)]))
