@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.workspace import keep, new_dir
+from plumbline.llm.workspace import in_tasks, keep, new_dir, split_near
 
 LEAST_BYTES = 100
 #: Neighbouring records up to so many bytes are one range read.
@@ -213,7 +213,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     # only payloads that stand under more than one id have revisits; the digests travel, the pages do not
     groups = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     groups = keep(groups.filter("low != high").select("digest", F.col("low").alias("first")), "repeated")
-    rows = rows.join(groups, "digest", "left").select("id", "url", "html", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    near, rest = split_near(rows, groups, "digest")
+    rows = near.join(groups, "digest", "left").unionByName(rest.withColumn("first", F.lit(None).cast("long"))).select("id", "url", "html", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(folder)
@@ -286,4 +287,4 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, FIELDS)
 
     ddl = "id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
-    return locate(archives).repartition("archive", "begin").mapInArrow(run, ddl)
+    return in_tasks(keep(locate(archives), "ranges")).mapInArrow(run, ddl)
