@@ -8,7 +8,9 @@ the file, come from a prefix scan over one summary row per block.
 
 Defined results: two separators in a row bound an empty document of 0 tokens;
 ids after the last separator are a document too, marked as not ended; an empty
-file has no documents.
+file has no documents. When files are written, null texts count as empty and null
+ids are kept; each row is a document of its own, repeated or not. Other columns of
+the input do not matter: the results have their own columns only.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
 from plumbline.llm.bpe import SLICE, byte_bpe
-from plumbline.llm.workspace import keep, new_dir
+from plumbline.llm.workspace import in_tasks, keep, new_dir
 
 BLOCK_BYTES = 8 << 20
 WIDTHS = {2: "<u2", 4: "<u4"}
@@ -77,19 +79,12 @@ def count(files: DataFrame, end_id: int = 50256, width: int = 2, block_bytes: in
             for row in batch.to_pylist():
                 with fs.FileSystem.from_uri(row["folder"])[0].open_input_file(row["file"]) as f:
                     ids = np.frombuffer(f.read_at(row["size"], row["at"]), WIDTHS[width])
-                ends = np.flatnonzero(ids == end_id)
-                yield pa.RecordBatch.from_pylist(
-                    [{"file": row["file"], "block": row["block"], "tokens": len(ids), "ends": ends.tolist()}],
-                    pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.int64()), ("ends", pa.list_(pa.int64()))]),
-                )
+                ends = pa.array(np.flatnonzero(ids == end_id))
+                columns = [pa.array([row["file"]]), pa.array([row["block"]]), pa.array([len(ids)]), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "tokens", "ends"])
 
-    found = (
-        files.select("folder", "file")
-        .distinct()
-        .mapInArrow(blocks, "folder string, file string, block long, at long, size long")
-        .repartition("file", "block")
-        .mapInArrow(scan, "file string, block long, tokens long, ends array<long>")
-    )
+    found = files.select("folder", "file").distinct().mapInArrow(blocks, "folder string, file string, block long, at long, size long")
+    found = in_tasks(keep(found, "blocks")).mapInArrow(scan, "file string, block long, tokens long, ends array<long>")
     found = keep(found, "separators")
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     summary = found.select("file", "block", "tokens", F.size("ends").alias("n"), F.array_max("ends").alias("last"))
