@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
 from plumbline.llm.bpe import SLICE, byte_bpe
-from plumbline.llm.workspace import keep, release
+from plumbline.llm.workspace import keep
 
 #: Turns each piece's ids (a list array) into result columns.
 Summary = Callable[[list[np.ndarray]], dict[str, pa.Array]]
@@ -118,11 +118,10 @@ def pack(
 ) -> DataFrame:
     """Per piece: id, start, length, what `summary` makes of its ids (the ids by default),
     doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
     names = [f.split()[0] for f in summary_ddl.split(", ")]
 
     def cut(batches):
-        bpe = byte_bpe(path)
+        bpe, turn = byte_bpe(path), 0
         for batch in batches:
             for s in tk.slices(batch.column(1), SLICE):
                 ids, offsets = bpe.encode(batch.column(1).slice(s.first, s.rows))
@@ -135,21 +134,22 @@ def pack(
                 at = (offsets[:-1] + np.arange(s.rows))[row] + start
                 got = summary([full[a : a + n] for a, n in zip(at, length, strict=True)])
                 id_ = batch.column(0).slice(s.first, s.rows).take(pa.array(row))
-                columns = [id_, pa.array(start), pa.array(length), *(got[c] for c in names), pa.array(size[row])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", *names, "doc_tokens"])
+                columns = [id_, pa.array(start), pa.array(length), *(got[c] for c in names), pa.array(size[row]), pa.array(np.arange(turn, turn + len(row)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", *names, "doc_tokens", "turn"])
+                turn += len(row)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    pieces = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(cut, f"id long, start long, length long, {summary_ddl}, doc_tokens long")
+    pieces = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(cut, f"id long, start long, length long, {summary_ddl}, doc_tokens long, turn long")
     pieces = keep(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = best_fit_plan(counts, capacity)
 
     buckets = max(64, sum(counts.values()) // 4096)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "turn"), F.lit(buckets)))
     before = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("id", "start", "doc_tokens")
+    own = Window.partitionBy("length", "bucket").orderBy("id", "start", "doc_tokens", "turn")
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(before, ["length", "bucket"])
     ranked = ranked.select("id", "start", "length", *names, "doc_tokens", (F.col("base") + F.col("own") - 1).alias("rank"))
 
@@ -167,7 +167,6 @@ def pack(
             yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", *names, "doc_tokens", "sequence_id", "offset"])
 
     ddl = f"id long, start long, length long, {summary_ddl}, doc_tokens long, sequence_id long, offset long"
-    release(spark)
     return ranked.mapInArrow(place, ddl).withColumnRenamed("id", id_col)
 
 
