@@ -1,21 +1,26 @@
 """BPE encoding and decoding of whole texts [operator 5], and the byte BPE of packing.
 
-Ids equal those of the `tokenizers` library. Texts are cut where its
-pre-tokenizer always cuts, each distinct unit of a slice is encoded once, and
-the ids are gathered per row. Long unsplit stretches (no place where the
-pre-tokenizer cuts) go by tree concatenation: halves down to leaves, the leaves
-encoded in parallel tasks, then joined pairwise; at each join a window around it
-is encoded again and grows until its outermost tokens agree with both sides.
-A token sequence in which each adjacent pair is its own encoding is the encoding
-of the whole, so agreement on both sides is exact.
+Ids equal those of the `tokenizers` library. Texts longer than a leaf go by tree
+concatenation: the unsplit text is halved down to leaves, wherever that cuts, all
+leaves of a slice are encoded side by side (each distinct unit once), and
+neighbours are joined pairwise. At each join a window around it, from white space
+to white space, is encoded again as one text, and each of its sides alone; it grows
+until the outermost tokens of the window are those of the sides, which must stand
+at the ends of what is joined. White space always parts tokens, so this is exact.
+
+Texts with a stretch of LONG characters without white space are cut and encoded in
+parallel tasks instead, and joined byte by byte: the window grows by tokens until
+its outermost ones agree with both sides. A token sequence in which each adjacent
+pair is its own encoding is the encoding of the whole, so this is exact too.
 
 Defined results: null counts as the empty text and gives no ids. Repeated rows
-give repeated results. Other columns of the input do not matter.
+give repeated results, a null id stays. Other columns of the input do not matter.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -33,7 +38,10 @@ from plumbline.llm import textkit as tk
 SLICE = 8 << 20
 #: Unsplit characters from which a stretch is long, and bytes of a leaf.
 LONG, LEAF = 8192, 2048
+#: Characters on either side of a join that are encoded again at first.
+REACH = 48
 #: Characters whose classes all the engines agree on, so that the fast paths hold.
+_BEFORE_WORD = re.compile(r"[ \t\r\n](?=[^ \t\r\n])")
 _LATIN = "[^\\x{1}-\\x{12f}\\x{131}-\\x{24f}]"
 
 
@@ -185,6 +193,50 @@ class WordBpe(_Bpe):
 
     # -- tree concatenation ------------------------------------------------
 
+    def tree(self, column: pa.Array, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), texts of more than `leaf` characters by tree concatenation."""
+        texts = [halves(t or "", leaf) for t in column.to_pylist()]
+        at = tk.prefix(np.array([len(t) for t in texts], np.int64))
+        ids, offsets = self.encode(pa.array([x for t in texts for x in t], pa.large_string()))
+        many = np.flatnonzero(np.diff(at) > 1)
+        if not len(many):
+            return ids, offsets
+        parts = [[ids[offsets[k] : offsets[k + 1]] for k in range(at[i], at[i + 1])] for i in many]
+        whole = dict(zip(many.tolist(), self.grown([texts[i] for i in many], parts), strict=True))
+        rows = [whole[i] if i in whole else ids[offsets[at[i]] : offsets[at[i + 1]]] for i in range(len(texts))]
+        return np.concatenate(rows), tk.prefix(np.array([len(r) for r in rows], np.int64))
+
+    def grown(self, texts: list[list[str]], ids: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """Joins neighbours pairwise until each text is one sequence; all joins of a level at once."""
+        while any(len(t) > 1 for t in texts):
+            pairs = [(x, y, a, b) for t, i in zip(texts, ids, strict=True) for x, y, a, b in zip(t[::2], t[1::2], i[::2], i[1::2], strict=False)]
+            joined = iter(self.concatenated(pairs))
+            ids = [[next(joined) for _ in range(len(t) // 2)] + i[len(t) // 2 * 2 :] for t, i in zip(texts, ids, strict=True)]
+            texts = [[x + y for x, y in zip(t[::2], t[1::2], strict=False)] + t[len(t) // 2 * 2 :] for t in texts]
+        return [i[0] for i in ids]
+
+    def concatenated(self, pairs: list[tuple[str, str, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of each x + y from those of x and of y."""
+        out: list[np.ndarray | None] = [None] * len(pairs)
+        left, reach = list(range(len(pairs))), REACH
+        while left:
+            cuts = {k: (tail(pairs[k][0], reach), head(pairs[k][1], reach)) for k in left}
+            rest = [k for k, (x, y) in cuts.items() if x is None or y is None]
+            cuts = [(k, x, y) for k, (x, y) in cuts.items() if x is not None and y is not None]
+            flat = [w for _, x, y in cuts for w in (x, x + y, y)]
+            got, at = self.encode(pa.array(flat, pa.large_string()))
+            for j, (k, x, y) in enumerate(cuts):
+                before, window, after = (got[at[i] : at[i + 1]] for i in range(3 * j, 3 * j + 3))
+                text, more, a, b = pairs[k]
+                if (len(x) == len(text) or agree(before, window, a, False)) and (len(y) == len(more) or agree(after, window, b, True)):
+                    out[k] = np.concatenate([a[: len(a) - len(before)], window, b[len(after) :]])
+                else:
+                    rest.append(k)
+            left, reach = rest, 4 * reach
+        return out
+
+    # -- stretches without white space ---------------------------------------
+
     def parts(self, text: str) -> list[tuple[int, int, bytes | str]]:
         """Cuts a text with long stretches: (part, leaf, content), with leaf -1 for
         ordinary stretches of pre-tokens; leaves count from 0 within a long one."""
@@ -239,12 +291,39 @@ class WordBpe(_Bpe):
         return pc.binary_join(tokens, pa.scalar(" ", pa.large_string()))
 
 
-def halves(data: bytes) -> list[bytes]:
-    """Halves of halves, down to leaves of LEAF bytes."""
-    if len(data) <= LEAF:
+def halves[T: (str, bytes)](data: T, leaf: int = LEAF) -> list[T]:
+    """Halves of halves, down to leaves of at most `leaf` characters or bytes."""
+    if len(data) <= leaf:
         return [data]
     mid = len(data) // 2
-    return halves(data[:mid]) + halves(data[mid:])
+    return halves(data[:mid], leaf) + halves(data[mid:], leaf)
+
+
+def tail(text: str, reach: int) -> str | None:
+    """The end of a text from white space on, with two words, in its last `reach` characters; all of
+    a shorter text; None if there is no such white space."""
+    if len(text) <= reach:
+        return text
+    at = [m.start() for m in _BEFORE_WORD.finditer(text, len(text) - reach)]
+    return text[at[0] :] if len(at) > 1 else None
+
+
+def head(text: str, reach: int) -> str | None:
+    """The beginning of a text up to white space, with two words, in its first `reach` characters; as tail()."""
+    if len(text) <= reach:
+        return text
+    at = [m.start() for m in _BEFORE_WORD.finditer(text, 0, reach)]
+    return text[: at[-1]] if len(at) > 2 else None
+
+
+def agree(side: np.ndarray, window: np.ndarray, whole: np.ndarray, first: bool) -> bool:
+    """Whether a side's tokens stand at that end of the whole, and its outermost token at the window's."""
+    n = len(side)
+    if not n or not len(window) or n > len(whole):
+        return False
+    if first:
+        return side[-1] == window[-1] and np.array_equal(side, whole[:n])
+    return side[0] == window[0] and np.array_equal(side, whole[len(whole) - n :])
 
 
 @cache
@@ -282,7 +361,7 @@ def encode(
         bpe = word_bpe(path)
         for batch in batches:
             for s in tk.slices(batch.column(1), SLICE):
-                ids, offsets = bpe.encode(batch.column(1).slice(s.first, s.rows))
+                ids, offsets = bpe.tree(batch.column(1).slice(s.first, s.rows))
                 yield batch_of(bpe, batch.column(0).slice(s.first, s.rows), ids, offsets)
 
     def cut(batches):

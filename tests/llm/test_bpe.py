@@ -1,10 +1,13 @@
 """BPE against the tokenizers library; packing and token files against plain Python."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -162,3 +165,22 @@ def test_token_file_without_last_separator(spark, tmp_path):
     for block in (2, 4, 64):
         rows = token_files.count(files, block_bytes=block).orderBy("number").collect()
         assert [(r["number"], r["start"], r["n_tokens"], r["ended"]) for r in rows] == [(0, 0, 0, True), (1, 1, 2, True), (2, 4, 0, True), (3, 5, 1, False)]
+
+
+def test_tree_concatenation_of_driver_texts(sf_dir):
+    """Texts over 4 KB are halved and joined, with joins that grow, and give the library's ids."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    texts = [t for t in docs.to_pylist() if t and len(t) > 4096]
+    r = random.Random(2)
+    alphabet = ["a", "B", " ", "  ", "\n", "'s", "'ll", "''", "é", "é", "́", "漢", "!?", "123", "<|endoftext|>", "x" * 30, " ", "İ", "\0"]
+    texts += ["".join(r.choice(alphabet) for _ in range(300)) for _ in range(60)]
+    assert sum(len(t) > 4096 for t in texts) > 20
+    model, joins = bpe.word_bpe(WORD), []
+    inner = model.concatenated
+    model.concatenated = lambda pairs: joins.append(len(pairs)) or inner(pairs)
+    for leaf in (64, bpe.LEAF):
+        ids, offsets = model.tree(pa.array(texts), leaf)
+        for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+            assert ids[a:b].tolist() == model.reference.encode(t, add_special_tokens=False).ids
+    del model.concatenated
+    assert sum(joins) > len(texts)
