@@ -8,7 +8,8 @@ Visible is all text but: head, script, style, template, embedded objects and
 their fallback, comments; elements with the hidden attribute, an inline style or
 a simple rule (tag, .class, #id) of the page's style sheets that says
 display:none or visibility:hidden, for all media or screens, and that no later
-rule of the same selector undoes; closed details but for their summary; closed
+rule of the same selector undoes (what is visibility:visible inside a hidden element
+is shown); closed details but for their summary; closed
 dialogs. noscript is shown, since no script runs.
 
 Defined results: null and empty pages give the empty text. Malformed pages are
@@ -22,12 +23,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 300
+#: As deep as browsers nest elements; indents of deeper lists would grow with the square of a page.
+MAX_DEPTH = 512
 
 # -- fixed values: element names of HTML ------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,11 +60,14 @@ IMPLIED = {
 P_SCOPE = frozenset("table td th caption button object template html".split())
 # -- end of fixed values -----------------------------------------------------------
 
-# a tag ends at the first > outside quoted values
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]{0,65536}\"|=\s*+'[^']{0,65536}'|[^>=]++|=)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
+# comments and declarations, whole; and the beginnings of tags
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+# in a tag: its end, or the beginning of a quoted value
+_IN_TAG = re.compile(r">|=\s*+([\"'])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\r\n\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 _SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
 _MEDIA = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*\Z", re.I)
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
@@ -81,39 +87,60 @@ class Node:
 
 
 class TreeBuilder:
-    """Builds the tree of one page; `hiding` gathers the selectors that its style sheets hide."""
+    """Builds the tree of one page; `said` gathers what its style sheets say of selectors."""
 
     def __init__(self, page: str):
         self.root = Node("#root")
         self.open = [self.root]
         self.said: dict[tuple[tuple[str, str, str], str], tuple[bool, bool]] = {}
+        self.count: Counter[str] = Counter()  # of the open elements
         at, n = 0, len(page)
+        self.last = {c: page.rfind(c) for c in ">\"'"}
         while at < n:
             m = _TOKEN.search(page, at)
             if m is None:
                 self.text(page[at:])
                 break
-            if m.start() > at:
-                self.text(page[at : m.start()])
-            at = m.end()
+            begin, end = m.start(), m.end()
+            if m[2] is not None:
+                end = self.tag_end(page, m.end())
+                if end is None:  # no > is left: the rest holds no tag
+                    comment = page.find("<!--", m.end())
+                    begin = comment if comment >= 0 else n
+                    self.text(page[at:begin])
+                    break
+            if begin > at:
+                self.text(page[at:begin])
+            at = end
             if m[2] is None:  # a comment or a declaration
                 continue
-            tag = m[2].lower()
+            tag, attrs = m[2].lower(), page[m.end() : end - 1]
             if m[1]:
                 self.end(tag)
                 continue
-            self.start(tag, m[3])
+            self.start(tag, attrs)
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 inner = page[at : close.start() if close else n]
                 at = close.end() if close else n
                 if tag == "style":
-                    if for_screens(Node(tag, m[3]).get("media") or ""):
+                    if for_screens(Node(tag, attrs).get("media") or ""):
                         self.style(re.sub(r"/\*.*?(?:\*/|\Z)", "", inner, flags=re.S))
                 elif inner and tag not in UNSEEN:
                     self.text(inner)
                 self.end(tag)
 
+    def tag_end(self, page: str, at: int) -> int | None:
+        """Where the tag ends: after the first > outside quoted values. A quote that nothing closes begins no value."""
+        while at <= self.last[">"]:
+            m = _IN_TAG.search(page, at)
+            if m is None:
+                return None
+            if m[1] is None:
+                return m.end()
+            at = page.index(m[1], m.end()) + 1 if m.end() <= self.last[m[1]] else m.end()
+        return None
+
     def text(self, data: str) -> None:
         data = html.unescape(data) if "&" in data else data
         if self.open[-1].tag == "head" and data.strip(" \t\r\n\f"):
@@ -127,10 +154,13 @@ class TreeBuilder:
         self.open[-1].children.append(data)
 
     def close_to(self, i: int) -> None:
+        self.count.subtract(node.tag for node in self.open[i:])
         del self.open[i:]
 
     def implied(self, closes, stops) -> None:
         """Closes the outermost of `closes` that is open inside the nearest of `stops`."""
+        if not any(self.count[c] for c in closes):
+            return
         last = None
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
@@ -160,14 +190,17 @@ class TreeBuilder:
 
     def push(self, node: Node) -> None:
         if len(self.open) > MAX_DEPTH:
-            self.open.pop()
+            self.close_to(len(self.open) - 1)
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.count[node.tag] += 1
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br"))
             return
+        if not self.count[tag]:
+            return
         stops = P_SCOPE if tag not in P_SCOPE and tag not in TABLE_PARTS else {"table"} if tag in TABLE_PARTS else set()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
@@ -176,9 +209,9 @@ class TreeBuilder:
             if self.open[i].tag in stops:
                 break
 
-    @property
-    def hiding(self) -> set[tuple[str, str, str]]:
-        return {selector for (selector, _), (hides, _) in self.said.items() if hides}
+    def rules(self, prop: str) -> dict[tuple[str, str, str], bool]:
+        """Of the selectors that the style sheets name, whether they hide by this property."""
+        return {selector: hides for (selector, own), (hides, _) in self.said.items() if own == prop}
 
     def style(self, sheet: str, depth: int = 0) -> None:
         """Reads the rules outside braces; of at-blocks, those of media that hold on every screen."""
@@ -218,29 +251,73 @@ def for_screens(media: str) -> bool:
     return any(_MEDIA.match(x) for x in media.split(","))
 
 
+def selectors(node: Node) -> list[tuple[str, str, str]]:
+    """The simple selectors that match an element."""
+    names = [("", "")]
+    if node.attrs:
+        names += [(".", c) for c in (node.get("class") or "").split()]
+        own = node.get("id")
+        names += [("#", own)] if own else []
+    return [(kind, mark, name) for mark, name in names for kind in ("", node.tag) if kind or mark]
+
+
 class Renderer:
     """Lays a tree out as lines."""
 
-    def __init__(self, hiding: set[tuple[str, str, str]]):
-        self.hiding = hiding
+    def __init__(self, gone: dict[tuple[str, str, str], bool], hidden: dict[tuple[str, str, str], bool]):
+        self.gone = {selector for selector, hides in gone.items() if hides}
+        self.hidden = hidden
 
     def seen(self, node: Node) -> bool:
+        """Whether the element has a place on the page; what it shows there is up to `visible`."""
         if node.tag in UNSEEN:
             return False
-        if self.hiding and self.styled_away(node):
+        if self.gone and any(x in self.gone for x in selectors(node)):
             return False
         if not node.attrs:
             return node.tag != "dialog"
         low = node.attrs.lower()
         if "hidden" in low and (node.get("hidden") is not None or node.tag == "input" and (node.get("type") or "").lower() == "hidden"):
             return False
-        if "style" in low and _HIDING.search(node.get("style") or ""):
+        if "style" in low and _GONE.search(node.get("style") or ""):
             return False
         return node.tag != "dialog" or node.get("open") is not None
 
-    def styled_away(self, node: Node) -> bool:
-        names = {("", ""), *((".", c) for c in (node.get("class") or "").split()), ("#", node.get("id") or "")}
-        return any(kind in ("", node.tag) and (mark, name) in names and (kind or mark) for kind, mark, name in self.hiding)
+    def visible(self, node: Node) -> bool | None:
+        """What the element says of its visibility: True, False, or None."""
+        said = [self.hidden[x] for x in selectors(node) if x in self.hidden] if self.hidden else []
+        if "visib" in node.attrs.lower():
+            own = _VISIBILITY.findall(node.get("style") or "")
+            if own:
+                return own[-1].lower() == "visible"
+        return not any(said) if said else None
+
+    def uncover(self, nodes: list) -> None:
+        """Puts in the place of each hidden element those inside it that are visible again."""
+        stack = [nodes]
+        while stack:
+            own = stack.pop()
+            out = []
+            for node in own:
+                if isinstance(node, Node) and self.visible(node) is False:
+                    out += [" ", *self.reveal(node), " "]
+                else:
+                    out.append(node)
+            own[:] = out
+            stack += [c.children for c in out if isinstance(c, Node)]
+
+    def reveal(self, node: Node) -> list:
+        """The outermost elements inside a hidden one that say they are visible."""
+        out, todo = [], list(reversed(node.children)) if self.seen(node) else []
+        while todo:
+            child = todo.pop()
+            if isinstance(child, str):
+                continue
+            if self.visible(child):
+                out.append(child)
+            elif self.seen(child):
+                todo += reversed(child.children)
+        return out
 
     def lines(self, nodes: list, pre: bool = False) -> list[str]:
         """Lines of a block's content; an empty string stands for a blank line."""
@@ -460,7 +537,10 @@ def rendered(page: str | None) -> str:
     if not page:
         return ""
     tree = TreeBuilder(page.replace("\0", ""))
-    lines = Renderer(tree.hiding).lines(tree.root.children)
+    renderer = Renderer(tree.rules("display"), tree.rules("visibility"))
+    if renderer.hidden or "visib" in page.lower():
+        renderer.uncover(tree.root.children)
+    lines = renderer.lines(tree.root.children)
     out = []
     for line in lines:  # one blank line at most, outside pre this always holds
         line = line.rstrip(" ")

@@ -1,6 +1,7 @@
 """Rendered pages against what a reader sees."""
 
 import re
+import time
 
 import pytest
 
@@ -91,3 +92,27 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (None, "<p>a", "x")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(df).collect()) == [(0, "a"), (1, ""), (1, "")]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_long_quoted_values_end_at_their_quote():
+    for n in (700, 70_000, 1_000_000):
+        assert html_text.rendered(f'<p title="{"x" * n}>LEAK">visible</p>') == "visible"
+    assert html_text.rendered("<p title='a>b' data-x=\"'>\">ok</p><p a=\"unclosed>rest") == "ok\n\nrest"
+    assert html_text.rendered("a <b and <i") == "a <b and <i"
+
+
+def test_many_rules_quotes_and_levels_are_linear():
+    began = time.perf_counter()
+    rules = "".join(f".c{i}{{display:none}}" for i in range(10_000))
+    page = f"<style>{rules}</style>" + "".join(f'<p class="c{i} d">x{i}</p>' for i in range(9_990, 20_000))
+    assert html_text.rendered(page).split() == [f"x{i}" for i in range(10_000, 20_000)]
+    html_text.rendered('<p a="' * 20_000)
+    html_text.rendered("<a " * 20_000)
+    html_text.rendered("<div>" * 5_000 + "deep" + "</div>" * 5_000)
+    assert time.perf_counter() - began < 8
+
+
+def test_visible_inside_hidden():
+    page = "<style>.h{visibility:hidden}.v{visibility:visible}</style><p>a</p><div class=h>no <p class=v>yes <b>too</b></p><span style='visibility:visible'>inline</span> no</div>"
+    assert html_text.rendered(page) == "a\n\nyes too\n\ninline"
+    assert html_text.rendered("<div style='visibility:hidden'>no<div style='display:none'><p style='visibility:visible'>no</p></div></div>z") == "z"
