@@ -6,12 +6,18 @@ pivots and cut into groups; each group is indexed by cover trees over slices of
 neighbours. Queries are indexed by cover trees of their own. A task traverses one
 group's trees against one chunk's query trees together: a pair of nodes is
 dropped if no inner product of its members, by centres and covering radii, can
-reach the worst kth score of the query node. The groups' results are merged.
+reach the worst kth score of the query node.
+
+Two passes: each query first meets the group of its own cell, which gives it a kth
+score to beat. With that, a query is copied only to groups of cells that its bound
+(by the cell's pivot and covering radius) lets reach this score, and points only to
+chunks that some query visits. Scores from the first pass prune in the second from
+the beginning. The groups' results are merged; equal scores go to the smaller id.
 
 The search is exact whatever the pivots: they only bring neighbours together.
-Work and traffic: every query meets every group, as an exact search must unless
-bounds spare it; queries are copied once per group of up to GROUP points, and
-points once per chunk of up to CHUNK queries.
+Work and traffic: where no bound holds (vectors without structure in many
+dimensions), every query meets every group, in blocks of up to CHUNK queries and
+GROUP points.
 
 Defined results: rows whose id or vector is null, or whose vector holds null or
 non-finite components, take no part. Vectors meet only those of their own
@@ -34,15 +40,21 @@ from plumbline.llm.workspace import keep
 
 #: Bounds: sampled pivots, points per group, queries per chunk, points per tree, points per leaf.
 PIVOTS, GROUP, CHUNK, SLICE, LEAF = 64, 32768, 65536, 1024, 16
+#: Children of a tree node at most.
+FAN = 16
 #: Groups of small inputs are as small as this, so that several tasks share the work.
 LEAST_GROUP = 2048
 
 
+LEAST = np.iinfo(np.int64).min
+
+
 class CoverTree:
     """Nodes of one slice, breadth first: centre, radius that covers all below, children, and leaves' points.
 
-    A node of radius r has children whose centres lie more than r / 2 from each
-    other and cover its points within r / 2; the first child has the node's own centre.
+    A node's children are chosen farthest first, from the node's own centre on, until
+    they cover its points within half its radius or are FAN: their centres lie farther
+    from each other than any of the node's points from the nearest of them.
     """
 
     def __init__(self, points: np.ndarray):
@@ -57,15 +69,14 @@ class CoverTree:
             gap = np.sqrt(((p[own] - p[centre[node]]) ** 2).sum(1))
             radius[node] = float(gap.max(initial=0.0)) * (1 + 1e-9)
             if len(own) > LEAF and radius[node] > 0:
-                parts, rest, c = [], own, centre[node]
-                while len(rest):
-                    near = np.sqrt(((p[rest] - p[c]) ** 2).sum(1)) <= radius[node] / 2
-                    near |= rest == c
-                    parts.append((c, rest[near]))
-                    rest = rest[~near]
-                    c = rest[0] if len(rest) else -1
-                if len(parts) > len(own) // 4:  # points all far apart: a level more would cost more than it spares
-                    parts = [(x[0], x) for x in np.array_split(own, -(-len(own) // LEAF))]
+                centres, near, which = [centre[node]], gap.copy(), np.zeros(len(own), int)
+                while len(centres) < FAN and near.max() > radius[node] / 2:
+                    c = own[near.argmax()]
+                    to = np.sqrt(((p[own] - p[c]) ** 2).sum(1))
+                    closer = to < near
+                    near[closer], which[closer] = to[closer], len(centres)
+                    centres.append(c)
+                parts = [(c, own[which == i]) for i, c in enumerate(centres)]
                 order[start[node] : end[node]] = np.concatenate([x for _, x in parts])
                 child_at[node], child_n[node] = len(start), len(parts)
                 at = start[node]
@@ -120,32 +131,34 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     most = np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * max(q.shape[1], 1)
     if most < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    whole = [[int(v) for v in row] for row in x]
-    exact = [[sum(int(a) * b for a, b in zip(row, other, strict=True)) for other in whole] for row in q]
-    return np.array([[max(min(v, 2**63 - 1), -(2**63)) for v in row] for row in exact], np.int64).reshape(len(q), len(x))
+    q, x = (np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) for m in (q, x))
+    exact = q @ x.T
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class Search:
     """Dual traversal of query trees and point trees.
 
     ids: per point its smallest ids, ascending, padded with -1 at `held` ids.
+    floor: per query a score that its kth best elsewhere has; `compared` counts the pairs of vectors.
     """
 
-    def __init__(self, queries: Forest, query_ids: np.ndarray, points: Forest, ids: np.ndarray, held: np.ndarray, k: int):
+    def __init__(self, queries: Forest, query_ids: np.ndarray, points: Forest, ids: np.ndarray, held: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.q, self.x, self.k = queries, points, k
         self.query_ids = query_ids[queries.order]
         self.ids, self.held = ids[points.order], held[points.order]
         n = len(self.query_ids)
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
+        self.floor = np.full(n, LEAST) if floor is None else floor[queries.order]
+        self.compared = 0
+        self.score = np.full((n, k), LEAST)
         self.found = np.full((n, k), np.iinfo(np.int64).max)
         self.filled = np.zeros((n, k), bool)
 
     def worst(self, node: int) -> float:
-        """The least kth score among a query node's members; minus infinity while one has fewer."""
+        """The least kth score among a query node's members; minus infinity while one has none."""
         a, b = self.q.start[node], self.q.end[node]
-        if not self.filled[a:b, -1].all():
-            return -np.inf
-        return float(self.score[a:b, -1].min())
+        least = int(np.maximum(self.score[a:b, -1], self.floor[a:b]).min())
+        return -np.inf if least == LEAST else float(least)
 
     def bounds(self, node: int, nodes: np.ndarray) -> np.ndarray:
         """No member of the query node has a larger inner product with a member of these nodes."""
@@ -212,10 +225,11 @@ class Search:
         """All members of a query leaf against all members of point leaves."""
         a, b = int(self.q.start[node]), int(self.q.end[node])
         at = self.x.members(leaves)
+        self.compared += (b - a) * len(at)
         got = products(self.q.points[a:b], self.x.points[at])
         for r in range(a, b):
             own = got[r - a]
-            hit = np.flatnonzero(own >= self.score[r, -1]) if self.filled[r, -1] else np.arange(len(at))
+            hit = np.flatnonzero(own >= max(self.score[r, -1], self.floor[r]))
             if not len(hit):
                 continue
             if len(hit) > 4 * self.k:  # only the k best points can give results, ties kept
@@ -250,13 +264,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _cells(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds the number of the nearest pivot of the point's dimension."""
+    """Adds the number of the nearest pivot of the point's dimension, and the distance to it."""
 
     def run(batches):
         for batch in batches:
             dim = batch.column("dim").to_numpy()
             vectors = batch.column("v")
-            cell = np.zeros(len(dim), np.int32)
+            cell, gap = np.zeros(len(dim), np.int32), np.zeros(len(dim))
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
                 c = pivots.get(int(d))
@@ -264,31 +278,63 @@ def _cells(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     for part in np.array_split(at, -(-len(at) // 4096)):
                         v = _matrix(vectors.take(pa.array(part)))
                         cell[part] = np.argmax(v @ c.T - 0.5 * (c**2).sum(1), 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+                        gap[part] = np.sqrt(((v - c[cell[part]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], names=[*batch.schema.names, "cell", "gap"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    return points.mapInArrow(run, f"{schema}, cell int")
+    return points.mapInArrow(run, f"{schema}, cell int, gap double")
 
 
-def _grouped(points: DataFrame, most: int, name: str) -> tuple[DataFrame, dict[int, int]]:
+def _grouped(points: DataFrame, most: int, name: str, spread: tuple[str, ...]) -> tuple[DataFrame, list[tuple]]:
     """Cuts each dimension's points, in the order of their cells, into groups of about `most`
-    and at most twice as many, numbered from 0; and the number of groups by dimension."""
-    cells = points.groupBy("dim", "cell").agg(F.count("*").alias("n")).orderBy("dim", "cell").collect()  # PIVOTS rows at most for each dimension
-    rows, last = [], {}
+    and at most twice as many, numbered from 0; and per cell (dim, cell, number of its
+    first group, its groups, covering radius). `spread`: columns that share out a large cell."""
+    cells = points.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
+    cells = cells.orderBy("dim", "cell").collect()  # PIVOTS rows at most for each dimension
+    rows = []
     for dim, own in itertools.groupby(cells, lambda r: r["dim"]):
         number, room = -1, 0
         for r in own:
             parts = -(-r["n"] // most)
             if parts > 1 or r["n"] > room:
                 number, room = number + 1, most
-            rows.append((dim, r["cell"], number, parts))
+            rows.append((dim, r["cell"], number, parts, r["radius"]))
             room = room - r["n"] if parts == 1 else 0
             number += parts - 1
-        last[dim] = number + 1
-    plan = F.broadcast(points.sparkSession.createDataFrame(rows, "dim int, cell int, number int, parts int"))
-    # within a large cell, a hash spreads the points over its parts
-    group = F.col("number") + F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    return points.join(plan, ["dim", "cell"]).withColumn(name, group).drop("number", "parts"), last
+    return _in_groups(points, rows, name, spread), rows
+
+
+def _in_groups(points: DataFrame, plan: list[tuple], name: str, spread: tuple[str, ...]) -> DataFrame:
+    """Adds the number of each row's group by a plan of `_grouped`; rows of cells without one go."""
+    rows = F.broadcast(points.sparkSession.createDataFrame(plan, "dim int, cell int, number int, parts int, radius double"))
+    # within a large cell, a hash spreads the rows over its parts
+    group = F.col("number") + F.pmod(F.xxhash64(*spread), F.col("parts")).cast("int")
+    return points.join(rows, ["dim", "cell"]).withColumn(name, group).drop("number", "parts", "radius")
+
+
+def _visits(asked: DataFrame, pivots: dict[int, np.ndarray], plan: list[tuple]) -> DataFrame:
+    """Adds the groups, other than its own, in which a query can find its floor or more."""
+    by_dim = {d: list(rows) for d, rows in itertools.groupby(plan, lambda r: r[0])}
+
+    def run(batches):
+        for batch in batches:
+            dim, home = batch.column("dim").to_numpy(), batch.column("home").to_numpy()
+            floor = batch.column("floor").to_numpy()
+            visits: list[list[int]] = [[] for _ in dim]
+            for d in np.unique(dim):
+                at, rows = np.flatnonzero(dim == d), by_dim[int(d)]
+                first, parts, radius = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+                centre = pivots[int(d)][[r[1] for r in rows]] if d else np.zeros((len(rows), 0))
+                v = _matrix(batch.column("v").take(pa.array(at)))
+                length = np.sqrt((v**2).sum(1))[:, None]
+                cross = v @ centre.T
+                reach = cross + length * radius + 1e-9 * (np.abs(cross) + length * radius) + 1e-6
+                for i, hit in zip(at, (reach >= floor[at][:, None]) | (floor[at] == LEAST)[:, None], strict=True):
+                    visits[i] = sorted({g for f, n in zip(first[hit], parts[hit], strict=True) for g in range(f, f + n)} - {int(home[i])})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*batch.schema.names, "visits"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
+    return asked.mapInArrow(run, f"{schema}, visits array<int>")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -318,13 +364,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     n = points.count()
     size = min(GROUP, max(LEAST_GROUP, n // 16))
-    points, groups = _grouped(keep(_cells(points, centres), "cells"), size, "grp")
-    asked = keep(_cells(rows_of(queries).distinct(), centres), "asked")
-    asked, chunks = _grouped(asked, CHUNK, "chunk")
-    counts = [(d, groups[d], chunks[d]) for d in groups if d in chunks]  # a row for each dimension
-    counts = F.broadcast(spark.createDataFrame(counts, "dim int, groups int, chunks int"))
-    left = points.join(counts, "dim").select("dim", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cell", "v", "ids")
-    right = asked.join(counts, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "chunk", "cell", "v", "id", F.xxhash64("v").alias("query"))
+    points, plan = _grouped(keep(_cells(points, centres), "cells"), size, "grp", ("v",))
+    asked = keep(_cells(rows_of(queries).distinct(), centres).withColumn("query", F.xxhash64("v")), "asked")
+    asked, _ = _grouped(asked, CHUNK, "chunk", ("v", "id"))
+    asked = asked.filter(F.col("dim").isin(sorted({r[0] for r in plan})))  # the others have no points
 
     def search(x: pa.Table, q: pa.Table) -> pa.Table:
         out = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
@@ -336,13 +379,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         ids = np.full((len(x), k + 1), -1, np.int64)
         ids[np.repeat(np.arange(len(x)), held), spread(np.zeros(len(x), int), held)] = lists.flatten().to_numpy()
         query_ids, query = q.column("id").to_numpy(), q.column("query").to_numpy()
-        run = Search(Forest(_matrix(q.column("v"))), query_ids, Forest(_matrix(x.column("v"))), ids, held, k)
+        run = Search(Forest(_matrix(q.column("v"))), query_ids, Forest(_matrix(x.column("v"))), ids, held, k, q.column("floor").to_numpy())
         run.run()
         row, at = np.nonzero(run.filled)
         return pa.table([run.query_ids[row], query[run.q.order[row]], run.found[row, at], run.score[row, at]], schema=out)
 
-    met = left.groupBy("dim", "grp", "chunk").cogroup(right.groupBy("dim", "grp", "chunk"))
-    found = met.applyInArrow(search, "query_id long, query long, id long, score long")
+    def found_by(visits: DataFrame) -> DataFrame:
+        """Results of queries in the groups that they visit."""
+        visits = visits.select("dim", "grp", "chunk", "cell", "v", "id", "query", "floor")
+        met = visits.select(*(F.col(c).alias(c) for c in ("dim", "grp", "chunk"))).distinct()
+        copies = points.join(met, ["dim", "grp"]).select("dim", "grp", "chunk", "cell", "v", "ids")
+        met = copies.groupBy("dim", "grp", "chunk").cogroup(visits.groupBy("dim", "grp", "chunk"))
+        return met.applyInArrow(search, "query_id long, query long, id long, score long")
+
+    home = _in_groups(asked, plan, "grp", ("v",)).withColumn("floor", F.lit(int(LEAST)))
+    first = keep(found_by(home), "first")
+    kth = first.groupBy(F.col("query_id").alias("id"), "query").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+    own = home.select("id", "query", F.col("grp").alias("home"))
+    more = asked.join(own, ["id", "query"], "left").join(kth, ["id", "query"], "left")
+    more = more.select("dim", "cell", "chunk", "v", "id", "query", F.coalesce("home", F.lit(-1)).alias("home"), F.coalesce("kth", F.lit(int(LEAST))).alias("floor"))
+    more = keep(_visits(more, centres, plan), "visits").withColumn("grp", F.explode("visits"))
+    found = first.unionByName(found_by(more))
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -82,3 +82,30 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, [1.0], 0, 0, 0)], SCHEMA)
     assert cover_tree.top_k(some, some.filter(F.lit(False))).count() == 0
     assert cover_tree.top_k(some, some).count() == 0
+
+
+def test_clustered_queries_visit_few_groups(spark, monkeypatch):
+    for name, value in (("GROUP", 200), ("LEAST_GROUP", 200), ("CHUNK", 50)):
+        monkeypatch.setattr(cover_tree, name, value)
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(20, 16))
+    centre *= 4000 / np.sqrt((centre**2).sum(1))[:, None]
+    x = np.floor(centre[r.integers(0, 20, 4000)] + r.normal(size=(4000, 16)) * 20)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*row, 1, 2, 3) for row in rows], SCHEMA)
+    plain, share = cover_tree._visits, []
+
+    def counted(asked, pivots, plan):
+        out = plain(asked, pivots, plan)
+        groups = max(p[2] + p[3] for p in plan)
+        share.append(out.agg(F.avg(F.size("visits"))).first()[0] / (groups - 1))
+        return out
+
+    monkeypatch.setattr(cover_tree, "_visits", counted)
+    assert rows_of(cover_tree.top_k(df, df.filter("vec_id % 50 = 0"))) == brute(rows, lambda i: i % 50 == 0)
+    assert share[0] < 0.25, share
+
+
+def test_large_values_are_exact():
+    q, x = np.array([[2.0**40, 3.0], [-(2.0**62), 1.0]]), np.array([[2.0**20 + 1, 5.0], [2.0**60, 0.0]])
+    assert cover_tree.products(q, x).tolist() == [[2**60 + 2**40 + 15, 2**63 - 1], [-(2**63), -(2**63)]]
