@@ -16,7 +16,7 @@ from plumbline.functions.numeric import clean, t_quantile
 from plumbline.functions.rng import draw
 from plumbline.operators import sampling
 from plumbline.operators.analyzer import StabilityAnalyzer
-from plumbline.operators.ranking import average_rank
+from plumbline.operators.ranking import average_rank_of_rows
 
 #: Statistics that stay in SQL, from a resample's counts.
 STATISTICS = ("mean", "median", "std", "sum", "min", "max")
@@ -197,7 +197,7 @@ def detection(flags: DataFrame, by: list[str], truth: str = "corrupted", flagged
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Per group of `by`: U of rows whose `group` is true, their number and the others'; ties count one half."""
-    ranked = average_rank(df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()), by, value, "_r")
+    ranked = average_rank_of_rows(df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()), by, value, "_r")
     n1, n0 = F.count(F.when(F.col(group), 1)), F.count(F.when(~F.col(group), 1))
     agg = ranked.groupBy(*by) if by else ranked
     return agg.agg((F.sum(F.when(F.col(group), F.col("_r"))) - n1 * (n1 + 1) / 2.0).alias("u"), n1.alias("n1"), n0.alias("n0"))

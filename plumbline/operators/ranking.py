@@ -21,8 +21,12 @@ def buckets_for(rows: int) -> int:
     return max(1, -(-rows // BUCKET_ROWS))
 
 
-def hash_rank(df: DataFrame, by: list[str], hashed: str, ties: list[str], name: str = "rank", buckets: int = 1) -> DataFrame:
-    """Adds the 0-based rank of each row in its group by `hashed` (in [0, SPAN)), then by `ties`."""
+def hash_rank(df: DataFrame, by: list[str], hashed: str, ties: list[str], name: str = "rank", buckets: int | None = None) -> DataFrame:
+    """Adds the 0-based rank of each row in its group by `hashed` (in [0, SPAN)), then by `ties`.
+
+    buckets: by default those that the number of rows calls for, which is counted.
+    """
+    buckets = buckets or buckets_for(df.count())
     if buckets > 1:
         df = df.withColumn("_bucket", F.floor(F.col(hashed) / F.lit(SPAN / buckets)).cast("int"))
         keys = [*by, "_bucket"]
@@ -69,10 +73,25 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, descending
     return df.withColumn(name, rank + (tie - 1) / 2.0)
 
 
+def average_rank_of_rows(df: DataFrame, by: list[str], value: str, name: str, buckets: int | None = None) -> DataFrame:
+    """As average_rank, for groups of any size: distinct values are counted first, their running
+    totals run in buckets, and rows get their value's rank. value must not be null."""
+    own = df.select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_c")).withColumn("_all", F.lit(0))
+    buckets = buckets or buckets_for(own.count())
+    keys = [*by, "_all"]
+    cuts = value_cuts(own, keys, "_v", buckets) if buckets > 1 else None
+    ranks = running(own, keys, "_v", "_c", cuts, keys)
+    ranks = ranks.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_v", (F.col("below") + (F.col("_c") + 1) / 2.0).alias(name))
+    same = F.col(value) == F.col("_v")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranks, same).drop("_v", *(f"_k{i}" for i in range(len(by))))
+
+
 def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "rho") -> DataFrame:
     """Per group: the rank correlation of two columns, rows with a null left out; null if either is constant."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(both, by, a, "_ra"), by, b, "_rb")
+    ranked = average_rank_of_rows(average_rank_of_rows(both, by, a, "_ra"), by, b, "_rb")
     rho = F.when((F.var_pop("_ra") > 0) & (F.var_pop("_rb") > 0), F.corr("_ra", "_rb"))
     out = ranked.groupBy(*by) if by else ranked
     return out.agg(rho.alias(name), F.count("*").alias("n"))

@@ -2,7 +2,8 @@
 
 Every draw is a hash of (seed, purpose, keys), so results do not depend on the
 partitioning, and a lost task draws the same again. Row numbers come from
-`number_rows`; ranks by hash run in buckets (`ranking.hash_rank`).
+`number_rows`; ranks by hash run in buckets (`ranking.hash_rank`), by
+default as many as the number of rows calls for.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rng import draw
-from plumbline.operators.ranking import hash_rank
+from plumbline.operators.ranking import buckets_for, hash_rank
 
 
 def pool_ladder(n: int, min_pool: int = 50, linear_threshold: int = 1000, n_points: int = 25) -> list[int]:
@@ -33,24 +34,25 @@ def enough_events(pools: list[int], event_rate: float, least: int = 20) -> tuple
     return good, [p for p in pools if p * event_rate < least]
 
 
-def number_rows(df: DataFrame, keys: list[str], by: list[str] = (), buckets: int = 1, name: str = "row_id", backend: str = "xxhash64") -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], by: list[str] = (), buckets: int | None = None, name: str = "row_id", backend: str = "xxhash64") -> DataFrame:
     """Numbers the rows of each group from 0, in the order of a hash of `keys`; a row is the same in any plan."""
     hashed = df.withColumn("_h", draw("row", *(F.col(k) for k in keys), backend=backend))
     return hash_rank(hashed, list(by), "_h", list(keys), name, buckets).drop("_h")
 
 
-def exact_subsample(df: DataFrame, n: int, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int = 1) -> DataFrame:
+def exact_subsample(df: DataFrame, n: int, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int | None = None) -> DataFrame:
     """Exactly n rows (all, if there are fewer), without replacement."""
     hashed = df.withColumn("_h", draw(seed, "sample", *(F.col(k) for k in keys), backend=backend))
     return hash_rank(hashed, [], "_h", list(keys), "_rank", buckets).filter(F.col("_rank") < n).drop("_h", "_rank")
 
 
-def draw_pools(rows: DataFrame, pools: DataFrame, by: list[str], seed: int, row_id: str = "row_id", backend: str = "xxhash64", buckets: int = 1) -> DataFrame:
+def draw_pools(rows: DataFrame, pools: DataFrame, by: list[str], seed: int, row_id: str = "row_id", backend: str = "xxhash64", buckets: int | None = None) -> DataFrame:
     """Without replacement, `pool_size` rows of each group for each row of `pools`.
 
     pools: by columns, pool (a number), draw_no, pool_size. Adds them and `slot`,
     the row's number from 0 within its pool.
     """
+    buckets = buckets or buckets_for(rows.count())
     met = rows.join(F.broadcast(pools), by) if by else rows.crossJoin(F.broadcast(pools))
     hashed = met.withColumn("_h", draw(seed, "pool", F.col("pool"), F.col("draw_no"), F.col(row_id), backend=backend))
     ranked = hash_rank(hashed, [*by, "pool", "draw_no"], "_h", [row_id], "slot", buckets)
@@ -103,17 +105,18 @@ def poisson_bootstrap(pooled: DataFrame, n_resamples: int, frac: float, seed: in
 # -- splits --------------------------------------------------------------------------------
 
 
-def kfold(df: DataFrame, k: int, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int = 1) -> DataFrame:
+def kfold(df: DataFrame, k: int, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int | None = None) -> DataFrame:
     """Adds `fold`: shuffled, sizes equal but for one."""
     hashed = df.withColumn("_h", draw(seed, "fold", *(F.col(c) for c in keys), backend=backend))
     return hash_rank(hashed, [], "_h", keys, "_rank", buckets).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_h", "_rank")
 
 
-def repeated_split(df: DataFrame, n_splits: int, train_frac: float, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int = 1) -> DataFrame:
+def repeated_split(df: DataFrame, n_splits: int, train_frac: float, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int | None = None) -> DataFrame:
     """Rows with `split`: floor(n * train_frac) rows of each split, without replacement."""
+    n = df.count()
+    buckets = buckets or buckets_for(n)
     each = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     hashed = each.withColumn("_h", draw(seed, "split", F.col("split"), *(F.col(c) for c in keys), backend=backend))
-    n = df.count()
     return hash_rank(hashed, ["split"], "_h", keys, "_rank", buckets).filter(F.col("_rank") < int(n * train_frac)).drop("_h", "_rank")
 
 
@@ -127,7 +130,7 @@ def bootstrap_split(numbered: DataFrame, n_splits: int, seed: int, row_id: str =
     return numbered.join(drawn.select(F.col("pool").cast("int").alias("split"), F.col("slot").alias(row_id), "cnt"), row_id)
 
 
-def stratified_split(df: DataFrame, target: str, test_frac: float, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int = 1) -> DataFrame:
+def stratified_split(df: DataFrame, target: str, test_frac: float, seed: int, keys: list[str], backend: str = "xxhash64", buckets: int | None = None) -> DataFrame:
     """Adds `is_test`: floor(n * test_frac) rows of each class."""
     hashed = df.withColumn("_h", draw(seed, "strata", *(F.col(c) for c in keys), backend=backend))
     ranked = hash_rank(hashed, [target], "_h", keys, "_rank", buckets)
@@ -136,12 +139,13 @@ def stratified_split(df: DataFrame, target: str, test_frac: float, seed: int, ke
     return marked.withColumn("is_test", F.col("_rank") < F.floor(F.col("_n") * F.lit(test_frac))).drop("_h", "_rank", "_n")
 
 
-def positional_split(df: DataFrame, train_frac: float, order: list[str], buckets: int = 1) -> DataFrame:
+def positional_split(df: DataFrame, train_frac: float, order: list[str], buckets: int | None = None) -> DataFrame:
     """Adds `is_train`: the first floor(n * train_frac) rows in the order of numeric or time columns, unique together.
 
     Cuts of the first column split the rows into ordered buckets, and windows number within them.
     """
     n = df.count()
+    buckets = buckets or buckets_for(n)
     first = F.col(order[0]).cast("timestamp").cast("double") if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else F.col(order[0]).cast("double")
     cuts = df.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("c")).first()["c"] if buckets > 1 else []
     marked = df.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < first)) if cuts else F.lit(0))
@@ -156,11 +160,12 @@ def positional_split(df: DataFrame, train_frac: float, order: list[str], buckets
     return ranked.withColumn("is_train", F.col("_start") + F.col("_own") <= int(n * train_frac)).drop("_b", "_own", "_start")
 
 
-def permuted(df: DataFrame, feature: str, n_permutations: int, seed: int, row_id: str = "row_id", backend: str = "xxhash64", buckets: int = 1) -> DataFrame:
+def permuted(df: DataFrame, feature: str, n_permutations: int, seed: int, row_id: str = "row_id", backend: str = "xxhash64", buckets: int | None = None) -> DataFrame:
     """Rows with `permutation`: the feature's values dealt anew among the rows, for each permutation.
 
     row_id must number the rows from 0: the row of rank k by hash gives its value to row k.
     """
+    buckets = buckets or buckets_for(df.count())
     each = df.select(row_id, feature).withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
     hashed = each.withColumn("_h", draw(seed, "perm", F.col("permutation"), F.col(row_id), backend=backend))
     dealt = hash_rank(hashed, ["permutation"], "_h", [row_id], "_to", buckets).select("permutation", F.col("_to").alias(row_id), feature)

@@ -6,10 +6,10 @@ from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassi
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, compare, drift, importance, inference, models, reliability
+from plumbline.operators import attribution, compare, drift, importance, inference, models, reliability, sampling
 from plumbline.operators.ranking import spearman
 from plumbline.plans.registry import query
-from plumbline.plans.tables import LINES_SQL, PHI_SQL, attributions, lines
+from plumbline.plans.tables import DRAW_SQL, LINES_SQL, PHI_SQL, attributions, lines
 
 # -- attribution metrics ----------------------------------------------------------------------
 
@@ -19,7 +19,9 @@ _REF = f"SELECT feature, phi FROM ({PHI_SQL}) WHERE resample = 0"
 _DIRECTION = f"""SELECT feature, avg(s) AS direction_consistency FROM (SELECT sample, feature, avg((sign(phi) = CASE WHEN m < 0 THEN -1 ELSE 1 END)::INT) AS s FROM (SELECT *, avg(phi) OVER (PARTITION BY sample, feature) AS m FROM ({PHI_SQL})) GROUP BY ALL) GROUP BY feature"""
 _CV = f"SELECT feature, stddev_samp(importance) / avg(importance) AS magnitude_cv FROM ({_IMP}) GROUP BY feature"
 _IQR = f"SELECT feature, (quantile_cont(importance, 0.75) - quantile_cont(importance, 0.25)) / quantile_cont(importance, 0.5) AS magnitude_iqr FROM ({_IMP}) GROUP BY feature"
-_STABILITY = f"SELECT feature, least(greatest(1 - sqrt(var_samp(rk) / (8 * 9 / 12.0)), 0), 1) AS rank_stability FROM ({_RANKS}) GROUP BY feature"
+#: The number of features.
+_N = "(SELECT max(len(embedding)) FROM embeddings)"
+_STABILITY = f"SELECT feature, least(greatest(1 - sqrt(var_samp(rk) / ({_N} * ({_N} + 1) / 12.0)), 0), 1) AS rank_stability FROM ({_RANKS}) GROUP BY feature"
 _W1 = f"""SELECT feature, avg(w) AS wasserstein FROM (SELECT resample, feature, sum(part) AS w FROM (
     SELECT resample, feature, abs(sum(a) OVER o / sum(a) OVER n - sum(b) OVER o / sum(b) OVER n) * (lead(phi) OVER o - phi) AS part FROM (
       SELECT resample, feature, phi, sum(a) AS a, sum(b) AS b FROM (SELECT resample, feature, phi, 1 AS a, 0 AS b FROM ({PHI_SQL}) UNION ALL SELECT r.resample, q.feature, q.phi, 0, 1 FROM ({_REF}) q, (SELECT unnest(range(5))::INT AS resample) r) GROUP BY ALL)
@@ -116,7 +118,7 @@ _TRAIN, _HOLD = _SIDE.format("<"), _SIDE.format(">=")
 _DRIFT_W = f"""SELECT feature, coalesce(sum(part), 0) AS wasserstein FROM (SELECT feature, abs(sum(a) OVER o / sum(a) OVER n - sum(b) OVER o / sum(b) OVER n) * (lead(phi) OVER o - phi) AS part
     FROM (SELECT feature, phi, sum((resample < 3)::INT) AS a, sum((resample >= 3)::INT) AS b FROM ({PHI_SQL}) GROUP BY ALL) WINDOW o AS (PARTITION BY feature ORDER BY phi), n AS (PARTITION BY feature)) GROUP BY feature"""
 _DRIFT = f"""SELECT feature, t.rk AS rank_train, h.rk AS rank_holdout, t.rk - h.rk AS rank_change, t.imp AS magnitude_train, h.imp AS magnitude_holdout, h.imp / (t.imp + 1e-10) AS magnitude_ratio,
-    (t.m < 0) = (h.m < 0) AS direction_consistent, wasserstein, CASE WHEN (t.m < 0) = (h.m < 0) THEN 0 ELSE 0.4 END + 0.3 * least(abs(t.rk - h.rk) / 8, 1) + 0.3 * least(abs(h.imp / (t.imp + 1e-10) - 1) / 2, 1) AS drift_score
+    (t.m < 0) = (h.m < 0) AS direction_consistent, wasserstein, CASE WHEN (t.m < 0) = (h.m < 0) THEN 0 ELSE 0.4 END + 0.3 * least(abs(t.rk - h.rk) / {_N}, 1) + 0.3 * least(abs(h.imp / (t.imp + 1e-10) - 1) / 2, 1) AS drift_score
     FROM ({_TRAIN}) t JOIN ({_HOLD}) h USING (feature) JOIN ({_DRIFT_W}) USING (feature)"""
 _OVERALL = f"""SELECT *, least(greatest(0.3 * (1 - greatest(rank_correlation, 0)) + 0.3 * direction_flip_rate + 0.2 * (1 - topk_overlap) + 0.2 * least(magnitude_drift, 1), 0), 1) AS overall_drift_score FROM (
     SELECT corr(rank_train, rank_holdout) AS rank_correlation, avg((NOT direction_consistent)::INT) AS direction_flip_rate, avg(abs(magnitude_holdout - magnitude_train) / (magnitude_train + 1e-10)) AS magnitude_drift,
@@ -298,13 +300,17 @@ def _(read):
     return inference.t_intervals(scores, ["p_brand"], "score")
 
 
-@query("permutation_pvalue", "p_brand ~observed ~null_mean ~null_std ~p_value ~z_score significant", """
-    WITH o AS (SELECT p_brand, max(p_size)::DOUBLE AS observed FROM part WHERE p_partkey % 7 = 0 GROUP BY p_brand), a AS (SELECT p_brand, any_value(observed) AS observed, avg(p_size) AS m, stddev_samp(p_size) AS sd, avg((p_size >= observed)::INT) AS p FROM part JOIN o USING (p_brand) GROUP BY p_brand)
+@query("permutation_pvalue", "p_brand ~observed ~null_mean ~null_std ~p_value ~z_score significant", f"""
+    WITH b AS (SELECT row_number() OVER (ORDER BY {DRAW_SQL.format("concat_ws('-', 'row', p_partkey)")}, p_partkey) - 1 AS row_id, p_brand, p_size FROM part),
+    d AS (SELECT p AS permutation, p_size, row_number() OVER (PARTITION BY p ORDER BY {DRAW_SQL.format("concat_ws('-', 3, 'perm', p, row_id)")}, row_id) - 1 AS row_id FROM b, (SELECT unnest(range(1, 26)) AS p)),
+    s AS (SELECT p_brand, permutation, avg(d.p_size) AS score FROM d JOIN (SELECT row_id, p_brand FROM b) USING (row_id) GROUP BY ALL), o AS (SELECT p_brand, avg(p_size) AS observed FROM b GROUP BY p_brand),
+    a AS (SELECT p_brand, any_value(observed) AS observed, avg(score) AS m, stddev_samp(score) AS sd, avg((score >= observed)::INT) AS p FROM s JOIN o USING (p_brand) GROUP BY p_brand)
     SELECT p_brand, observed, m AS null_mean, sd AS null_std, p AS p_value, CASE WHEN sd > 0 THEN (observed - m) / sd END AS z_score, p < 0.05 AS significant FROM a""")
 def _(read):
-    part = read("part")
-    observed = part.filter("p_partkey % 7 = 0").groupBy("p_brand").agg(F.max("p_size").cast("double").alias("observed"))
-    return inference.null_summary(part.select("p_brand", F.col("p_size").cast("double").alias("score")), observed, ["p_brand"])
+    numbered = sampling.number_rows(read("part"), ["p_partkey"], backend="md5").select("row_id", "p_brand", "p_size")
+    dealt = sampling.permuted(numbered, "p_size", 25, 3, backend="md5")
+    nulls = dealt.groupBy("p_brand", "permutation").agg(F.avg("p_size").alias("score")).select("p_brand", "score")
+    return inference.null_summary(nulls, numbered.groupBy("p_brand").agg(F.avg("p_size").alias("observed")), ["p_brand"])
 
 
 @query("detection_metrics", "p_brand tp fp fn tn ~tpr ~fpr ~precision ~recall ~f1", """

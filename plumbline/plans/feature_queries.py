@@ -58,15 +58,18 @@ def _(read):
     return table.agg(F.count("*").alias("n"), F.sum("target").alias("events"), F.stddev_pop(corrupted[0]).alias("corrupted_spread"))
 
 
+def _customers(read):
+    return read("customer").withColumn("target", (F.col("c_mktsegment") == "BUILDING").cast("int"))
+
+
 @query("meta_bootstrap", "feature ~mean ~std ~ci_lower ~ci_upper n_splits")
 def _(read):
-    meta = inference.MetaBootstrap(n_splits=2)
-    return meta.fit(lines(read), "target", ["l_quantity"], LINE_KEY, n_resamples=3, n_points=4)["report"]
+    return inference.MetaBootstrap().fit(_customers(read), "target", ["c_acctbal", "c_nationkey"], ["c_custkey"], n_points=8)["report"]
 
 
 @query("permutation_baseline", "feature ~observed ~p_value ~z_score significant")
 def _(read):
-    return inference.PermutationBaseline(n_permutations=4).fit(read("customer").withColumn("target", (F.col("c_mktsegment") == "BUILDING").cast("int")), ["c_acctbal"], "target", ["c_custkey"], n_resamples=3, n_points=4)
+    return inference.PermutationBaseline().fit(_customers(read), ["c_acctbal", "c_nationkey"], "target", ["c_custkey"])
 
 
 @query("poisson_panel", "feature n_obs ~complexity_score")

@@ -9,7 +9,7 @@ from plumbline.operators import checks, curves, marginal, sampling
 from plumbline.operators.analyzer import StabilityAnalyzer
 from plumbline.operators.ranking import spearman
 from plumbline.plans.registry import query
-from plumbline.plans.tables import LINE_FEATURES, LINE_KEY, LINES_SQL, ORDERS_SQL, lines, long_sql, orders
+from plumbline.plans.tables import DRAW_SQL, LINE_FEATURES, LINE_KEY, LINES_SQL, ORDERS_SQL, lines, long_sql, orders
 
 LONG = long_sql(LINES_SQL, LINE_FEATURES)
 SEVERITY = "CASE WHEN m < 0.01 THEN 'critical' WHEN m < 0.05 THEN 'severe' WHEN m < 0.10 THEN 'moderate' ELSE 'none' END"
@@ -91,18 +91,15 @@ def _(read):
     return checks.winsorise(read("orders"), ["o_totalprice"])
 
 
-@query("pool_ladder", "n pool_size", """
-    SELECT n, unnest(CASE n WHEN 800 THEN [50, 238, 425, 612, 800] WHEN 60000 THEN [50, 525, 1000, 3915, 15326, 60000] END)::BIGINT AS pool_size FROM (VALUES (800::BIGINT), (60000)) AS t(n)""")
-def _(read):
-    rows = [(n, p) for n, k in ((800, 5), (60000, 6)) for p in sampling.pool_ladder(n, n_points=k)]
-    return read("region").sparkSession.createDataFrame(rows, "n long, pool_size long")
-
-
 # -- keyed draws: the hash of the key decides --------------------------------------------------
 
-_DRAW = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+_DRAW = DRAW_SQL
+#: The ladder of pools up to all customers, as `sampling.pool_ladder` climbs it: 25 steps, from 50.
+_POOLS = """SELECT row_number() OVER (ORDER BY pool_size) - 1 AS pool, pool_size FROM (
+    SELECT unnest(CASE WHEN n <= 1000 THEN [round_even(i * ((n - 50) / 24.0::DOUBLE) + 50, 0)::BIGINT for i in range(25)]
+        ELSE list_concat([round_even(i * (950 / 11.0::DOUBLE) + 50, 0)::BIGINT for i in range(12)], [round_even(pow(10.0::DOUBLE, i * ((log10(n) - 3) / 13.0::DOUBLE) + 3), 0)::BIGINT for i in range(1, 14)]) END) AS pool_size
+    FROM (SELECT count(*) AS n FROM customer) UNION SELECT count(*) FROM customer)"""
 _NUMBERED = f"SELECT *, row_number() OVER (ORDER BY {_DRAW.format("concat_ws('-', 'row', c_custkey)")}, c_custkey) - 1 AS row_id FROM customer"
-_POOLS = "SELECT unnest([0, 1, 2, 3]) AS pool, unnest([60, 90, 120, 150]) AS pool_size"
 _POOLED = f"""SELECT * FROM (SELECT r.*, p.*, row_number() OVER (PARTITION BY pool ORDER BY {_DRAW.format("concat_ws('-', 42, 'pool', pool, 0, row_id)")}, row_id) - 1 AS slot FROM ({_NUMBERED}) r, ({_POOLS}) p) WHERE slot < pool_size"""
 _DRAWS = f"""SELECT pool, pool_size, r, ({_DRAW.format("concat_ws('-', 42, 'boot', pool, 0, r, i)")} % pool_size) AS slot, count(*) AS cnt
     FROM (SELECT p.*, unnest(range(4)) AS r FROM ({_POOLS}) p) q, LATERAL (SELECT unnest(range(greatest(1, floor(q.pool_size * 0.8::DOUBLE)::BIGINT))) AS i) GROUP BY ALL"""
@@ -114,7 +111,7 @@ def _numbered(read):
 
 
 def _plan(read):
-    rows = [(i, 0, 60 + 30 * i) for i in range(4)]
+    rows = [(i, 0, size) for i, size in enumerate(sampling.pool_ladder(read("customer").count()))]
     return read("region").sparkSession.createDataFrame(rows, "pool int, draw_no int, pool_size long")
 
 
@@ -137,6 +134,11 @@ def _full(read):
     return marginal.full_sample(c)
 
 
+@query("pool_ladder", "pool pool_size", f"SELECT pool::INT AS pool, pool_size::BIGINT AS pool_size FROM ({_POOLS})")
+def _(read):
+    return _plan(read).drop("draw_no")
+
+
 @query("pool_draw", "pool pool_size slot c_custkey", f"SELECT pool::INT AS pool, pool_size::BIGINT AS pool_size, slot, c_custkey FROM ({_POOLED})")
 def _(read):
     return _pooled(read)

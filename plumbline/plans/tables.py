@@ -18,16 +18,18 @@ def orders(read) -> DataFrame:
     return read("orders").withColumn("target", (F.col("o_orderstatus") == "F").cast("int"))
 
 
-def attributions(read, resamples: int = 5, features: int = 8) -> DataFrame:
-    """embeddings as attributions: the first components as features, the id modulo as resample."""
-    e = read("embeddings").select((F.col("vec_id") % resamples).cast("int").alias("resample"), (F.col("vec_id") / resamples).cast("long").alias("sample"), F.slice("embedding", 1, features).alias("v"))
+def attributions(read, resamples: int = 5) -> DataFrame:
+    """embeddings as attributions: the components as features, the id modulo as resample."""
+    e = read("embeddings").select((F.col("vec_id") % resamples).cast("int").alias("resample"), (F.col("vec_id") / resamples).cast("long").alias("sample"), F.col("embedding").alias("v"))
     return e.select("resample", "sample", F.posexplode("v").alias("feature", "phi")).withColumn("phi", F.col("phi").cast("double"))
 
 
 # -- the same in SQL -----------------------------------------------------------------------
+#: The draw of a key, as `functions.rng.draw` makes it with md5.
+DRAW_SQL = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 LINES_SQL = "SELECT *, (l_returnflag = 'R')::INT AS target FROM lineitem"
 ORDERS_SQL = "SELECT *, (o_orderstatus = 'F')::INT AS target FROM orders"
-PHI_SQL = "SELECT (vec_id % 5)::INT AS resample, (vec_id // 5)::BIGINT AS sample, f AS feature, embedding[f + 1]::DOUBLE AS phi FROM embeddings, (SELECT unnest(range(8))::INT AS f)"
+PHI_SQL = "SELECT (vec_id % 5)::INT AS resample, (vec_id // 5)::BIGINT AS sample, f AS feature, embedding[f + 1]::DOUBLE AS phi FROM (SELECT *, unnest(range(len(embedding)))::INT AS f FROM embeddings)"
 
 
 def long_sql(source: str, features: list[str], target: str = "target") -> str:
