@@ -39,9 +39,9 @@ from plumbline.llm.components import components
 from plumbline.llm.workspace import keep, keep_result, split_near
 
 SHINGLE = 5
-SLOTS, ROOTS = 128, 16
+SLOTS, ROOTS = 256, 16
 FIRST_ROOTS = 6
-#: Sets compared exhaustively, and sets (of about 150 bytes) whose node one task branches.
+#: Sets compared exhaustively, and sets (of about 300 bytes) whose node one task branches.
 SMALL, LOCAL = 64, 1 << 17
 PIVOTS = 4
 MAX_DEPTH = 40
@@ -356,7 +356,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
 def _linked(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The component of each id with shingles; and, without an id, of each class (d1, d2, n) that rows without an id are in."""
     spark = docs.sparkSession
-    least, like = percent / 100 - 0.15, percent / 100
+    like = percent / 100
+    least = like - 4 * (like * (1 - like) / SLOTS) ** 0.5  # four standard deviations of the estimate
     full = rows.filter("n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     member = full.filter("id is not null").join(classes, ["d1", "d2", "n"]).select("id", "rep", "n", "sig", "roots")
