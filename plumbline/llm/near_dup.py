@@ -12,7 +12,10 @@ The first trees link each set with few others, and a set that a pivot is like
 goes no further there. The components so found let the later trees skip pairs
 that are joined already: a node of one component ends, and one in which at most
 SMALL sets are outside the largest component compares those with all its sets,
-so a large group of copies costs its size and not its square. In the later trees
+so a large group of copies costs its size and not its square. What the later trees
+compare with pivots, or with the sets outside, is confirmed in blocks: a few sets
+against up to BLOCK others, each full set once in a block and not once in a pair,
+and a set's link with a component is given once. In the later trees
 every other set of a larger node branches, whatever it is like. Those trees are
 independent: a link between different components is missed only if all miss it.
 Nodes that MAX_DEPTH choices did not part are compared in blocks, all with all.
@@ -45,6 +48,14 @@ FIRST_ROOTS = 6
 SMALL, LOCAL = 64, 1 << 17
 PIVOTS = 4
 MAX_DEPTH = 40
+#: Sets on a side of a block, and their shingles together (a set of more is a side of its own).
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+
+#: Candidates: a pair (a, b); or with a block's number, the set a of the block, on the side of the few or not.
+CANDIDATES = "a long, b long, block long, few boolean, comp long"
+
+#: Ids, components and sizes of sets.
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 1 << 31, SLOTS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -150,10 +161,8 @@ def _exhaustive(node: np.ndarray, rows: np.ndarray, sig: np.ndarray, comp: np.nd
     return rows[a], rows[b]
 
 
-def _met_pivots(est: np.ndarray, other: np.ndarray, spanning: bool) -> np.ndarray:
-    """Of members (rows) and pivots (columns), the candidate pairs: only the best, if spanning."""
-    if not spanning:
-        return other
+def _best_pivot(est: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of the candidate pairs of members (rows) and pivots (columns), each member's best."""
     est = np.where(other, est, 0.0)
     best = np.zeros(est.shape, bool)
     if est.size:
@@ -161,6 +170,38 @@ def _met_pivots(est: np.ndarray, other: np.ndarray, spanning: bool) -> np.ndarra
     return other & best
 
 
+def _sides(n: np.ndarray) -> Iterator[slice]:
+    """Runs of sets, of the given sizes, that are one side of a block."""
+    total, at = tk.prefix(n), 0
+    while at < len(n):
+        end = int(np.searchsorted(total, total[at] + BLOCK_SHINGLES, "right")) - 1
+        end = max(min(end, at + BLOCK), at + 1)
+        yield slice(at, end)
+        at = end
+
+
+def _blocks(key: int, few: Sets, many: Sets, other: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The blocks that hold all candidate pairs of a node, `other` of many (rows) and few (columns)."""
+    out, salt = [], tk.mix(np.array([key], np.int64).view(np.uint64))[0]
+    for i in _sides(few[2]):
+        wanted, met = np.flatnonzero(other[:, i].any(1)), np.flatnonzero(other[:, i].any(0)) + i.start
+        for j in _sides(many[2][wanted]):
+            rows = wanted[j]
+            ids, comp = (np.concatenate([few[c][met], many[c][rows]]) for c in (0, 1))
+            ends = np.array([ids[0], many[0][rows[0]]], np.int64).view(np.uint64)
+            block = np.full(len(ids), tk.mix(tk.mix(ends[:1] + salt) + ends[1:]).view(np.int64)[0])
+            out.append((ids, block, np.arange(len(ids)) < len(met), comp))
+    return out
+
+
+def _candidate_batch(a: np.ndarray, b: np.ndarray, blocks: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows of CANDIDATES: pairs, then the sets of blocks."""
+    ids, block, few, comp = map(np.concatenate, zip(*blocks)) if blocks else (np.zeros(0, np.int64),) * 4
+    join = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(len(a), t), pa.array(y, t) if y is not None else pa.nulls(len(ids), t)])
+    columns = [join(a, ids, pa.int64()), join(b, None, pa.int64()), join(None, block, pa.int64()), join(None, few.astype(bool), pa.bool_()), join(None, comp, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "block", "few", "comp"])
+
+
 def _children(hashed: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Twice, of members with their nodes' hashes: which go on, and the child's key. A node
     chooses one position, and every third node a second one: 1 / 0.75 on average."""
@@ -177,10 +218,10 @@ def _outside(comp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at != count.argmax())
 
 
-def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp: np.ndarray, n: np.ndarray, least: float, share: float, like: float, spanning: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Branches one node down to small ones, as `_branch` does across tasks: the small nodes'
-    rows, and the pairs with pivots, or with all sets outside the largest component."""
-    leaves, left, right, stack, met = [], [], [], [(key, rows, 0)], set()
+def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp: np.ndarray, n: np.ndarray, least: float, share: float, like: float, spanning: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[tuple[np.ndarray, ...]]]:
+    """Branches one node down to small ones, as `_branch` does across tasks: the small nodes' rows; the
+    pairs with pivots, if spanning; or else blocks with pivots, or with all sets outside the largest component."""
+    leaves, left, right, blocks, stack, met = [], [], [], [], [(key, rows, 0)], set()
     while stack:
         key, own, depth = stack.pop()
         if len(own) < 2 or (comp[own] == comp[own[0]]).all():
@@ -193,9 +234,12 @@ def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp:
         pivots = own[outside] if ends else own[np.argsort(tk.mix(id_[own].view(np.uint64) + tk.U(key & 0xFFFFFFFFFFFFFFFF)), kind="stable")[:PIVOTS]]
         est = np.stack([_similarity(sig[own], sig[p]) for p in pivots], 1)
         other = (comp[pivots][None, :] != comp[own][:, None]) & (est >= least) & _fit(n[pivots][None, :], n[own][:, None], share)
-        i, j = np.nonzero(_met_pivots(est, other, spanning))
-        left.append(own[i])
-        right.append(pivots[j])
+        if spanning:
+            i, j = np.nonzero(_best_pivot(est, other))
+            left.append(own[i])
+            right.append(pivots[j])
+        else:
+            blocks += _blocks(key, (id_[pivots], comp[pivots], n[pivots]), (id_[own], comp[own], n[own]), other)
         if ends:
             continue
         own = own[~(np.isin(own, pivots) | ((est >= like).any(1) & spanning))]
@@ -207,11 +251,11 @@ def _descend(key: int, rows: np.ndarray, id_: np.ndarray, sig: np.ndarray, comp:
                 if len(part) > 1 and (k := int(keys[part[0]])) not in met:
                     met.add(k)
                     stack.append((k, members[part], depth + 1))
-    return leaves, left, right
+    return leaves, left, right, blocks
 
 
 def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanning: bool, exhaustive: bool = False) -> DataFrame:
-    """Candidate pairs (a, b) from nodes of at most LOCAL sets, branched down to SMALL ones unless `exhaustive`."""
+    """Candidates from nodes of at most LOCAL sets, branched down to SMALL ones unless `exhaustive`."""
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
         key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
@@ -220,18 +264,19 @@ def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanni
         size = np.diff(np.append(first, len(key)))
         whole = (size <= SMALL) | exhaustive
         small = np.repeat(whole, size)
-        nodes, at, left, right = [np.flatnonzero(small)], [np.repeat(np.arange(len(size)), size)[small]], [], []
+        nodes, at, left, right, blocks = [np.flatnonzero(small)], [np.repeat(np.arange(len(size)), size)[small]], [], [], []
         for k in np.flatnonzero(~whole):
-            leaves, a, b = _descend(int(key[first[k]]), np.arange(first[k], first[k] + size[k]), id_, sig, comp, n, least, share, like, spanning)
+            leaves, a, b, more = _descend(int(key[first[k]]), np.arange(first[k], first[k] + size[k]), id_, sig, comp, n, least, share, like, spanning)
             left += a
             right += b
+            blocks += more
             nodes += leaves
             at += [np.full(len(x), len(size) + len(at) + i) for i, x in enumerate(leaves)]
         a, b = _exhaustive(np.concatenate(at), np.concatenate(nodes), sig, comp, n, least, share, spanning)
         a, b = np.concatenate([a, *left]), np.concatenate([b, *right])
         # one pair can stand in several of a node's leaves
         a, b = np.divmod(np.unique(np.minimum(a, b) * len(key) + np.maximum(a, b)), len(key))
-        return pa.RecordBatch.from_arrays([pa.array(id_[a]), pa.array(id_[b])], names=["a", "b"])
+        return _candidate_batch(id_[a], id_[b], blocks)
 
     def run(batches: Iterator[pa.RecordBatch]):
         rest = None
@@ -247,12 +292,12 @@ def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanni
             yield pairs_of(rest.combine_chunks())
 
     rows = rows.select("key", "id", "comp", "n", "sig").repartition("key").sortWithinPartitions("key", F.xxhash64("id"))
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, CANDIDATES)
 
 
 def _branch(rows: DataFrame, least: float, share: float, like: float, spanning: bool) -> DataFrame:
-    """For members of large nodes: candidate pairs with the pivots of other components,
-    and the children's keys, unless the node ends or, if spanning, a pivot is like the member."""
+    """For members of large nodes: candidates with the pivots of other components, and the
+    children's keys (`child`), unless the node ends or, if spanning, a pivot is like the member."""
 
     def run(batches):
         for batch in batches:
@@ -271,20 +316,29 @@ def _branch(rows: DataFrame, least: float, share: float, like: float, spanning:
             most = int(place.max(initial=0)) + 1
             wide, mask = np.zeros((len(key), most)), np.zeros((len(key), most), bool)
             wide[owner, place], mask[owner, place] = est, other
-            use = np.flatnonzero(_met_pivots(wide, mask, spanning)[owner, place])
+            use, blocks = np.zeros(0, np.int64), []
+            if spanning:
+                use = np.flatnonzero(_best_pivot(wide, mask)[owner, place])
+            else:  # the members of a node that meet the same pivots
+                size = np.diff(pivots.offsets.to_numpy())
+                start = tk.prefix(size)[:-1]
+                same = tk.mix(tk.mix(key.view(np.uint64)) + p_id[start].view(np.uint64))
+                _, first, group = np.unique(same, return_index=True, return_inverse=True)
+                for g, r in enumerate(first):
+                    own, few = np.flatnonzero(group == g), slice(start[r], start[r] + size[r])
+                    blocks += _blocks(int(key[r]), (p_id[few], p_comp[few], p_n[few]), (id_[own], comp[own], n[own]), mask[own, : few.stop - few.start])
+            got = _candidate_batch(id_[owner[use]], p_id[use], blocks)
+            yield got.append_column("child", pa.nulls(len(got), pa.int64()))
             (go_a, key_a), (go_b, key_b) = _children(tk.mix(key.view(np.uint64)), sig)
             keep_a, keep_b = go_a & ~done, go_b & ~done
-            out_id = np.concatenate([id_[owner[use]], id_[keep_a], id_[keep_b]])
-            out_b = np.concatenate([p_id[use], np.full(keep_a.sum() + keep_b.sum(), -1)])
-            out_key = np.concatenate([np.zeros(len(use), np.int64), key_a[keep_a], key_b[keep_b]])
-            is_pair = np.concatenate([np.ones(len(use), bool), np.zeros(len(out_id) - len(use), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_b), pa.array(out_key), pa.array(is_pair)], names=["id", "b", "key", "is_pair"])
+            on = _candidate_batch(np.concatenate([id_[keep_a], id_[keep_b]]), None, [])
+            yield on.append_column("child", pa.array(np.concatenate([key_a[keep_a], key_b[keep_b]])))
 
-    return rows.mapInArrow(run, "id long, b long, key long, is_pair boolean")
+    return rows.mapInArrow(run, f"{CANDIDATES}, child long")
 
 
 def _in_blocks(rows: DataFrame, slim: DataFrame, least: float, share: float, like: float, spanning: bool, block: int = 4096) -> DataFrame:
-    """All candidate pairs of the nodes' sets, whatever the nodes' sizes: each pair of blocks is compared in a task of its own."""
+    """All candidates of the nodes' sets, whatever the nodes' sizes: each pair of blocks is compared in a task of its own."""
     nodes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("size > 1 and low != high")
     parts = nodes.select("key", F.ceil(F.col("size") / block).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("own")
@@ -294,7 +348,7 @@ def _in_blocks(rows: DataFrame, slim: DataFrame, least: float, share: float, lik
 
 
 def _candidates(sets: DataFrame, roots: range, least: float, share: float, like: float, spanning: bool) -> DataFrame:
-    """Candidate pairs from the trees that begin at the given roots. sets: id, comp, n, sig, roots."""
+    """CANDIDATES from the trees that begin at the given roots. sets: id, comp, n, sig, roots."""
     picked = F.array(*(F.element_at("roots", r + 1) for r in roots))
     rows = sets.select("id", "comp", F.explode(picked).alias("key"))
     slim = sets.select("id", "comp", "n", "sig")
@@ -320,20 +374,49 @@ def _candidates(sets: DataFrame, roots: range, least: float, share: float, like:
         at = at.join(slim, "id").groupBy("key", "ends", part.alias("part")).agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("pivots"))
         members = rows.select("key", "id").join(slim, "id").join(at, "key")
         branched = keep(_branch(members, least, share, like, spanning), "branches")
-        found.append(branched.filter("is_pair").select(F.col("id").alias("a"), "b"))
+        found.append(branched.filter("child is null").drop("child"))
         # children may be met along two paths
-        rows = branched.filter("not is_pair").select("id", "key").distinct().join(slim.select("id", "comp"), "id")
+        rows = branched.filter("child is not null").select(F.col("a").alias("id"), F.col("child").alias("key")).distinct().join(slim.select("id", "comp"), "id")
     else:  # what MAX_DEPTH choices of positions did not part
         found.append(_in_blocks(rows, slim, least, share, like, spanning))
-    pairs = found[0]
+    got = found[0]
     for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs whose full sets share at least `percent` hundredths of their union."""
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        got = got.unionByName(more)
+    ends = F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")  # a set of a block has no b
+    return got.select(*ends, "block", "few", "comp").filter("b is null or a != b").distinct()
+
+
+def _links_of(block: pa.Table, percent: int) -> pa.Table:
+    """Links between the few and the many of a block, whose full sets are compared: each of the few with one of each other component."""
+    block = block.combine_chunks()
+    id_, comp, few = (block.column(c).to_numpy() for c in ("a", "comp", "few"))
+    grams = block.column("grams").combine_chunks()
+    grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+    offsets = grams.offsets.to_numpy()
+    n = np.diff(offsets)
+    values, code = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+    offsets = offsets - offsets[0]
+    few = few.astype(bool)
+    many = np.flatnonzero(~few)
+    of_many = code[np.repeat(~few, n)]
+    starts = tk.prefix(n[many])[:-1]
+    a, b = [], []
+    for i in np.flatnonzero(few):
+        own = np.zeros(len(values), bool)
+        own[code[offsets[i] : offsets[i + 1]]] = True
+        common = np.add.reduceat(own[of_many], starts, dtype=np.int64)
+        linked = np.flatnonzero((comp[many] != comp[i]) & (common > 0) & (100 * common >= percent * (n[i] + n[many] - common)))
+        linked = many[linked[np.unique(comp[many[linked]], return_index=True)[1]]]
+        a.append(np.full(len(linked), id_[i]))
+        b.append(id_[linked])
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def _confirm(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links among CANDIDATES: full sets share at least `percent` hundredths of their union."""
+    pairs, blocks = found.filter("block is null").select("a", "b"), found.filter("block is not null").select("block", "a", "few", "comp")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(blocks.select(F.col("a").alias("id")))
+    wanted = keep(ids.distinct(), "wanted")
 
     def run(batches):
         for batch in batches:
@@ -350,7 +433,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return keep(both.filter((common > 0) & (100 * common >= percent * union)).select("a", "b"), "links")
+    links = both.filter((common > 0) & (100 * common >= percent * union)).select("a", "b")
+    blocks = blocks.join(sets.select(F.col("id").alias("a"), "grams"), "a")
+    in_blocks = blocks.groupBy("block").applyInArrow(lambda block: _links_of(block, percent), "a long, b long")
+    return keep(links.unionByName(in_blocks), "links")
 
 
 def _linked(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import near_dup, registry
 from plumbline.llm.components import components
@@ -135,10 +136,41 @@ def test_few_sets_outside_a_large_component():
     rows = np.arange(500)
     sig = np.repeat(r.integers(0, 256, (1, near_dup.SLOTS), dtype=np.uint8), 500, 0)
     comp = np.where(rows < 470, 0, rows)
-    leaves, a, b = near_dup._descend(5, rows, rows, sig, comp, np.full(500, 9), 0.6, 0.75, 0.8, False)
-    pairs = {(min(x, y), max(x, y)) for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())}
-    assert not leaves
-    assert pairs == {(x, y) for x in range(500) for y in range(max(x + 1, 470), 500)}
+    leaves, a, b, blocks = near_dup._descend(5, rows, rows, sig, comp, np.full(500, 9), 0.6, 0.75, 0.8, False)
+    assert not leaves and not a and not b
+    (ids, _, few, comps), = blocks
+    assert ids[few].tolist() == list(range(470, 500)) and comps.tolist() == comp[ids].tolist()
+    assert sorted(ids[~few].tolist()) == list(range(500))
+
+
+def test_blocks_hold_every_candidate_and_are_bounded(monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 60)
+    few = (np.arange(900, 920), np.arange(20), r.integers(1, 90, 20))
+    many = (np.arange(100), np.arange(100, 200), r.integers(1, 90, 100))
+    other = r.random((100, 20)) < 0.2
+    blocks = near_dup._blocks(3, few, many, other)
+    n = dict(zip(few[0].tolist(), few[2].tolist())) | dict(zip(many[0].tolist(), many[2].tolist()))
+    held, numbers = set(), []
+    for ids, block, side, _ in blocks:
+        numbers += set(block.tolist())
+        held |= {(m, f) for f in ids[side].tolist() for m in ids[~side].tolist()}
+        for own in (ids[side].tolist(), ids[~side].tolist()):
+            assert 0 < len(own) <= 7 and (len(own) == 1 or sum(n[i] for i in own) <= 60)
+    assert held >= {(int(m), 900 + int(f)) for m, f in zip(*np.nonzero(other))}
+    assert len(numbers) == len(blocks) == len(set(numbers))
+
+
+def test_links_of_a_block():
+    """Each of the few links once with a component, by exact sets; shares of exactly 75 % count."""
+    sets = {1: range(8), 2: range(6), 3: range(5), 4: range(6), 5: range(50, 51), 6: range(8)}
+    side = [(1, True, 1), (2, False, 2), (3, False, 3), (4, False, 2), (5, False, 5), (6, False, 1), (1, False, 1)]
+    table = pa.table({
+        "a": [i for i, _, _ in side], "few": [f for _, f, _ in side], "comp": [c for _, _, c in side],
+        "grams": pa.array([list(sets[i]) for i, _, _ in side], pa.list_(pa.int64())),
+    })
+    assert near_dup._links_of(table, 75).to_pylist() == [{"a": 1, "b": 2}]
 
 
 def test_what_no_choice_parts_is_compared_in_blocks(spark, monkeypatch):
