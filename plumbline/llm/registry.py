@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, cover_tree, html_text, near_dup, packing, quality, repeats, token_files, toxicity, zip_warc
+from plumbline.llm import bpe, cover_tree, html_text, near_dup, packing, quality, repeats, spelling, token_files, toxicity, zip_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 5 code points and 3 occurrences of all documents, with their forms and roots."""
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), spoil=97))
+
+
 #: Exact inner products of the quantised vectors, and the payloads' digests, are plain SQL.
 SQL = {
     "op2_zip_warc": """
@@ -112,11 +117,30 @@ SQL = {
              s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INT AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_spelling_variants": """
+        WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+             runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+             own AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+             bytes AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS b FROM own),
+             sums AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+             spoilt AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums),
+             v AS (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+             gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+             inserted AS (SELECT DISTINCT gone.word AS long, gone.n AS long_n, v.word AS short, v.n AS short_n FROM gone JOIN v ON gone.rest = v.word),
+             near AS (SELECT a.word, b.word AS other, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                      UNION ALL SELECT long, short, short_n FROM inserted UNION ALL SELECT short, long, long_n FROM inserted),
+             best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+             forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+                       FROM v LEFT JOIN best ON v.word = best.word),
+             chain AS (SELECT word, coalesce(form, word) AS root, 0 AS step FROM forms
+                       UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL),
+             ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON forms.word = ends.word""",
 }
 
 
 def queries() -> dict[str, Query]:
-    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules)
+    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules, op11_spelling_variants)
     return {f.__name__: f for f in numbered}
 
 
