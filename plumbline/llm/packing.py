@@ -106,18 +106,19 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, in
     return np.array(rows, np.int64).reshape(-1, 5), opened
 
 
-def pack(
+def pieces_of(
     docs: DataFrame,
     path: str,
-    capacity: int = 2048,
-    end_id: int = 1,
+    capacity: int,
+    end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
     summary: Summary = piece_ids,
     summary_ddl: str = "ids array<int>",
+    short_first: bool = False,
 ) -> DataFrame:
-    """Per piece: id, start, length, what `summary` makes of its ids (the ids by default),
-    doc_tokens, sequence_id, offset."""
+    """Documents as ids with an end id, cut into pieces of `capacity` and a shorter one, which is the
+    last or (`short_first`) the first: id, start, length, what `summary` gives, doc_tokens, turn."""
     names = [f.split()[0] for f in summary_ddl.split(", ")]
 
     def cut(batches):
@@ -129,7 +130,11 @@ def pack(
                 many = -(-size // capacity)
                 row = np.repeat(np.arange(s.rows), many)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * capacity
-                length = np.minimum(capacity, size[row] - start)
+                end = np.minimum(start + capacity, size[row])
+                if short_first:
+                    spare = (many * capacity - size)[row]
+                    start, end = np.maximum(start - spare, 0), start + capacity - spare
+                length = end - start
                 full = np.insert(ids, offsets[1:], end_id).astype(np.int32)
                 at = (offsets[:-1] + np.arange(s.rows))[row] + start
                 got = summary([full[a : a + n] for a, n in zip(at, length, strict=True)])
@@ -139,12 +144,19 @@ def pack(
                 turn += len(row)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    pieces = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(cut, f"id long, start long, length long, {summary_ddl}, doc_tokens long, turn long")
-    pieces = keep(pieces, "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan, _ = best_fit_plan(counts, capacity)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(cut, f"id long, start long, length long, {summary_ddl}, doc_tokens long, turn long")
+
 
-    buckets = max(64, sum(counts.values()) // 4096)
+def lengths(pieces: DataFrame) -> dict[int, int]:
+    """How many pieces there are of each length: at most `capacity` rows, whatever the input."""
+    return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+
+
+def placed(pieces: DataFrame, plan: np.ndarray, n: int, summary_ddl: str = "ids array<int>") -> DataFrame:
+    """Numbers the n pieces of `pieces_of` within their lengths and gives each the window
+    (sequence_id) and offset of a plan with the rows of `best_fit_plan`."""
+    names = [f.split()[0] for f in summary_ddl.split(", ")]
+    buckets = max(64, n // 4096)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "turn"), F.lit(buckets)))
     before = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,8 +178,25 @@ def pack(
             columns = [*batch.columns[:-1], pa.array(p[:, 2] + t // p[:, 3]), pa.array(p[:, 4] + t % p[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", *names, "doc_tokens", "sequence_id", "offset"])
 
-    ddl = f"id long, start long, length long, {summary_ddl}, doc_tokens long, sequence_id long, offset long"
-    return ranked.mapInArrow(place, ddl).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(place, f"id long, start long, length long, {summary_ddl}, doc_tokens long, sequence_id long, offset long")
+
+
+def pack(
+    docs: DataFrame,
+    path: str,
+    capacity: int = 2048,
+    end_id: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    summary: Summary = piece_ids,
+    summary_ddl: str = "ids array<int>",
+) -> DataFrame:
+    """Per piece: id, start, length, what `summary` makes of its ids (the ids by default),
+    doc_tokens, sequence_id, offset."""
+    pieces = keep(pieces_of(docs, path, capacity, end_id, id_col, text_col, summary, summary_ddl), "pieces")
+    counts = lengths(pieces)
+    plan, _ = best_fit_plan(counts, capacity)
+    return placed(pieces, plan, sum(counts.values()), summary_ddl).withColumnRenamed("id", id_col)
 
 
 def sequences(packed: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, cover_tree, html_text, near_dup, packing, quality, repeats, spelling, token_files, toxicity, zip_warc
+from plumbline.llm import bpe, cover_tree, html_text, near_dup, packing, quality, repeats, spelling, token_files, toxicity, vector_packing, zip_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), spoil=97))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens; documents and cost are bounded by the tokens alone."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return vector_packing.pack(_table(spark, sf_dir, "documents"), path, vector_packing.Room(1024), summary=_crc32, summary_ddl="ids_crc32 long")
+
+
 #: Exact inner products of the quantised vectors, and the payloads' digests, are plain SQL.
 SQL = {
     "op2_zip_warc": """
@@ -140,7 +146,7 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules, op11_spelling_variants)
+    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules, op11_spelling_variants, op12_vector_packing)
     return {f.__name__: f for f in numbered}
 
 
