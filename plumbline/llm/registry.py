@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, cover_tree, html_text, near_dup, packing, quality, repeats, spelling, token_files, toxicity, vector_packing, zip_warc
+from plumbline.llm import bpe, cover_tree, hard_negatives, html_text, near_dup, packing, quality, repeats, spelling, token_files, toxicity, vector_packing, zip_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,13 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(_table(spark, sf_dir, "documents"), path, vector_packing.Room(1024), summary=_crc32, summary_ddl="ids_crc32 long")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows divisible by 50, among all rows; a seventh of the labels is moved on by one."""
+    rows = _table(spark, sf_dir, "embeddings").filter(cover_tree.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return hard_negatives.mine(rows.select("vec_id", label, cover_tree.quantised(F.col("embedding")).alias("embedding")), F.col("vec_id") % 50 == 0)
+
+
 #: Exact inner products of the quantised vectors, and the payloads' digests, are plain SQL.
 SQL = {
     "op2_zip_warc": """
@@ -123,6 +130,14 @@ SQL = {
              s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INT AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_dot_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+             n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+                   FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op11_spelling_variants": """
         WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
              runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
@@ -146,7 +161,7 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules, op11_spelling_variants, op12_vector_packing)
+    numbered = (op1_toxicity, op2_zip_warc, op3_top_k_search, op4_near_dup, op5_bpe_round_trip, op6_packing, op7_substring_dedup, op8_token_counts, op9_html_text, op10_quality_rules, op11_spelling_variants, op12_vector_packing, op13_hard_negatives)
     return {f.__name__: f for f in numbered}
 
 
