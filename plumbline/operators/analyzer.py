@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import VERSION
+from plumbline.functions.lineage import Written
 from plumbline.operators import checks, curves, marginal, sampling
 from plumbline.operators.ranking import buckets_for, value_cuts
 
@@ -65,6 +66,12 @@ class Panel:
     pools: dict[str, list[int]]
     excluded_pools: dict[str, list[int]]
     skipped: dict[str, str]
+    written: Written | None = None
+
+    def release(self) -> None:
+        """Deletes the tables that the results are read from; they cannot be read any more."""
+        if self.written:
+            self.written.release()
 
 
 class StabilityAnalyzer:
@@ -74,12 +81,19 @@ class StabilityAnalyzer:
         self.settings = Settings(**settings)
 
     def fit_panel(self, df: DataFrame, target: str | None = None, features: list[str] | None = None, rows_key: list[str] | None = None) -> Panel:
-        s = self.settings
         features = features or checks.numeric_columns(df, (target,) if target else ())
         key = rows_key or df.columns
         named = df.withColumn("_key", F.xxhash64(*key))
-        wide = checks.to_long_with(named, features, target, ["_key", *[k for k in key if k not in features]] if rows_key else ["_key"])
-        wide = wide.persist()
+        return self.fit_long(checks.to_long_with(named, features, target, ["_key", *[k for k in key if k not in features]] if rows_key else ["_key"]), target)
+
+    def fit_long(self, long: DataFrame, target: str | None = None) -> Panel:
+        """As fit_panel, from rows (feature, x, y) of complete pairs and the columns that name a row.
+
+        What `feature` names is up to the caller: a feature in a split, or a permuted one, is a key like any other.
+        """
+        s = self.settings
+        hold = Written(long.sparkSession)
+        wide = hold(long)
         ties = [c for c in wide.columns if c not in ("feature", "x", "y")]
         facts = self._facts(wide, target)
         use, pools, excluded, skipped = {}, {}, {}, {}
@@ -90,42 +104,42 @@ class StabilityAnalyzer:
             except ValueError as e:
                 skipped[r["feature"]] = str(e)
                 pools.pop(r["feature"], None)
-        long = wide.filter(F.col("feature").isin(list(use)))
-        spark = df.sparkSession
+        spark = long.sparkSession
+        long = wide.join(F.broadcast(spark.createDataFrame([(f,) for f in use], "feature string")), "feature") if skipped else wide
         most = max((r["n_obs"] for r in use.values()), default=1)
         buckets = buckets_for(most)
         numbered = sampling.number_rows(long, ties, ["feature"], buckets, backend=s.backend)
-        cuts = value_cuts(long, ["feature"], "x", buckets).persist() if buckets > 1 else None
+        cuts = hold(value_cuts(long, ["feature"], "x", buckets)) if buckets > 1 else None
 
-        full = marginal.full_sample(long).persist()
+        full = hold(marginal.full_sample(long))
         values = marginal.value_table(full, ["feature"], cuts, ["feature"])
-        ref = marginal.reference(values, ["feature"]).persist()
+        ref = hold(marginal.reference(values, ["feature"]))
         shares = marginal.with_full_shares(values)
         plan = [(f, i, d, int(p)) for f, own in pools.items() for i, p in enumerate(own) for d in range(s.n_pool_draws)]
         plan = spark.createDataFrame(plan, "feature string, pool int, draw_no int, pool_size long").withColumn("pool_size", F.col("pool_size"))
-        pooled = sampling.draw_pools(numbered.join(shares, ["feature", "x"]), plan, ["feature"], s.random_state, backend=s.backend, buckets=buckets).persist()
+        pooled = hold(sampling.draw_pools(numbered.join(shares, ["feature", "x"]), plan, ["feature"], s.random_state, backend=s.backend, buckets=buckets))
         value = ["x", "y", "f0_below", "f0_upto"]
         keys = ["feature", "pool", "draw_no", "pool_size"]
         if s.resample == "exact":
             samples = sampling.bootstrap(pooled, plan, ["feature"], s.n_resamples, s.resample_frac, s.random_state, value, s.backend)
         else:
             samples = sampling.poisson_bootstrap(pooled, s.n_resamples, s.resample_frac, s.random_state, keys, value)
-        samples = samples.persist()
+        samples = hold(samples)
 
         by = [*keys, "r"]
         few = [f for f, r in use.items() if s.support_categorical and r["kind"] == "categorical"]
         is_few = F.col("feature").isin(few) if few else F.lit(False)
-        ref_density = marginal.densities(full.filter(~is_few), ["feature"], ref, ["feature"]).persist()
+        ref_density = hold(marginal.densities(full.filter(~is_few), ["feature"], ref, ["feature"]))
         wide_metrics, flags = marginal.continuous_metrics(samples.filter(~is_few), by, ref, ref_density, target is not None, s.n_bins, cuts)
         wide_metrics = wide_metrics.withColumn("metric_type", F.lit("wasserstein"))
         if few:
             more, more_flags = marginal.categorical_metrics(samples.filter(is_few), by, full, target is not None, cuts)
             wide_metrics = wide_metrics.unionByName(more.withColumn("metric_type", F.lit("tv_distance")))
             flags = flags.unionByName(more_flags)
-        raw = wide_metrics.persist()
+        raw = hold(wide_metrics)
 
-        points = curves.aggregate(curves.instability_long(raw, by), ["feature", "pool", "pool_size"]).persist()
-        fits = curves.fit(points, ["feature"], s.fixed_alpha, s.estimate_alpha, s.alpha_bounds, s.r2_threshold, s.extrapolate_to).persist()
+        points = hold(curves.aggregate(curves.instability_long(raw, by), ["feature", "pool", "pool_size"]))
+        fits = hold(curves.fit(points, ["feature"], s.fixed_alpha, s.estimate_alpha, s.alpha_bounds, s.r2_threshold, s.extrapolate_to))
         scores = curves.scores(fits, ["feature"], s.metric_weights, target is not None)
         firsts = pooled.filter("draw_no = 0").groupBy("feature", "pool", "pool_size", "x").agg(F.count("*").alias("cnt"), F.lit(0).alias("y"))
         first_values = marginal.value_table(firsts.withColumn("y", F.lit(0)), ["feature", "pool", "pool_size"], cuts, ["feature"])
@@ -133,7 +147,7 @@ class StabilityAnalyzer:
         percentiles = percentiles.select("feature", "pool", "pool_size", *(F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))))
         rates = curves.degenerate_rates(flags, ["feature", "pool", "pool_size"])
         summary = self._summary(spark, use, long, scores, fits, points, target)
-        return Panel(summary, points, fits, scores, curves.woe_stability(raw, ["feature"], s.n_bins), percentiles, rates, raw, pools, excluded, skipped)
+        return Panel(summary, points, fits, scores, curves.woe_stability(raw, ["feature"], s.n_bins), percentiles, rates, raw, pools, excluded, skipped, hold)
 
     def fit(self, df: DataFrame, feature: str, target: str | None = None, rows_key: list[str] | None = None) -> dict:
         """One feature's result document. Raises what fit_panel notes in `skipped`."""

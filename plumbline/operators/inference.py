@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import Written
 from plumbline.functions.numeric import clean, t_quantile
 from plumbline.functions.rng import draw
-from plumbline.operators import sampling
+from plumbline.operators import checks, sampling
 from plumbline.operators.analyzer import StabilityAnalyzer
 from plumbline.operators.ranking import average_rank_of_rows
 
@@ -125,22 +126,24 @@ class MetaBootstrap:
         drawn = sampling.bootstrap_split(numbered, self.n_splits, self.random_state, "_row")
         return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int")))).drop("cnt", "_row")
 
-    def fit(self, df: DataFrame, target: str | None = None, features: list[str] | None = None, rows_key: list[str] | None = None, **settings) -> dict[str, DataFrame]:
-        """report: intervals per feature; by_category: per feature and score; scores: per split."""
-        keys = rows_key or df.columns
-        split = self.splits(df, keys).persist()
-        analyzer = StabilityAnalyzer(**settings)
-        parts = None
-        for k in range(self.n_splits):  # each panel is one plan over all features
-            own = split.filter(F.col("split") == k).drop("split", "_copy")
-            own_key = rows_key if "_copy" not in split.columns else None
-            panel = analyzer.fit_panel(own, target, features, own_key)
-            rows = panel.complexity_scores.withColumn("split", F.lit(k))
-            parts = rows if parts is None else parts.unionByName(rows)
-        scores = parts.persist()
+    def fit(self, df: DataFrame, target: str | None = None, features: list[str] | None = None, rows_key: list[str] | None = None, **settings) -> dict:
+        """report: intervals per feature; by_category: per feature and score; scores: per split; skipped: reasons by `split:feature`."""
+        features = list(features or checks.numeric_columns(df, (target,) if target else ()))
+        keys = list(rows_key or df.columns)
+        split = self.splits(df, keys)
+        named = [*keys, *(["_copy"] if "_copy" in split.columns else [])]
+        long = checks.to_long_with(split.withColumn("_key", F.xxhash64(*named)), features, target, ["split", "_key", *[k for k in named if k not in features]])
+        # a feature in a split is a key of one panel, with its own rows, ladder, kernels and fits
+        panel = StabilityAnalyzer(**settings).fit_long(long.withColumn("feature", F.concat_ws(":", "split", "feature")).drop("split"), target)
+        key = F.col("feature")
+        scores = panel.complexity_scores.select(
+            F.substring_index(key, ":", 1).cast("int").alias("split"), F.expr("substring(feature, instr(feature, ':') + 1)").alias("feature"), "overall", "target_agnostic", "target_dependent"
+        )
+        scores = Written(df.sparkSession)(scores)
+        panel.release()
         long = scores.select("split", "feature", F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in ("overall", "target_agnostic", "target_dependent")))).alias("p")).select("split", "feature", "p.category", "p.score")
         report = t_intervals(scores, ["feature"], "overall", self.ci_level, self.skip_null).orderBy(F.asc_nulls_last("mean"), "feature")
-        return {"report": report, "by_category": t_intervals(long, ["feature", "category"], "score", self.ci_level, self.skip_null), "scores": scores}
+        return {"report": report, "by_category": t_intervals(long, ["feature", "category"], "score", self.ci_level, self.skip_null), "scores": scores, "skipped": panel.skipped}
 
 
 def null_summary(nulls: DataFrame, observed: DataFrame, by: list[str], alpha: float = 0.05, plus_one: bool = False) -> DataFrame:

@@ -64,7 +64,7 @@ def _customers(read):
 
 @query("meta_bootstrap", "feature ~mean ~std ~ci_lower ~ci_upper n_splits")
 def _(read):
-    return inference.MetaBootstrap().fit(_customers(read), "target", ["c_acctbal", "c_nationkey"], ["c_custkey"], n_points=8)["report"]
+    return inference.MetaBootstrap().fit(_customers(read), "target", ["c_acctbal", "c_nationkey"], ["c_custkey"])["report"]
 
 
 @query("permutation_baseline", "feature ~observed ~p_value ~z_score significant")
