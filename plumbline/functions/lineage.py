@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task holds before it writes them out: several tasks share a heap.
+BLOCK = 8 << 20
 _local: dict[str, str] = {}
 
 
@@ -46,7 +48,7 @@ class Written:
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.number}"
         self.number += 1
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("parquet.block.size", BLOCK).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
