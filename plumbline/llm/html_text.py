@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -261,6 +262,25 @@ def selectors(node: Node) -> list[tuple[str, str, str]]:
     return [(kind, mark, name) for mark, name in names for kind in ("", node.tag) if kind or mark]
 
 
+#: A generator that yields further generators to be called, gets their results, and returns its own.
+type Steps[T] = Generator[Steps, object, T]
+
+
+def called[T](steps: Steps[T]) -> T:
+    """Runs steps and what they call, with a stack of its own instead of Python's."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
 class Renderer:
     """Lays a tree out as lines."""
 
@@ -319,13 +339,16 @@ class Renderer:
                 todo += reversed(child.children)
         return out
 
-    def lines(self, nodes: list, pre: bool = False) -> list[str]:
+    # What follows calls itself for what is nested: these are generators that yield such
+    # calls and get their results, so nesting takes room on the stack of `called` alone.
+
+    def lines(self, nodes: list, pre: bool = False) -> Steps[list[str]]:
         """Lines of a block's content; an empty string stands for a blank line."""
         out = Lines(pre)
-        self.fill(out, nodes)
+        yield self.fill(out, nodes)
         return out.done()
 
-    def fill(self, out: Lines, nodes: list) -> None:
+    def fill(self, out: Lines, nodes: list) -> Steps[None]:
         for node in nodes:
             if isinstance(node, str):
                 out.text(node)
@@ -338,50 +361,49 @@ class Renderer:
             elif tag == "hr":
                 out.blank()
             elif tag in ("ul", "ol", "menu"):
-                out.block(self.list_lines(node), spaced=not out.in_item)
+                out.block((yield self.list_lines(node)), spaced=not out.in_item)
             elif tag == "table":
-                out.block(self.table_lines(node), spaced=True)
+                out.block((yield self.table_lines(node)), spaced=True)
             elif tag == "pre":
-                out.block(self.lines(node.children, pre=True), spaced=True)
-            elif tag == "blockquote":
-                out.block(["  " + x if x else "" for x in self.lines(node.children)], spaced=True)
-            elif tag == "dd":
-                out.block(["  " + x if x else "" for x in self.lines(node.children)], spaced=False)
+                out.block((yield self.lines(node.children, pre=True)), spaced=True)
+            elif tag in ("blockquote", "dd"):
+                own = yield self.lines(node.children)
+                out.block(["  " + x if x else "" for x in own], spaced=tag == "blockquote")
             elif tag == "details" and node.get("open") is None:
                 out.new_line()
-                self.fill(out, [c for c in node.children if isinstance(c, Node) and c.tag == "summary"])
+                yield self.fill(out, [c for c in node.children if isinstance(c, Node) and c.tag == "summary"])
                 out.new_line()
             elif tag == "li":  # outside a list
-                out.block(marked("- ", self.item_lines(node)), spaced=False)
+                out.block(marked("- ", (yield self.item_lines(node))), spaced=False)
             elif tag == "input":
                 out.text(node.get("value") or "")
             elif tag == "textarea":
                 out.block([x for c in node.children if isinstance(c, str) for x in c.split("\n")], spaced=False)
             elif tag == "q":
                 out.text("“")
-                self.fill(out, node.children)
+                yield self.fill(out, node.children)
                 out.text("”")
             elif tag in SPACED:
                 out.blank()
-                self.fill(out, node.children)
+                yield self.fill(out, node.children)
                 out.blank()
             elif tag in LINED:
                 out.new_line()
-                self.fill(out, node.children)
+                yield self.fill(out, node.children)
                 out.new_line()
             elif tag in ("td", "th"):  # outside a table
-                self.fill(out, node.children)
+                yield self.fill(out, node.children)
                 out.text(" ")
             else:
-                self.fill(out, node.children)
+                yield self.fill(out, node.children)
 
-    def item_lines(self, node: Node) -> list[str]:
+    def item_lines(self, node: Node) -> Steps[list[str]]:
         out = Lines(False)
         out.in_item = True
-        self.fill(out, node.children)
+        yield self.fill(out, node.children)
         return out.done()
 
-    def list_lines(self, node: Node) -> list[str]:
+    def list_lines(self, node: Node) -> Steps[list[str]]:
         items = [c for c in node.children if isinstance(c, Node) and c.tag == "li" and self.seen(c)]
         step = -1 if node.get("reversed") is not None else 1
         number = whole(node.get("start"), len(items) if step < 0 else 1)
@@ -392,48 +414,54 @@ class Renderer:
                 if not self.seen(child):
                     continue
                 number = whole(child.get("value"), number)
-                out += marked(f"{numeral(number, kind)}. " if node.tag == "ol" else "- ", self.item_lines(child))
+                out += marked(f"{numeral(number, kind)}. " if node.tag == "ol" else "- ", (yield self.item_lines(child)))
                 number += step
             else:
-                out += ["  " + x for x in self.lines([child]) if x]
+                own = yield self.lines([child])
+                out += ["  " + x for x in own if x]
         return out
 
-    def table_lines(self, node: Node) -> list[str]:
+    def table_lines(self, node: Node) -> Steps[list[str]]:
         """Cells padded to their columns' widths; a cell over several columns or rows keeps its place."""
         captions, rows, stack = [], [], list(reversed(node.children))
         while stack:
             child = stack.pop()
-            if isinstance(child, str):
+            if isinstance(child, str):  # outside cells: shown before the rows, as browsers do
+                captions += yield self.lines([child])
                 continue
             if not self.seen(child):
                 continue
             if child.tag == "caption":
-                captions += self.lines(child.children)
+                captions += yield self.lines(child.children)
             elif child.tag == "tr":
                 rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and self.seen(c)])
-                captions += [x for c in child.children if isinstance(c, Node) and c.tag not in ("td", "th") for x in self.lines([c])]
+                for c in child.children:
+                    if isinstance(c, str) or c.tag not in ("td", "th"):
+                        captions += yield self.lines([c])
             elif child.tag in ("thead", "tbody", "tfoot"):
                 stack += reversed(child.children)
             elif child.tag not in ("colgroup", "col"):
-                captions += self.lines([child])
-        taken: dict[int, int] = {}  # column: rows that a cell from above still covers
+                captions += yield self.lines([child])
+        taken: list[tuple[int, int, int]] = []  # columns from, to, that cells from above cover before this row
         grid: list[list[tuple[int, int, list[str]]]] = []
         width: dict[int, int] = {}
-        for cells in rows:
-            column, placed, spans = 0, [], {}
+        for number, cells in enumerate(rows):
+            taken = [t for t in taken if t[2] > number]
+            column, placed, spans, met = 0, [], [], 0
             for cell in cells:
-                while taken.get(column, 0):
-                    column += 1
+                while met < len(taken) and taken[met][0] <= column:
+                    column = max(column, taken[met][1])
+                    met += 1
                 wide = min(max(whole(cell.get("colspan"), 1), 1), 1000)
-                tall = min(max(whole(cell.get("rowspan"), 1), 1), 65534)
-                text = self.lines(cell.children)
+                tall = min(max(whole(cell.get("rowspan"), 1), 1), len(rows) - number)
+                text = yield self.lines(cell.children)
                 placed.append((column, wide, text))
-                for c in range(column, column + wide):
-                    spans[c] = tall
+                if tall > 1:
+                    spans.append((column, column + wide, number + tall))
                 if wide == 1:
                     width[column] = max(width.get(column, 0), *(len(x) for x in text), 0)
                 column += wide
-            taken = {c: k for c in {*taken, *spans} if (k := max(taken.get(c, 0) - 1, spans.get(c, 0) - 1)) > 0}
+            taken = covered(taken, spans)
             grid.append(placed)
         columns = sorted({*width, *(c for placed in grid for c, _, _ in placed)})
         at, starts = 0, {}
@@ -452,6 +480,28 @@ class Renderer:
         return out
 
 
+def covered(above: list[tuple[int, int, int]], own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Two lists of column ranges with the row before which each ends, as one; where both cover a
+    column, the later row counts, and neighbours of one row are one range."""
+    if not own:
+        return above
+    out: list[tuple[int, int, int]] = []
+    edges = sorted({x for a, b, _ in [*above, *own] for x in (a, b)})
+    at = [0, 0]
+    for a, b in zip(edges, edges[1:], strict=False):
+        until = 0
+        for k, ranges in enumerate((above, own)):
+            while at[k] < len(ranges) and ranges[at[k]][1] <= a:
+                at[k] += 1
+            if at[k] < len(ranges) and ranges[at[k]][0] <= a:
+                until = max(until, ranges[at[k]][2])
+        if until and out and out[-1][1:] == (a, until):
+            out[-1] = (out[-1][0], b, until)
+        elif until:
+            out.append((a, b, until))
+    return out
+
+
 class Lines:
     """Collects inline text and blocks; white space collapses unless `pre`."""
 
@@ -540,7 +590,7 @@ def rendered(page: str | None) -> str:
     renderer = Renderer(tree.rules("display"), tree.rules("visibility"))
     if renderer.hidden or "visib" in page.lower():
         renderer.uncover(tree.root.children)
-    lines = renderer.lines(tree.root.children)
+    lines = called(renderer.lines(tree.root.children))
     out = []
     for line in lines:  # one blank line at most, outside pre this always holds
         line = line.rstrip(" ")

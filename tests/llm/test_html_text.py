@@ -116,3 +116,56 @@ def test_visible_inside_hidden():
     page = "<style>.h{visibility:hidden}.v{visibility:visible}</style><p>a</p><div class=h>no <p class=v>yes <b>too</b></p><span style='visibility:visible'>inline</span> no</div>"
     assert html_text.rendered(page) == "a\n\nyes too\n\ninline"
     assert html_text.rendered("<div style='visibility:hidden'>no<div style='display:none'><p style='visibility:visible'>no</p></div></div>z") == "z"
+
+
+BLOCKS = "ul ol menu li dl dt dd table tr td blockquote pre div p section details summary fieldset form figure center".split()
+
+
+def test_every_block_nests_deeply(spark):
+    """Levels beyond MAX_DEPTH are laid out at that depth; none ends the page, or the others' job."""
+    pages = [(f"<{t}>" * n + "the end" + f"</{t}>" * k + " after") for t in BLOCKS for n in (340, 600, 50_000) for k in (0, n)]
+    pages += ["<ul><li>" * 600 + "the end", "<table><tr><td>" * 5_000 + "the end", "<blockquote><pre>" * 600 + "the end", "<ol><li><table><tr><td>" * 400 + "the end"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").repartition(4)
+    rows = html_text.extract(df).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        closed = "<details" in pages[r["page_id"]]
+        assert closed or "the end" in r["text"]
+
+
+def test_lists_keep_their_marks_at_depth():
+    text = html_text.rendered("<ul><li>" * 150 + "x")
+    assert text.endswith("x") and text.count("- ") == 150
+
+
+def test_tables_of_many_spans_are_linear():
+    import time
+
+    def seconds(n):
+        page = "<table>" + "<tr><td colspan=1000 rowspan=60000>a<td>b</tr>" * n + "</table>"
+        at = time.process_time()
+        assert html_text.rendered(page).count("a") == n
+        return time.process_time() - at
+
+    seconds(20)
+    assert seconds(800) < 12 * seconds(200) + 0.5
+
+
+def test_covered_ranges_against_columns():
+    import random
+
+    r = random.Random(1)
+    for _ in range(300):
+        lists = []
+        for _ in range(2):
+            at, own = 0, []
+            for _ in range(r.randrange(5)):
+                at += r.randrange(3)
+                end = at + r.randint(1, 4)
+                own.append((at, end, r.randint(1, 3)))
+                at = end
+            lists.append(own)
+        want = {c: max(u for a, b, u in sum(lists, []) if a <= c < b) for a, b, _ in sum(lists, []) for c in range(a, b)}
+        got = html_text.covered(*lists)
+        assert {c: u for a, b, u in got for c in range(a, b)} == want
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
