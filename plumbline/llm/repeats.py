@@ -222,7 +222,7 @@ def _copies(texts: DataFrame) -> DataFrame:
     An owner of a window is at most the first, so all later copies lose the same words
     as the second: they share its result. Ids with several rows are not among them.
     """
-    digests = keep(texts.select("id", F.unhex(F.md5("text")).alias("digest")), "digests")
+    digests = keep(texts.select("id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     several = digests.groupBy("id").count().filter("count > 1").select("id")
     digests = digests.join(several, "id", "left_anti")
     low = digests.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
