@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import clean
-from plumbline.operators.ranking import average_rank, spearman
+from plumbline.operators.ranking import average_rank, running_totals, spearman
 
 
-def ranking_metrics(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+def ranking_metrics(df: DataFrame, by: list[str], label: str, score: str, buckets: int | None = None) -> DataFrame:
     """Per group: auc (ties one half), gini, ks, brier. Empty groups do not appear; one class gives auc .5 and ks 0."""
     counts = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"),
     )
-    upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumns({"cp": F.sum("p").over(upto), "cn": F.sum("n").over(upto)})
-    whole = Window.partitionBy(*by)
-    c = c.withColumns({"all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    c = running_totals(counts, by, score, ["p", "n"], buckets)
+    c = c.join(totals, by) if by else c.crossJoin(F.broadcast(totals))  # one row
+    c = c.withColumns({"cp": F.col("below_p") + F.col("p"), "cn": F.col("below_n") + F.col("n")})
     u = F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2.0))
     gap = F.max(F.abs(F.try_divide(F.col("cp"), F.col("all_p")) - F.try_divide(F.col("cn"), F.col("all_n"))))
     square = F.sum(F.col("p") * F.pow(1 - F.col(score), 2) + F.col("n") * F.pow(F.col(score), 2))

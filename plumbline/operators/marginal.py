@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.ranking import average_rank, running
+from plumbline.operators.ranking import average_rank, running, running_totals
 
 GRID = 200
 LEAST = 1e-10
@@ -132,29 +132,32 @@ def rank_statistics(values: DataFrame, by: list[str], shares: Sequence[float] =
     return order_quantiles(values, by, shares or (0.5,), extra=extra)
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per group: the largest gap between two samples' distribution functions, over pooled values."""
+def _side_by_side(a: DataFrame, b: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Rows (by, x, ca, cb, na, nb): two samples' weights of each value, and their totals."""
     x = F.col(value).cast("double").alias("x")
-    both = a.select(*by, x, F.lit(1).alias("ca"), F.lit(0).alias("cb")).unionByName(b.select(*by, x, F.lit(0).alias("ca"), F.lit(1).alias("cb")))
+    w = F.col(weight) if weight else F.lit(1)
+    both = a.select(*by, x, w.alias("ca"), F.lit(0).alias("cb")).unionByName(b.select(*by, x, F.lit(0).alias("ca"), w.alias("cb")))
     v = both.filter("x is not null").groupBy(*by, "x").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
     totals = v.groupBy(*by).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
-    run = running(running(v, by, "x", "ca").withColumnRenamed("below", "ba"), by, "x", "cb")
-    run = run.join(totals, by) if by else run.crossJoin(F.broadcast(totals))
-    gap = F.abs((F.col("ba") + F.col("ca")) / F.col("na") - (F.col("below") + F.col("cb")) / F.col("nb"))
-    return (run.groupBy(*by) if by else run).agg(F.max(gap).alias("ks"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+    return v.join(totals, by) if by else v.crossJoin(F.broadcast(totals))  # one row
+
+
+def _gap() -> Column:
+    """Between the two distribution functions, after a value."""
+    return F.abs((F.col("below_ca") + F.col("ca")) / F.col("na") - (F.col("below_cb") + F.col("cb")) / F.col("nb"))
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, by: list[str], value: str, buckets: int | None = None) -> DataFrame:
+    """Per group: the largest gap between two samples' distribution functions, over pooled values."""
+    run = running_totals(_side_by_side(a, b, by, value), by, "x", ["ca", "cb"], buckets)
+    return (run.groupBy(*by) if by else run).agg(F.max(_gap()).alias("ks"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
 
 
-def wasserstein_two_sample(a: DataFrame, b: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+def wasserstein_two_sample(a: DataFrame, b: DataFrame, by: list[str], value: str, weight: str | None = None, buckets: int | None = None) -> DataFrame:
     """Per group: the integral of the gap between two samples' distribution functions."""
-    x = F.col(value).cast("double").alias("x")
-    w = F.col(weight) if weight else F.lit(1)
-    both = a.select(*by, x, w.alias("ca"), F.lit(0).alias("cb")).unionByName(b.select(*by, x, F.lit(0).alias("ca"), w.alias("cb")))
-    v = both.filter("x is not null").groupBy(*by, "x").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    upto = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("x")
-    gap = F.abs(F.sum("ca").over(upto) / F.sum("ca").over(whole) - F.sum("cb").over(upto) / F.sum("cb").over(whole))
-    v = v.withColumn("part", gap * (F.lead("x").over(order) - F.col("x")))
-    return (v.groupBy(*by) if by else v).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("wasserstein"))
+    run = running_totals(_side_by_side(a, b, by, value, weight), by, "x", ["ca", "cb"], buckets, "_next")
+    part = _gap() * (F.col("_next") - F.col("x"))
+    return (run.groupBy(*by) if by else run).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("wasserstein"))
 
 
 # -- weight of evidence --------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from math import factorial
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import clean
 from plumbline.operators import attribution, sampling
+from plumbline.operators.categories import is_nominal
 from plumbline.operators.importance import ranking_metrics
 from plumbline.operators.ranking import hash_rank
 from plumbline.functions.rng import draw
@@ -31,8 +33,52 @@ def linear_attributions(df: DataFrame, coefficients: dict[str, float], sample: s
 # -- trees: paths to leaves ------------------------------------------------------------------
 
 
-def leaf_paths(model: Model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Per leaf: its weighted value, and for each feature on the way its interval (low, high] and the share of rows that it lets through."""
+@dataclass(frozen=True)
+class Step:
+    """What one feature must be on the way to a leaf: in (low, high], or one of `values`; and the share
+    of rows that it lets through. Among `values`, OTHER stands for all but the split's own."""
+
+    feature: int
+    share: float = 1.0
+    low: float = -np.inf
+    high: float = np.inf
+    values: frozenset[int] | None = None
+    known: int = 0
+
+    def passes(self, x: np.ndarray) -> np.ndarray:
+        own = x[:, self.feature]
+        if self.values is None:
+            return ((own > self.low) & (own <= self.high)).astype(float)
+        code = np.where((own >= 0) & (own < self.known) & (own == np.floor(own)), own, OTHER).astype(np.int64)
+        return np.isin(code, list(self.values)).astype(float)
+
+
+OTHER = -1
+
+
+def _halves(split) -> Callable[[Step, bool], Step]:
+    """Narrows a step by a split, to its left or right."""
+    if split.getClass().getSimpleName() == "CategoricalSplit":
+        left, n = {int(c) for c in split.leftCategories()}, int(split.numCategories())
+        # what the split does not know goes away from the side that it lists
+        if len(left) > n // 2:
+            left.add(OTHER)
+        right = {*range(n), OTHER} - left
+
+        def narrow(step: Step, is_left: bool) -> Step:
+            own = frozenset(left if is_left else right)
+            return replace(step, values=own if step.values is None else step.values & own, known=n)
+    else:
+        cut = float(split.threshold())
+
+        def narrow(step: Step, is_left: bool) -> Step:
+            return replace(step, high=min(step.high, cut)) if is_left else replace(step, low=max(step.low, cut))
+
+    return narrow
+
+
+def leaf_paths(model: Model) -> list[tuple[float, list[Step]]]:
+    """Per leaf: its weighted value, and a step for each feature on the way."""
     trees = model.trees if hasattr(model, "trees") else [model]
     weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0]
     regression = not hasattr(model, "numClasses") or "GBT" in type(model).__name__
@@ -46,33 +92,59 @@ def leaf_paths(model: Model) -> list[tuple[float, list[tuple[int, float, float,
                 if not regression:
                     stats = list(node.impurityStats().stats())
                     value = stats[1] / sum(stats)
-                out.append((weight * value, [(f, *v) for f, v in path.items()]))
+                out.append((weight * value, list(path.values())))
                 continue
-            f, cut = int(node.split().featureIndex()), float(node.split().threshold())
+            f, narrow = int(node.split().featureIndex()), _halves(node.split())
             whole = float(node.impurityStats().count())
             for child, is_left in ((node.leftChild(), True), (node.rightChild(), False)):
-                low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-                share *= float(child.impurityStats().count()) / whole
-                stack.append((child, path | {f: (low, min(high, cut), share) if is_left else (max(low, cut), high, share)}))
+                step = narrow(path.get(f, Step(f)), is_left)
+                step = replace(step, share=step.share * float(child.impurityStats().count()) / whole)
+                stack.append((child, path | {f: step}))
     return out
 
 
-def shapley_of_paths(x: np.ndarray, leaves: list, n_features: int) -> np.ndarray:
+def _known(one: list[np.ndarray], zero: list[float], without: tuple[int, ...], rows: int) -> list[np.ndarray]:
+    """Sums of the path's products over sets of known features, by the sets' sizes; without some features."""
+    poly = [np.ones(rows)]
+    for j in range(len(one)):
+        if j not in without:
+            poly = [(poly[s] * zero[j] if s < len(poly) else 0) + (poly[s - 1] * one[j] if s else 0) for s in range(len(poly) + 1)]
+    return poly
+
+
+def shapley_of_paths(x: np.ndarray, leaves: list[tuple[float, list[Step]]], n_features: int) -> np.ndarray:
     """Path-dependent Shapley values of rows: exact, by the polynomial of each leaf's path."""
     out = np.zeros((len(x), n_features))
     for value, path in leaves:
         m = len(path)
-        if not m:
-            continue
-        one = [((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, low, high, _ in path]
-        zero = [share for *_, share in path]
+        one, zero = [s.passes(x) for s in path], [s.share for s in path]
         weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
         for i in range(m):
-            poly = [np.ones(len(x))]  # coefficients by the number of features that are known
-            for j in range(m):
-                if j != i:
-                    poly = [(poly[s] * zero[j] if s < len(poly) else 0) + (poly[s - 1] * one[j] if s else 0) for s in range(len(poly) + 1)]
-            out[:, path[i][0]] += value * (one[i] - zero[i]) * sum(w * p for w, p in zip(weight, poly, strict=True))
+            poly = _known(one, zero, (i,), len(x))
+            out[:, path[i].feature] += value * (one[i] - zero[i]) * sum(w * p for w, p in zip(weight, poly, strict=True))
+    return out
+
+
+def interactions_of_paths(x: np.ndarray, leaves: list[tuple[float, list[Step]]], n_features: int) -> np.ndarray:
+    """Shapley interaction values (rows, feature, feature): symmetric, and each row sums to the feature's
+    Shapley value. Off the diagonal each pair's interaction is shared out by halves; what is left is the main effect."""
+    out = np.zeros((len(x), n_features, n_features))
+    for value, path in leaves:
+        m = len(path)
+        if m < 2:
+            continue
+        one, zero = [s.passes(x) for s in path], [s.share for s in path]
+        gap = [a - b for a, b in zip(one, zero, strict=True)]
+        weight = [factorial(s) * factorial(m - s - 2) / (2 * factorial(m - 1)) for s in range(m - 1)]
+        for i in range(m):
+            for j in range(i):
+                poly = _known(one, zero, (i, j), len(x))
+                part = value * gap[i] * gap[j] * sum(w * p for w, p in zip(weight, poly, strict=True))
+                a, b = path[i].feature, path[j].feature
+                out[:, a, b] += part
+                out[:, b, a] += part
+    at = np.arange(n_features)
+    out[:, at, at] = shapley_of_paths(x, leaves, n_features) - out.sum(2)
     return out
 
 
@@ -89,8 +161,55 @@ def tree_attributions(df: DataFrame, model: Model, features: list[str], sample:
     return rows.select("sample", F.explode(parts).alias("p")).select("sample", "p.feature", "p.phi")
 
 
+#: Rows whose interactions a task holds at once: a square of the features each.
+INTERACTION_ROWS = 1024
+
+
+def tree_interactions(df: DataFrame, model: Model, features: list[str], sample: str) -> DataFrame:
+    """(sample, a, b, phi) for every two features: their shared effect on the row's prediction, a's main effect where a = b."""
+    leaves, k = leaf_paths(model), len(features)
+
+    @F.pandas_udf("array<double>")
+    def values(x: pd.DataFrame) -> pd.Series:
+        own = x.to_numpy(float)
+        parts = [interactions_of_paths(own[at : at + INTERACTION_ROWS], leaves, k).reshape(-1, k * k) for at in range(0, len(own), INTERACTION_ROWS)]
+        return pd.Series([row for part in parts for row in part])
+
+    rows = df.select(F.col(sample).alias("sample"), values(F.struct(*(F.coalesce(clean(c), F.lit(0.0)).alias(c) for c in features))).alias("v"))
+    parts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("v")[i * k + j].alias("phi")) for i, a in enumerate(features) for j, b in enumerate(features)))
+    return rows.select("sample", F.explode(parts).alias("p")).select("sample", "p.a", "p.b", "p.phi")
+
+
+def interaction_strength(df: DataFrame, model: Model, features: list[str]) -> DataFrame:
+    """(a, b, strength, n) for a before b: the mean absolute interaction over all rows.
+
+    A batch adds up its rows, so what is shuffled grows with batches and pairs, not with rows times pairs.
+    """
+    leaves, k = leaf_paths(model), len(features)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    rows = df.select(*(F.coalesce(clean(c), F.lit(0.0)).alias(c) for c in features))
+
+    def run(batches):
+        sums, n = np.zeros((k, k)), 0
+        for x in batches:
+            own = x.to_numpy(float)
+            for at in range(0, len(own), INTERACTION_ROWS):
+                sums += np.abs(interactions_of_paths(own[at : at + INTERACTION_ROWS], leaves, k)).sum(0)
+            n += len(own)
+        yield pd.DataFrame([(features[i], features[j], sums[i, j], n) for i, j in pairs], columns=["a", "b", "s", "n"])
+
+    parts = rows.mapInPandas(run, "a string, b string, s double, n long").groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return parts.select("a", "b", F.try_divide("s", F.col("n").cast("double")).alias("strength"), "n")
+
+
+def total_interaction(strength: DataFrame) -> DataFrame:
+    """(feature, total_interaction) of `interaction_strength`: the sum over all pairs that a feature is in."""
+    each = strength.select(F.explode(F.array("a", "b")).alias("feature"), "strength")
+    return each.groupBy("feature").agg(F.sum("strength").alias("total_interaction"))
+
+
 def assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    ready = df.withColumns({c: F.coalesce(clean(c), F.lit(0.0)) for c in features}).withColumn("label", F.col(target).cast("double"))
+    ready = df.withColumns({c: F.coalesce(clean(c), F.lit(0.0)) for c in features if not is_nominal(df, c)}).withColumn("label", F.col(target).cast("double"))
     return VectorAssembler(inputCols=features, outputCol="features").transform(ready)
 
 

@@ -65,6 +65,38 @@ def running(df: DataFrame, by: list[str], value: str, weight: Column | str, cuts
     return df.withColumn("below", F.col("_start") + F.col("_own")).drop("_start", "_own", "_bucket", "_w")
 
 
+def running_totals(df: DataFrame, by: list[str], value: str, weights: list[str], buckets: int | None = None, next_as: str | None = None) -> DataFrame:
+    """Adds `below_{w}` for each weight: its total in the group over rows with a smaller value; and,
+    if named, the group's next larger value. (by, value) must be unique.
+
+    Groups are cut into buckets of values, the same for all weights, so samples that stand
+    side by side as weights meet in one pass; totals and next values are carried across the
+    buckets' borders. buckets: by default those that the largest group calls for.
+    """
+    keys = list(by) or ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(0))
+    if buckets is None:
+        buckets = buckets_for(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    if buckets > 1:
+        df = df.join(value_cuts(df, keys, value, buckets), keys)
+        df = df.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    else:
+        df = df.withColumn("_bucket", F.lit(0))
+    own = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    out = {f"below_{w}": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights}
+    if next_as:
+        out[next_as] = F.lead(value).over(own)
+    got = df.withColumns(out)
+    if buckets > 1:
+        sums = df.groupBy(*keys, "_bucket").agg(*(F.sum(w).alias(f"_sum_{w}") for w in weights), F.min(value).alias("_first"))
+        across = Window.partitionBy(*keys).orderBy("_bucket")  # `buckets` rows
+        earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_sum_{w}").over(earlier), F.lit(0)).alias(f"_start_{w}") for w in weights), F.lead("_first").over(across).alias("_next_bucket"))
+        got = got.join(starts, [*keys, "_bucket"]).withColumns({f"below_{w}": F.col(f"_start_{w}") + F.col(f"below_{w}") for w in weights} | ({next_as: F.coalesce(next_as, "_next_bucket")} if next_as else {}))
+    return got.select(*df.drop("_bucket", "_all").columns, *out)
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, name: str, descending: bool = False) -> DataFrame:
     """Adds the average rank (from 1) of each row by value: for groups of summary size, one window."""
     order = F.desc(value) if descending else F.asc(value)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, compare, drift, importance, inference, models, reliability, sampling
+from plumbline.operators import attribution, categories, compare, drift, importance, inference, models, reliability, sampling
 from plumbline.operators.ranking import spearman
 from plumbline.plans.registry import query
 from plumbline.plans.tables import DRAW_SQL, LINES_SQL, PHI_SQL, attributions, lines
@@ -111,6 +112,47 @@ def _(read):
     return phi.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.abs("phi")).alias("mean_abs"))
 
 
+@query("category_attribution", "feature n ~mean_abs ~low ~high", f"""
+    WITH l AS ({LINES_SQL}), g AS (SELECT l_shipmonth, avg(target) AS m, count(*) AS n FROM (SELECT *, CASE WHEN month(l_shipdate) <= 6 THEN 'first' ELSE 'second' END AS l_shipmonth FROM l) GROUP BY l_shipmonth), a AS (SELECT avg(target) AS m FROM l)
+    SELECT 'half' AS feature, sum(n)::BIGINT AS n, sum(n * abs(g.m - a.m)) / sum(n) AS mean_abs, min(g.m - a.m) AS low, max(g.m - a.m) AS high FROM g, a""")
+def _(read):
+    rows = lines(read).withColumns({"half": F.when(F.month("l_shipdate") <= 6, "first").otherwise("second"), "id": F.monotonically_increasing_id()})
+    model = DecisionTreeRegressor(maxDepth=1, seed=1)
+    rows, _, _ = categories.prepare_categorical(model, rows, ["half"], ["half"])
+    phi = models.tree_attributions(rows, model.fit(models.assemble(rows, ["half"], "target")), ["half"], "id")
+    return phi.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.abs("phi")).alias("mean_abs"), F.min("phi").alias("low"), F.max("phi").alias("high"))
+
+
+#: Lines that are both discounted and large: a tree needs both features, the rarer one first.
+_MARKED = {"discounted": "l_discount > 0.075", "large": "l_quantity > 25"}
+_MARKED_SQL = f"SELECT {', '.join(f'({c})::INT AS {n}' for n, c in _MARKED.items())} FROM lineitem"
+
+
+def _marked_model(read):
+    rows = read("lineitem").select(*(F.expr(c).cast("int").alias(n) for n, c in _MARKED.items()), F.monotonically_increasing_id().alias("id"))
+    rows = rows.withColumn("target", F.col("discounted") * F.col("large"))
+    return rows, DecisionTreeClassifier(maxDepth=2, seed=1).fit(models.assemble(rows, list(_MARKED), "target"))
+
+
+@query("tree_interactions", "a b n ~total ~strength", f"""
+    WITH r AS ({_MARKED_SQL}), s AS (SELECT avg(discounted) AS pa, avg(large) FILTER (discounted = 1) AS pb FROM r),
+         i AS (SELECT (discounted - pa) * (large - pb) / 2 AS pair, (discounted - pa) * pb + (discounted - pa) * (large - pb) / 2 AS a, (large - pb) * pa + (discounted - pa) * (large - pb) / 2 AS b FROM r, s),
+         p AS (SELECT 'discounted' AS a, 'discounted' AS b, a - pair AS phi FROM i UNION ALL SELECT 'large', 'large', b - pair FROM i UNION ALL SELECT 'discounted', 'large', pair FROM i UNION ALL SELECT 'large', 'discounted', pair FROM i)
+    SELECT a, b, count(*) AS n, sum(phi) AS total, avg(abs(phi)) AS strength FROM p GROUP BY a, b""")
+def _(read):
+    rows, model = _marked_model(read)
+    phi = models.tree_interactions(rows, model, list(_MARKED), "id")
+    return phi.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("phi").alias("total"), F.avg(F.abs("phi")).alias("strength"))
+
+
+@query("interaction_strength", "feature ~total_interaction", f"""
+    WITH r AS ({_MARKED_SQL}), s AS (SELECT avg(discounted) AS pa, avg(large) FILTER (discounted = 1) AS pb FROM r), t AS (SELECT avg(abs((discounted - pa) * (large - pb) / 2)) AS x FROM r, s)
+    SELECT unnest(['discounted', 'large']) AS feature, x AS total_interaction FROM t""")
+def _(read):
+    rows, model = _marked_model(read)
+    return models.total_interaction(models.interaction_strength(rows, model, list(_MARKED)))
+
+
 # -- drift ----------------------------------------------------------------------------------------
 
 _SIDE = f"SELECT *, row_number() OVER (ORDER BY imp DESC, feature) AS rk FROM (SELECT feature, avg(abs(phi)) AS imp, stddev_pop(abs(phi)) AS imp_sd, avg(phi) AS m, avg((phi > 0)::INT) AS pos FROM ({PHI_SQL}) WHERE resample {{}} 3 GROUP BY feature)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, curves, marginal, sampling
+from plumbline.operators import checks, curves, marginal, out_of_sample, sampling
 from plumbline.operators.analyzer import StabilityAnalyzer
 from plumbline.operators.ranking import spearman
 from plumbline.plans.registry import query
@@ -376,6 +376,49 @@ def _(read):
     return marginal.woe(bins, ["all"]).groupBy("all").agg(F.sum("iv_part").alias("iv"), F.count("*").alias("n_bins"))
 
 
+# -- a later sample against a fitted reference ---------------------------------------------
+
+_DEV, _LATER = "l_shipdate < TIMESTAMP '1999-01-01'", "l_shipdate >= TIMESTAMP '1999-01-01'"
+_SHIFTED = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _later_sql() -> str:
+    """Metrics of the later lines against the earlier ones; l_discount has few enough values for shares if there are ten at most."""
+    dev, new = (long_sql(f"{LINES_SQL} WHERE {when}", _SHIFTED) for when in (_DEV, _LATER))
+    return f"""
+    WITH a AS MATERIALIZED ({dev}), b AS MATERIALIZED ({new}),
+    q AS (SELECT feature, count(*) AS n, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, stddev_samp(x) AS sd FROM a GROUP BY feature),
+    s AS (SELECT *, CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd ELSE 1 END AS w FROM q),
+    ref AS (SELECT feature, lo, hi, 1.06 * w * pow(n, -0.2::DOUBLE) AS h, CASE WHEN iqr > 0 THEN iqr WHEN hi > lo THEN hi - lo ELSE 1 END AS scale FROM s),
+    k AS (SELECT feature, g, sum(c * exp(-0.5 * pow((lo + (hi - lo) * (g / 199.0::DOUBLE) - x) / h, 2))) AS s0, sum(d * exp(-0.5 * pow((lo + (hi - lo) * (g / 199.0::DOUBLE) - x) / h, 2))) AS s1
+          FROM (SELECT feature, x, sum(c) AS c, sum(d) AS d FROM (SELECT feature, x, 1 AS c, 0 AS d FROM a UNION ALL SELECT feature, x, 0, 1 FROM b) GROUP BY ALL) JOIN ref USING (feature), (SELECT unnest(range(200)) AS g) GROUP BY feature, g),
+    p AS (SELECT feature, g, s0 / sum(s0) OVER w AS p0, s1 / sum(s1) OVER w AS p FROM k WINDOW w AS (PARTITION BY feature)),
+    d AS (SELECT feature, sum(gap) FILTER (g < 199) AS gap, sqrt(greatest(sum(a * ln(a / ((a + b) / 2)) + b * ln(b / ((a + b) / 2))) / 2, 0)) AS js
+          FROM (SELECT *, abs(sum(p - p0) OVER (PARTITION BY feature ORDER BY g)) AS gap, greatest(p0, 1e-10) / sum(greatest(p0, 1e-10)) OVER (PARTITION BY feature) AS a, greatest(p, 1e-10) / sum(greatest(p, 1e-10)) OVER (PARTITION BY feature) AS b FROM p) GROUP BY feature),
+    v AS (SELECT feature, x, sum(c) AS c, sum(d) AS d FROM (SELECT feature, x, 1 AS c, 0 AS d FROM a UNION ALL SELECT feature, x, 0, 1 FROM b) GROUP BY ALL),
+    f AS (SELECT feature, max(abs(ca / ta - cb / tb)) AS ks FROM (SELECT feature, sum(c) OVER (PARTITION BY feature ORDER BY x) AS ca, sum(d) OVER (PARTITION BY feature ORDER BY x) AS cb, sum(c) OVER (PARTITION BY feature) AS ta, sum(d) OVER (PARTITION BY feature) AS tb FROM v) GROUP BY feature),
+    r AS (SELECT feature, abs(corr(rk, y)) AS spearman FROM (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM b) GROUP BY feature),
+    m AS (SELECT feature, gap * (hi - lo) / 199 / scale AS wasserstein, ks, js, spearman, iv, monotonicity FROM ref JOIN d USING (feature) JOIN f USING (feature) JOIN r USING (feature) JOIN ({iv_sql(woe_sql("SELECT * FROM b", "feature"), "feature")}) USING (feature))
+    SELECT *, (0.45 * wasserstein + 0.3 * ks + 0.25 * js + 0.4 * spearman + 0.3 * abs(iv)) / 1.7 AS composite FROM m"""
+
+
+@query("out_of_sample", "feature ~wasserstein ~ks ~js ~spearman ~iv ~monotonicity ~composite", _later_sql())
+def _(read):
+    rows = lines(read)
+    reference = out_of_sample.Reference.fit(rows.filter(_DEV), _SHIFTED, "target")
+    return out_of_sample.composite(reference.apply(rows.filter(_LATER), _SHIFTED, "target", by_category=False))
+
+
+@query("out_of_sample_shares", "feature kind ~tv ~js", """
+    WITH v AS (SELECT l_tax AS x, count(*) FILTER (l_shipdate < TIMESTAMP '1999-01-01') AS c, count(*) FILTER (l_shipdate >= TIMESTAMP '1999-01-01') AS d FROM lineitem GROUP BY l_tax),
+    p AS (SELECT greatest(c / sum(c) OVER (), 1e-10) AS a, greatest(d / sum(d) OVER (), 1e-10) AS b, abs(c / sum(c) OVER () - d / sum(d) OVER ()) AS gap FROM v)
+    SELECT 'l_tax' AS feature, 'categorical' AS kind, sum(gap) / 2 AS tv, sqrt(greatest(sum(a * ln(a / ((a + b) / 2)) + b * ln(b / ((a + b) / 2))) / 2, 0)) AS js FROM p""")
+def _(read):
+    rows = lines(read)
+    reference = out_of_sample.Reference.fit(rows.filter(_DEV), ["l_tax"])
+    return reference.apply(rows.filter(_LATER), ["l_tax"]).withColumnRenamed("wasserstein", "tv")
+
+
 @query("panel_summary", "feature n_obs ~event_rate feature_type imbalance_flag censoring_flag ~complexity_score ~wasserstein_floor ~ks_floor ~js_floor ~spearman_floor ~iv_floor ~monotonicity_floor ~wasserstein_r2")
 def panel_summary(read):
     analyzer = StabilityAnalyzer(n_resamples=6, n_points=6)

@@ -202,8 +202,9 @@ def test_linear_attributions_add_up(spark):
 def test_tree_attributions_are_shapley_values():
     """Against the definition, over all subsets of features."""
     leaves = [(1.0, [(0, -np.inf, 0.5, 0.6), (1, -np.inf, 2.0, 0.3)]), (4.0, [(0, -np.inf, 0.5, 0.6), (1, 2.0, np.inf, 0.7)]), (-2.0, [(0, 0.5, np.inf, 0.4), (2, -np.inf, 1.0, 0.5)]), (3.0, [(0, 0.5, np.inf, 0.4), (2, 1.0, np.inf, 0.5)])]
+    steps = [(v, [models.Step(f, share, low, high) for f, low, high, share in path]) for v, path in leaves]
     x = np.array([[0.1, 3.0, 0.0], [0.9, 1.0, 2.0]])
-    got = models.shapley_of_paths(x, leaves, 3)
+    got = models.shapley_of_paths(x, steps, 3)
 
     def value(row, known):
         return sum(v * math.prod((float(lo < row[f] <= hi) if f in known else share) for f, lo, hi, share in path) for v, path in leaves)
