@@ -51,6 +51,10 @@ class Written:
         df.write.option("parquet.block.size", BLOCK).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        """A place for tables that are written part by part."""
+        return f"{self.folder}/{name}"
+
     def release(self) -> None:
         atexit.unregister(self.release)
         with contextlib.suppress(Exception):  # the session may be gone, and its folder with it

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -12,15 +13,17 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import Written
 from plumbline.functions.numeric import clean
+from plumbline.functions.rng import draw
+from plumbline.functions.side_by_side import side_by_side
 from plumbline.operators import attribution, sampling
-from plumbline.operators.categories import is_nominal
+from plumbline.operators.categories import is_nominal, prepare_categorical, supports_categorical
 from plumbline.operators.importance import ranking_metrics
-from plumbline.operators.ranking import hash_rank
-from plumbline.functions.rng import draw
+from plumbline.operators.ranking import buckets_for, hash_rank
 
 
 def linear_attributions(df: DataFrame, coefficients: dict[str, float], sample: str) -> DataFrame:
@@ -232,84 +235,130 @@ def logistic(df: DataFrame, features: list[str], target: str) -> Model:
     return LogisticRegression(maxIter=50).fit(assemble(df, features, target))
 
 
+EVAL_SETS = ("holdout", "full", "pool")
+
+
 class AttributionStability:
-    """Attribution metrics over a ladder of pools.
+    """Attribution metrics over a ladder of pools; each resample draws a pool of its own.
 
-    One reference model (the default): each row has one attribution whatever the
-    resample, so they are computed once and resampled as a table. With
-    retrain_per_bootstrap a model is fitted for each resample and explains the
-    fixed evaluation rows.
+    One reference model (the default): each row has one attribution whatever the resample,
+    so attributions are computed once and resampled as a table. With retrain_per_bootstrap a
+    model is fitted for each resample, `n_jobs` at a time, and explains the evaluation rows.
+    Resamples of one class, and those whose fit fails, are left out and counted.
+
+    eval_set_strategy: "holdout" keeps a share of the rows from the pools; "full" draws from and
+    evaluates on all rows; "pool" draws from all rows and evaluates each model on its own resample.
     """
 
-    def __init__(self, explainer_type: str = "auto", resample_frac: float = 0.8, n_resamples: int = 20, min_pool: int = 100, linear_threshold: int = 1000, n_points: int = 15, eval_set_size: float = 0.2, retrain_per_bootstrap: bool = False, r2_threshold: float = 0.70, metric_weights: dict | None = None, random_state: int = 42, double_invert: bool = True, model_factory: Callable | None = None, top_k: int = 10, n_bins: int = 50):
+    def __init__(self, explainer_type: str = "auto", resample_frac: float = 0.8, n_resamples: int = 20, min_pool: int = 100, linear_threshold: int = 1000, n_points: int = 15, eval_set_strategy: str = "holdout", eval_set_size: float = 0.2, retrain_per_bootstrap: bool = False, r2_threshold: float = 0.70, metric_weights: dict | None = None, random_state: int = 42, double_invert: bool = True, model_factory: Callable | None = None, top_k: int = 10, n_bins: int = 50, categorical_features: list[str | int] | None = None, n_jobs: int = 8):
+        if eval_set_strategy not in EVAL_SETS:
+            raise ValueError(f"unknown eval_set_strategy: {eval_set_strategy}; one of {EVAL_SETS}")
         self.explainer_type, self.resample_frac, self.n_resamples, self.retrain = explainer_type, resample_frac, n_resamples, retrain_per_bootstrap
         self.ladder = (min_pool, linear_threshold, n_points)
-        self.eval_set_size, self.r2_threshold, self.random_state, self.double_invert = eval_set_size, r2_threshold, random_state, double_invert
+        self.eval_set_strategy, self.eval_set_size, self.r2_threshold, self.random_state, self.double_invert = eval_set_strategy, eval_set_size, r2_threshold, random_state, double_invert
         self.weights = metric_weights or attribution.DEFAULT_SHAP_WEIGHTS
         self.model_factory = model_factory or default_model
-        self.top_k, self.n_bins = top_k, n_bins
+        self.top_k, self.n_bins, self.categorical, self.n_jobs = top_k, n_bins, categorical_features, n_jobs
 
     def fit(self, df: DataFrame, features: list[str], target: str, rows_key: list[str]) -> dict:
-        """points (pool_size, metric, mean), fits, complexity, features (per feature), constant."""
+        """points (pool_size, metric, mean), fits, complexity, features (means and sds over pools), constant, pools, degenerate_rates."""
         if target is None:
             raise ValueError("attributions need a target")
-        spark = df.sparkSession
-        rows = sampling.number_rows(df, rows_key, name="_row").persist()
-        n = rows.count()
-        cut = int(n * self.eval_set_size)
-        hashed = rows.withColumn("_h", draw(self.random_state, "eval", F.col("_row")))
-        marked = hash_rank(hashed, [], "_h", ["_row"], "_rank").withColumn("_eval", F.col("_rank") < cut).drop("_h", "_rank").persist()
-        train, held = marked.filter(~F.col("_eval")), marked.filter("_eval")
-        n_train = n - cut
+        hold = Written(df.sparkSession)
+        rows, train, held, reference, model = self._reference(hold, df, features, target, rows_key)
+        n_train = train.count()
         rate = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
         ladder = sampling.pool_ladder(n_train, *self.ladder)
         pools, _ = sampling.enough_events(ladder, rate, max(20, int(20 / max(rate, 0.01))))
         pools = [min(p, n_train) for p in pools]
-        model = self.model_factory().fit(assemble(train, features, target))
-        reference = explain(held, model, features, "_row", self.explainer_type).persist()
-        all_phi = explain(train, model, features, "_row", self.explainer_type).persist() if not self.retrain else None
-        numbered = sampling.number_rows(train.select("_row"), ["_row"], name="row_id")
-        points, own = None, None
-        for i, size in enumerate(pools):
-            phi = self._resampled(spark, train, held, numbered, all_phi, features, target, i, size)
-            part = attribution.all_metrics(phi, reference, self.n_bins, self.top_k).withColumn("pool_size", F.lit(int(size)))
-            each = attribution.feature_metrics(phi, reference, self.n_bins).withColumn("pool_size", F.lit(int(size)))
-            points = part if points is None else points.unionByName(part)
-            own = each if own is None else own.unionByName(each)
-        if points is None:
+        if not pools:
             raise ValueError("no pool holds enough events")
-        points = points.persist()
-        fits = attribution.fit_curves(points, r2_threshold=self.r2_threshold).persist()
+        phi, lost = self.attributions(hold, train, held, model, features, target, pools)
+
+        def of_pool(i: int) -> tuple[DataFrame, DataFrame]:
+            own = phi.filter(F.col("point") == i).drop("point")
+            size = F.lit(int(pools[i])).alias("pool_size")
+            return hold(attribution.all_metrics(own, reference, self.n_bins, self.top_k).select("*", size)), hold(attribution.feature_metrics(own, reference, self.n_bins).select("*", size))
+
+        found = side_by_side(of_pool, [i for i in range(len(pools)) if lost.get(i, 0) < self.n_resamples], self.n_jobs)
+        for error in found:
+            if isinstance(error, Exception):
+                raise error
+        if not found:
+            raise ValueError("every resample is of one class, or failed")
+        points, own = (reduce(DataFrame.unionByName, parts) for parts in zip(*found, strict=True))
+        fits = hold(attribution.fit_curves(points, r2_threshold=self.r2_threshold))
         score = attribution.score(fits, [], self.weights, self.double_invert).first()["complexity"]
         if score is None:
             score = attribution.fallback_score(points, self.weights).first()["complexity"]
         names = [c for c in own.columns if c not in ("feature", "pool_size")]
-        per_feature = own.groupBy("feature").agg(*(F.avg(c).alias(c) for c in names))
-        return {"points": points, "fits": fits, "complexity": score, "features": attribution.feature_complexity(per_feature, self.weights), "constant": attribution.constant_features(reference), "pools": pools}
-
-    def _resampled(self, spark, train, held, numbered, all_phi, features, target, i, size) -> DataFrame:
-        """(resample, sample, feature, phi) of one pool size: a new pool for each resample."""
-        plan = spark.createDataFrame([(r, 0, int(size)) for r in range(self.n_resamples)], "pool int, draw_no int, pool_size long")
-        seed = self.random_state + i * 1000
-        pooled = sampling.draw_pools(numbered, plan, [], seed)
-        drawn = sampling.draw_resamples(plan, [], 1, self.resample_frac, seed).select("pool", "slot", "cnt")
-        picked = pooled.join(drawn, ["pool", "slot"]).select(F.col("pool").alias("resample"), "_row", "cnt")
+        per_feature = own.groupBy("feature").agg(*(F.avg(c).alias(c) for c in names), *(F.stddev_samp(c).alias(f"{c}_std") for c in names))
+        rates = {int(p): lost.get(i, 0) / self.n_resamples for i, p in enumerate(pools)}
+        return {"points": points, "fits": fits, "complexity": score, "features": attribution.feature_complexity(per_feature, self.weights), "constant": attribution.constant_features(reference), "pools": pools, "degenerate_rates": rates}
+
+    def _reference(self, hold: Written, df: DataFrame, features: list[str], target: str, rows_key: list[str]) -> tuple:
+        """Numbered rows, those that train, those that are evaluated, their attributions by the reference model, and the model."""
+        if self.categorical:
+            probe = self.model_factory()
+            df, _, _ = prepare_categorical(probe, df, features, self.categorical)
+            self._bins = probe.getMaxBins() if supports_categorical(probe) else 0  # as many as there are categories
+        df = df.select(*dict.fromkeys([*rows_key, *features, target]))
+        rows = hold(sampling.number_rows(df, rows_key, name="_row"))
+        train = held = rows
+        if self.eval_set_strategy == "holdout":
+            n = rows.count()
+            hashed = rows.withColumn("_h", draw(self.random_state, "eval", F.col("_row")))
+            marked = hold(hash_rank(hashed, [], "_h", ["_row"], "_rank", buckets_for(n)).withColumn("_eval", F.col("_rank") < int(n * self.eval_set_size)).drop("_h", "_rank"))
+            train, held = marked.filter(~F.col("_eval")).drop("_eval"), marked.filter("_eval").drop("_eval")
+        model = self._model().fit(assemble(train, features, target))
+        return rows, train, held, hold(explain(held, model, features, "_row", self.explainer_type)), model
+
+    def _model(self):
+        model = self.model_factory()
+        if self.categorical and supports_categorical(model):
+            model.setMaxBins(max(model.getMaxBins(), self._bins))
+        return model
+
+    def attributions(self, hold: Written, train: DataFrame, held: DataFrame, model: Model, features: list[str], target: str, pools: list[int]) -> tuple[DataFrame, dict[int, int]]:
+        """(point, resample, sample, feature, phi) of all pools, and per pool how many resamples gave none."""
+        drawn = hold(self.drawn(train, pools))
+        sides = drawn.join(train.select("_row", F.col(target).cast("double").alias("y")), "_row").groupBy("point", "resample").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+        good = [(r["point"], r["resample"]) for r in sides.filter("low < high").orderBy("point", "resample").collect()]  # a row for each resample
+        rows_of = lambda rows: rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))))
         if not self.retrain:
+            phi = hold(explain(train, model, features, "_row", self.explainer_type).withColumnRenamed("sample", "_row"))
+            use = drawn.sparkSession.createDataFrame(good, "point int, resample int")
             # rows of different resamples meet by their order in the resample, as positions
-            copies = picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))))
-            place = F.row_number().over(Window.partitionBy("resample").orderBy(F.xxhash64("_row", "_copy"), "_row", "_copy"))
-            placed = copies.withColumn("sample", place).select("resample", "sample", "_row")
-            return placed.join(all_phi.withColumnRenamed("sample", "_row"), "_row").select("resample", "sample", "feature", "phi")
-        out = None
-        for r in range(self.n_resamples):  # a fit is a Spark job of its own
-            rows = train.join(picked.filter(F.col("resample") == r), "_row")
-            rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))))
-            if rows.select(target).distinct().count() < 2:
-                continue
-            model = self.model_factory().fit(assemble(rows, features, target))
-            phi = explain(held, model, features, "_row", self.explainer_type).withColumn("resample", F.lit(r))
-            out = phi if out is None else out.unionByName(phi)
-        return out.select("resample", "sample", "feature", "phi")
+            copies = rows_of(drawn.join(F.broadcast(use), ["point", "resample"])).withColumn("_h", draw(self.random_state, "place", F.col("_row"), F.col("_copy")))
+            placed = hash_rank(copies, ["point", "resample"], "_h", ["_row", "_copy"], "sample", buckets_for(max(pools)))
+            out = hold(placed.join(phi, "_row").select("point", "resample", "sample", "feature", "phi"))
+            failed = []
+        else:
+
+            def fit(key: tuple[int, int]) -> None:
+                i, r = key
+                own = rows_of(train.join(drawn.filter((F.col("point") == i) & (F.col("resample") == r)).select("_row", "cnt"), "_row"))
+                seen = own.withColumn("_row", F.xxhash64("_row", "_copy")) if self.eval_set_strategy == "pool" else held
+                found = explain(seen, self._model().fit(assemble(own, features, target)), features, "_row", self.explainer_type)
+                found.write.mode("overwrite").parquet(f"{hold.path('phi')}/point={i}/resample={r}")
+
+            got = side_by_side(fit, good, self.n_jobs)
+            failed = [key for key, x in zip(good, got, strict=True) if isinstance(x, Exception)]
+            if len(failed) == len(good):
+                raise RuntimeError("no resample's model could be fitted and explained") from next((x for x in got if x), None)
+            out = hold.spark.read.parquet(hold.path("phi")).select("point", "resample", "sample", "feature", "phi")
+        fine = {key for key in good if key not in failed}
+        return out, {i: self.n_resamples - sum(p == i for p, _ in fine) for i in range(len(pools))}
+
+    def drawn(self, train: DataFrame, pools: list[int]) -> DataFrame:
+        """(point, resample, _row, cnt): the rows of each resample, from a pool of its own."""
+        plan = [(i * self.n_resamples + r, 0, int(size)) for i, size in enumerate(pools) for r in range(self.n_resamples)]
+        plan = train.sparkSession.createDataFrame(plan, "pool int, draw_no int, pool_size long")
+        numbered = sampling.number_rows(train.select("_row"), ["_row"], name="row_id")
+        pooled = sampling.draw_pools(numbered, plan, [], self.random_state, buckets=buckets_for(max(pools)))
+        slots = sampling.draw_resamples(plan, [], 1, self.resample_frac, self.random_state).select("pool", "slot", "cnt")
+        picked = pooled.join(slots, ["pool", "slot"])
+        return picked.select(F.floor(F.col("pool") / self.n_resamples).cast("int").alias("point"), (F.col("pool") % self.n_resamples).alias("resample"), "_row", "cnt")
 
 
 def predictions(model: Model, df: DataFrame, features: list[str], target: str) -> DataFrame:
