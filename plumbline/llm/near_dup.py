@@ -44,6 +44,8 @@ from plumbline.llm.workspace import keep, keep_result, split_near
 SHINGLE = 5
 SLOTS, ROOTS = 256, 16
 FIRST_ROOTS = 6
+#: Later trees, in rounds: what the first few join is not compared again by the others.
+LATER = (range(6, 9), range(9, ROOTS))
 #: Sets compared exhaustively, and sets (of about 300 bytes) whose node one task branches.
 SMALL, LOCAL = 64, 1 << 17
 PIVOTS = 4
@@ -441,6 +443,16 @@ def _confirm(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     return keep(links.unionByName(in_blocks), "links")
 
 
+def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after further links between their members, or with ids that are in none."""
+    of = lambda end: F.coalesce(f"c{end}", end).alias(end)
+    ends = links.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ends = ends.join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").select(of("a"), of("b"))
+    last = components(ends)
+    comp = comp.join(last.select(F.col("id").alias("component"), F.col("component").alias("_last")), "component", "left").select("id", F.coalesce("_last", "component").alias("component"))
+    return keep(comp.unionByName(last.join(comp, "id", "left_anti")), "components")
+
+
 def _linked(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The component of each id with shingles; and, without an id, of each class (d1, d2, n) that rows without an id are in."""
     spark = docs.sparkSession
@@ -457,18 +469,13 @@ def _linked(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_co
         return keep_result(spark, lambda: _confirm(pairs, docs, id_col, text_col, percent), "links")
 
     comp = components(links(alone, range(FIRST_ROOTS), percent / 100 - 0.05, True))
-    sets = alone.drop("comp").join(comp, "id", "left").select("id", "n", "sig", "roots", F.coalesce("component", "id").alias("comp"))
-    more = links(keep(sets, "sets"), range(FIRST_ROOTS, ROOTS), least, False)
     # one id may stand for several texts: it joins their classes
     several = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
     several = member.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    # the later links join components of the first ones
-    of = lambda end: F.coalesce(f"c{end}", end).alias(end)
-    later = more.unionByName(several).join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    later = later.join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left").select(of("a"), of("b"))
-    last = components(later)
-    comp = comp.join(last.select(F.col("id").alias("component"), F.col("component").alias("_last")), "component", "left").select("id", F.coalesce("_last", "component").alias("component"))
-    comp = keep(comp.unionByName(last.join(comp, "id", "left_anti")), "components")
+    for roots in LATER:
+        sets = alone.drop("comp").join(comp, "id", "left").select("id", "n", "sig", "roots", F.coalesce("component", "id").alias("comp"))
+        more = links(keep(sets, "sets"), roots, least, False)
+        comp = _contracted(comp, more.unionByName(several))
     comp = comp.select(F.col("id").alias("rep"), "component")
 
     component = F.coalesce("component", "rep").alias("component_id")
