@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.lineage import Written
 from plumbline.functions.numeric import clean, t_quantile
 from plumbline.functions.rng import draw
-from plumbline.operators import checks, sampling
+from plumbline.operators import checks, mergeable, sampling
 from plumbline.operators.analyzer import StabilityAnalyzer
-from plumbline.operators.ranking import average_rank_of_rows
+from plumbline.operators.mergeable import Statistic
+from plumbline.operators.ranking import average_rank_of_rows, buckets_for
 
 #: Statistics that stay in SQL, from a resample's counts.
 STATISTICS = ("mean", "median", "std", "sum", "min", "max")
@@ -40,29 +41,46 @@ def _statistic(name: str) -> Column:
     raise ValueError(f"unknown statistic: {name}; one of {STATISTICS}, or a function of a numpy array")
 
 
-def bootstrap_values(df: DataFrame, value: str, stat: str | Callable = "mean", n_boot: int = 2000, seed: int = 42, keys: list[str] | None = None, backend: str = "xxhash64", resample: str = "exact") -> DataFrame:
-    """Rows (r, stat): a statistic of each full-size resample. NaN and null are left out.
+def bootstrap_values(df: DataFrame, value: str | Sequence[str], stat: str | Statistic | Callable = "mean", n_boot: int = 2000, seed: int = 42, keys: list[str] | None = None, backend: str = "xxhash64", resample: str = "exact") -> DataFrame:
+    """Rows (r, stat): a statistic of each full-size resample. Rows with NaN or null are left out.
 
-    resample "poisson" gives each row a Poisson count instead of a draw: for mean and
-    sum no row is shuffled at all. A function as `stat` gets a resample's values as
-    one numpy array, in one task each.
+    stat: a name of STATISTICS, a `mergeable.Statistic` (of one or several columns), or a
+    function. A function gets a resample's values as one numpy array, in one task each; the
+    others never need a whole resample in a task. resample "poisson" gives each row a
+    Poisson count instead of a draw: for mean, sum and mergeable statistics no row is
+    shuffled at all.
     """
-    rows = df.select(clean(value).alias("x"), *(keys or [])).filter("x is not null")
+    names, rows = _complete(df, value, keys)
     n = rows.count()
     if n == 0:
         raise ValueError("no values to resample")
     if resample == "poisson":
-        hashed = [F.col(k) for k in keys or []] or [F.col("x"), F.monotonically_increasing_id()]
+        hashed = [F.col(k) for k in keys or []] or [*map(F.col, names), F.monotonically_increasing_id()]
         each = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        drawn = each.withColumn("cnt", sampling.poisson_weight(1.0, seed, "ci", F.col("r"), *hashed)).filter("cnt > 0").select("r", "x", "cnt")
+        drawn = each.withColumn("cnt", sampling.poisson_weight(1.0, seed, "ci", F.col("r"), *hashed)).filter("cnt > 0").select("r", *names, "cnt")
     else:
-        numbered = sampling.number_rows(rows, keys or ["x"], name="slot", backend=backend)
+        numbered = sampling.number_rows(rows, keys or names, buckets=buckets_for(n), name="slot", backend=backend)
         blocks = df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("r"))
         draws = blocks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 65536)))).withColumn("i", F.explode(F.sequence(F.col("b") * 65536, F.least(F.lit(n - 1), (F.col("b") + 1) * 65536 - 1))))
         slot = F.pmod(draw(seed, "ci", F.col("r"), F.col("i"), backend=backend), F.lit(n)).cast("long")
-        drawn = draws.groupBy("r", slot.alias("slot")).agg(F.count("*").alias("cnt")).join(numbered.select("slot", "x"), "slot").select("r", "x", "cnt")
+        drawn = draws.groupBy("r", slot.alias("slot")).agg(F.count("*").alias("cnt")).join(numbered.select("slot", *names), "slot").select("r", *names, "cnt")
+    return _each(drawn, names, stat)
+
+
+def _complete(df: DataFrame, value: str | Sequence[str], keys: list[str] | None) -> tuple[list[str], DataFrame]:
+    """Names x, x1, ... and the rows that have all values."""
+    values = [value] if isinstance(value, str) else list(value)
+    names = ["x", *(f"x{i}" for i in range(1, len(values)))]
+    rows = df.select(*(clean(v).alias(n) for v, n in zip(values, names, strict=True)), *(keys or []))
+    return names, rows.filter(F.expr(" and ".join(f"{n} is not null" for n in names)))
+
+
+def _each(drawn: DataFrame, names: list[str], stat: str | Statistic | Callable) -> DataFrame:
+    """(r, stat) of rows (r, names, cnt)."""
     if isinstance(stat, str):
         return drawn.groupBy("r").agg(_statistic(stat).alias("stat"))
+    if isinstance(stat, Statistic):
+        return mergeable.aggregate(drawn, "r", names, "cnt", stat).withColumn("r", F.col("r").cast("int"))
 
     def own(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"r": [g["r"].iloc[0]], "stat": [float(stat(np.repeat(g["x"].to_numpy(), g["cnt"].to_numpy())))]})
@@ -70,14 +88,14 @@ def bootstrap_values(df: DataFrame, value: str, stat: str | Callable = "mean", n
     return drawn.groupBy("r").applyInPandas(own, "r int, stat double")
 
 
-def bootstrap_ci(df: DataFrame, value: str, stat: str | Callable = "mean", n_boot: int = 2000, ci: float = 0.95, seed: int = 42, keys: list[str] | None = None, backend: str = "xxhash64", resample: str = "exact") -> dict:
+def bootstrap_ci(df: DataFrame, value: str | Sequence[str], stat: str | Statistic | Callable = "mean", n_boot: int = 2000, ci: float = 0.95, seed: int = 42, keys: list[str] | None = None, backend: str = "xxhash64", resample: str = "exact") -> dict:
     """Percentile interval of a statistic."""
     if not 0 < ci < 1:
         raise ValueError("ci must lie between 0 and 1")
     values = bootstrap_values(df, value, stat, n_boot, seed, keys, backend, resample)
     low, high = values.agg(F.percentile("stat", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))).first()[0]
-    rows = df.select(clean(value).alias("x")).filter("x is not null")
-    point = rows.withColumn("cnt", F.lit(1)).agg(_statistic(stat)).first()[0] if isinstance(stat, str) else float(stat(rows.toPandas()["x"].to_numpy()))
+    names, rows = _complete(df, value, None)
+    point = _each(rows.select(F.lit(0).alias("r"), *names, F.lit(1).alias("cnt")), names, stat).first()["stat"]
     return {"point_estimate": point, "ci_lower": low, "ci_upper": high, "n_boot": n_boot, "ci": ci, "seed": seed}
 
 

@@ -1,4 +1,7 @@
-"""Tables with known instability, to measure how well it is found. Values are hashes of row and feature."""
+"""Tables with known instability, to measure how well it is found. Values are hashes of row and feature.
+
+`generate` makes a table up; `inject_into` corrupts columns of a table that is there.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,9 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import Written
 from plumbline.functions.rng import draw, normal, uniform
-from plumbline.operators import inference
+from plumbline.operators import inference, marginal
 from plumbline.operators.analyzer import StabilityAnalyzer
 from plumbline.operators.ranking import hash_rank
 
@@ -77,6 +81,52 @@ def generate(spark: SparkSession, kind: InstabilityType, design: Design = Design
     return inject(base(spark, design, seed), kind, corrupted, design, seed), corrupted
 
 
+def partner_of(names: list[str], feature: str, seed: int) -> str:
+    """The other feature by whose size an interaction scales a corrupted one."""
+    others = [n for n in names if n != feature]
+    return others[(seed * 31 + names.index(feature)) % len(others)]
+
+
+def inject_into(df: DataFrame, kind: InstabilityType | str, corrupted: list[str], names: list[str], target: str, keys: list[str], design: Design = Design(), seed: int = 42, backend: str = "xxhash64") -> DataFrame:
+    """The table with its corrupted columns made extreme along the target, in units of their spread, and
+    `_extreme`: for each of them whether this row's value is one of the injected ones.
+
+    A row is picked by a hash of its keys, so nothing is shuffled or ranked: about `influential` of
+    the rows are. All columns are changed from the values that they had. What is missing
+    not at random goes by size against the largest of the values that stay, from one aggregation.
+    """
+    kind = InstabilityType(kind)
+    value = {n: F.col(n).cast("double") for n in names}
+    moments = df.agg(*(f(value[n]).alias(f"{f.__name__}_{n}") for n in names for f in (F.avg, F.stddev_pop))).first()  # two numbers a column
+    z = {n: (value[n] - F.lit(moments[f"avg_{n}"] or 0.0)) / F.lit(moments[f"stddev_pop_{n}"] or 1.0) for n in names}
+    row = [F.col(k) for k in keys]
+    picked = {f: uniform(seed, "pick", f, *row, backend=backend) < design.influential for f in corrupted}
+    most = df.agg(*(F.max(F.abs(z[n])).alias(f"all_{n}") for n in names), *(F.max(F.when(~picked[f], F.abs(z[f]))).alias(f"left_{f}") for f in corrupted)).first()
+    side = 2.0 * F.col(target) - 1.0
+    out = {}
+    for f in corrupted:
+        size = 4 + 4 * uniform(seed, "size", f, *row, backend=backend)
+        scale: Column = F.lit(design.shift_magnitude if kind is InstabilityType.DISTRIBUTION_SHIFT else design.noise_scale)
+        if kind is InstabilityType.INTERACTION:
+            partner = partner_of(names, f, seed)
+            scale = (0.5 + F.abs(z[partner]) / F.lit((most[f"all_{partner}"] or 0.0) + 1e-8)) * design.interaction_strength
+        extreme = F.lit(moments[f"avg_{f}"] or 0.0) + side * size * scale * F.lit(moments[f"stddev_pop_{f}"] or 1.0)
+        own = F.when(picked[f], extreme).otherwise(value[f])
+        if kind is InstabilityType.MNAR:
+            gone = ~picked[f] & (uniform(seed, "gone", f, *row, backend=backend) < F.abs(z[f]) / F.lit(most[f"left_{f}"] or 1.0) * design.missing_fraction)
+            own = F.when(~gone, own)
+        out[f] = own
+    return df.withColumns(out | {"_extreme": F.struct(*(picked[f].alias(f) for f in corrupted))})
+
+
+def class_gaps(df: DataFrame, names: list[str], target: str, by: list[str] | None = None) -> DataFrame:
+    """(by, feature, ks): how far each feature's distribution differs between the two classes."""
+    by = by or []
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names)))
+    long = df.select(*by, F.col(target).alias("y"), pairs.alias("p")).select(*by, "y", "p.feature", "p.x")
+    return marginal.ks_two_sample(long.filter("y = 1"), long.filter("y = 0"), [*by, "feature"], "x")
+
+
 @dataclass
 class TestResult:
     kind: InstabilityType
@@ -93,15 +143,24 @@ class SyntheticValidation:
         kind = InstabilityType(kind)
         table, corrupted = generate(self.spark, kind, self.design)
         names = [c for c in table.columns if c.startswith("feature_")]
+        return self._tested(table, kind, names, corrupted, "target", ["row_id"], threshold, use_permutation, n_permutations, settings)
+
+    def run_on(self, df: DataFrame, kind: InstabilityType | str, corrupted: list[str], names: list[str], target: str, keys: list[str], threshold: float = 0.05, use_permutation: bool = True, n_permutations: int = 30, **settings) -> TestResult:
+        """As run_test, with the instability injected into columns of a given table."""
+        kind = InstabilityType(kind)
+        table = inject_into(df, kind, corrupted, names, target, keys, self.design, self.design.random_state).drop("_extreme")
+        return self._tested(table, kind, names, corrupted, target, keys, threshold, use_permutation, n_permutations, settings)
+
+    def _tested(self, table: DataFrame, kind: InstabilityType, names: list[str], corrupted: list[str], target: str, keys: list[str], threshold: float, use_permutation: bool, n_permutations: int, settings: dict) -> TestResult:
         settings = {"n_resamples": 20, "random_state": self.design.random_state} | settings
         if use_permutation:
-            p = inference.PermutationBaseline(n_permutations, threshold, self.design.random_state).fit(table, names, "target", ["row_id"], **settings)
+            p = inference.PermutationBaseline(n_permutations, threshold, self.design.random_state).fit(table, names, target, keys, **settings)
             flags = p.select("feature", F.col("observed").alias("score"), F.col("significant").alias("flagged"))
         else:
-            panel = StabilityAnalyzer(**settings).fit_panel(table, "target", names, ["row_id"])
+            panel = StabilityAnalyzer(**settings).fit_panel(table, target, names, keys)
             flags = panel.complexity_scores.select("feature", F.col("target_dependent").alias("score"), F.coalesce(F.col("target_dependent") >= threshold, F.lit(False)).alias("flagged"))
         every = self.spark.createDataFrame([(n, n in corrupted) for n in names], "feature string, corrupted boolean")
-        flags = every.join(flags, "feature", "left").fillna(False, ["flagged"]).persist()
+        flags = Written(self.spark)(every.join(flags, "feature", "left").fillna(False, ["flagged"]))
         return TestResult(kind, flags, inference.detection(flags, []).first().asDict())
 
     def run_full_suite(self, **options) -> list[TestResult]:

@@ -7,7 +7,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, categories, compare, drift, importance, inference, models, reliability, sampling
+from plumbline.operators import attribution, categories, compare, drift, importance, inference, mergeable, models, reliability, sampling
 from plumbline.operators.ranking import spearman
 from plumbline.plans.registry import query
 from plumbline.plans.tables import DRAW_SQL, LINES_SQL, PHI_SQL, attributions, lines
@@ -333,6 +333,24 @@ def _(read):
     return read("region").sparkSession.createDataFrame([(ci["point_estimate"], ci["ci_lower"], ci["ci_upper"])], "point double, low double, high double")
 
 
+_ORDER_ROWS = f"SELECT o_orderkey, o_totalprice, o_custkey, row_number() OVER (ORDER BY {_DRAW.format("concat_ws('-', 'row', o_orderkey)")}, o_orderkey) - 1 AS slot FROM orders"
+_ORDER_DRAWS = f"""WITH s AS MATERIALIZED ({_ORDER_ROWS}), n AS (SELECT count(*) AS n FROM s),
+    d AS (SELECT r, {_DRAW.format("concat_ws('-', 42, 'ci', r, i)")} % n AS slot FROM n, (SELECT unnest(range(20)) AS r), LATERAL (SELECT unnest(range(n)) AS i)), c AS (SELECT r, slot, count(*) AS cnt FROM d GROUP BY ALL)"""
+
+
+@query("bootstrap_ratio", "r ~stat", f"{_ORDER_DRAWS} SELECT r::INT AS r, sum(cnt * o_totalprice) / sum(cnt * o_custkey) AS stat FROM c JOIN s USING (slot) GROUP BY r")
+def _(read):
+    return inference.bootstrap_values(read("orders"), ["o_totalprice", "o_custkey"], mergeable.Ratio(), 20, keys=["o_orderkey"], backend="md5")
+
+
+@query("bootstrap_trimmed_mean", "r ~stat", f"""{_ORDER_DRAWS}, v AS (SELECT r, o_custkey % 97 AS x, sum(cnt) AS c FROM c JOIN s USING (slot) GROUP BY ALL),
+    u AS (SELECT *, sum(c) OVER (PARTITION BY r ORDER BY x) AS upto, sum(c) OVER (PARTITION BY r) AS m FROM v), k AS (SELECT r, x, greatest(least(upto, m * 0.9::DOUBLE) - greatest(upto - c, m * 0.1::DOUBLE), 0) AS w FROM u)
+    SELECT r::INT AS r, sum(w * x) / sum(w) AS stat FROM k GROUP BY r""")
+def _(read):
+    rows = read("orders").withColumn("x", F.col("o_custkey") % 97)
+    return inference.bootstrap_values(rows, "x", mergeable.TrimmedMean.of(rows, "x", 0.1), 20, keys=["o_orderkey"], backend="md5")
+
+
 @query("meta_intervals", "p_brand ~mean ~std ~ci_lower ~ci_upper n_splits", """
     WITH t AS (SELECT * FROM (VALUES (2, 12.706204736174698::DOUBLE), (3, 4.302652729696142), (4, 3.182446305283708), (5, 2.7764451051977987)) AS v(n, t)), s AS (SELECT p_brand, avg(p_size) AS x FROM part WHERE p_type IS NOT NULL GROUP BY p_brand, p_partkey % 4),
     a AS (SELECT p_brand, avg(x) AS m, stddev_samp(x) AS sd, count(*) AS n FROM s GROUP BY p_brand)

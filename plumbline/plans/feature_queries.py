@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import at_least, clip, safe_div
 from plumbline.operators import inference, loan_features, synthetic
 from plumbline.operators.analyzer import StabilityAnalyzer
 from plumbline.plans.registry import query
-from plumbline.plans.tables import LINE_KEY, lines
+from plumbline.plans.tables import DRAW_SQL, LINE_KEY, LINES_SQL, lines
 
 
 @query("safe_division", "l_orderkey l_linenumber l_partkey ~per_unit ~filled ~clipped", """
@@ -52,10 +54,76 @@ def _(read):
     return loan_features.by_month(read("orders"), "1997-12-31", "1999-01-01", "o_orderdate").groupBy("period").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean_price"))
 
 
-@query("synthetic_base", "n events ~corrupted_spread")
+# -- known instability in given tables ------------------------------------------------------
+
+_CLEAN, _CORRUPTED = ["l_quantity", "l_extendedprice"], ["l_discount", "l_tax"]
+_ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_KINDS = [k.value for k in synthetic.InstabilityType]
+
+
+def _u(purpose: str, feature: str, keys: list[str]) -> str:
+    key = ", ".join(f"'{k}'" if k in (purpose, feature, "42") else k for k in ("42", purpose, feature, *keys))
+    return f"({DRAW_SQL.format(f'concat_ws(chr(45), {key})')} / {float(1 << 52)!r}::DOUBLE)"
+
+
+def _injected_sql(kind: str) -> str:
+    """Rows (y, and each feature) of the lines with one kind of instability."""
+    names, design = [*_CLEAN, *_CORRUPTED], synthetic.Design()
+    facts = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in names)
+    scores = ", ".join(f"abs({n} - m_{n}) / s_{n} AS z_{n}" for n in names)
+    draws = ", ".join(f"{_u(p, f, _ROW)} AS {p}_{f}" for f in _CORRUPTED for p in ("pick", "size", "gone"))
+    most = ", ".join([f"max(z_{n}) AS all_{n}" for n in names] + [f"max(z_{f}) FILTER (pick_{f} >= {design.influential}) AS left_{f}" for f in _CORRUPTED])
+    columns = list(_CLEAN)
+    for f in _CORRUPTED:
+        scale = {"distribution_shift": str(design.shift_magnitude)}.get(kind, str(design.noise_scale))
+        if kind == "interaction":
+            partner = synthetic.partner_of(names, f, 42)
+            scale = f"(0.5 + z_{partner} / (all_{partner} + 1e-8)) * {design.interaction_strength}"
+        value = f"CASE WHEN pick_{f} < {design.influential} THEN m_{f} + (2.0::DOUBLE * target - 1) * (4 + 4 * size_{f}) * {scale} * s_{f} ELSE {f} END"
+        if kind == "mnar":
+            value = f"CASE WHEN NOT (pick_{f} >= {design.influential} AND gone_{f} < z_{f} / left_{f} * {design.missing_fraction}) THEN {value} END"
+        columns.append(f"{value} AS {f}")
+    return f"""(WITH l AS ({LINES_SQL}), f AS (SELECT {facts} FROM l), d AS (SELECT l.*, f.*, {scores}, {draws} FROM l, f), t AS (SELECT {most} FROM d)
+        SELECT '{kind}' AS kind, target AS y, {', '.join(columns)}, {', '.join(f'pick_{f} < {design.influential} AS in_{f}' for f in _CORRUPTED)} FROM d, t)"""
+
+
+_GAPS = "WITH r AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {_injected_sql(k)}" for k in _KINDS) + "), x AS (" + " UNION ALL ".join(
+    f"SELECT kind, y, '{n}' AS feature, {n}::DOUBLE AS x, {f'in_{n}' if n in _CORRUPTED else 'false'} AS extreme FROM r" for n in [*_CLEAN, *_CORRUPTED]
+) + """), n AS (SELECT kind, feature, count(*) FILTER (extreme) AS n_extreme, count(*) FILTER (x IS NULL) AS n_missing FROM x GROUP BY ALL),
+    v AS (SELECT kind, feature, x, sum(y) AS a, sum(1 - y) AS b FROM x WHERE x IS NOT NULL GROUP BY ALL),
+    g AS (SELECT kind, feature, max(abs(ca / ta - cb / tb)) AS ks FROM (SELECT kind, feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS ta, sum(b) OVER p AS tb FROM v WINDOW w AS (PARTITION BY kind, feature ORDER BY x), p AS (PARTITION BY kind, feature)) GROUP BY ALL)
+    SELECT kind, feature, feature IN ('l_discount', 'l_tax') AS corrupted, n_extreme, n_missing, ks, ks >= 0.1 AS flagged FROM n JOIN g USING (kind, feature)"""
+
+
+def _detected(read):
+    rows = lines(read)
+    names = [*_CLEAN, *_CORRUPTED]
+    parts = [synthetic.inject_into(rows, k, _CORRUPTED, names, "target", _ROW, backend="md5").select(F.lit(k).alias("kind"), F.col("target").alias("y"), *(F.col(n).cast("double").alias(n) for n in names), "_extreme") for k in _KINDS]
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    missing = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).isNull().alias("gone"), (F.col(f"_extreme.{n}") if n in _CORRUPTED else F.lit(False)).alias("extreme")) for n in names)))
+    counts = every.select("kind", missing.alias("p")).groupBy("kind", "p.feature").agg(F.count_if("p.extreme").alias("n_extreme"), F.count_if("p.gone").alias("n_missing"))
+    gaps = synthetic.class_gaps(every, names, "y", ["kind"])
+    return counts.join(gaps, ["kind", "feature"]).select("kind", "feature", F.col("feature").isin(_CORRUPTED).alias("corrupted"), "n_extreme", "n_missing", "ks", (F.col("ks") >= 0.1).alias("flagged"))
+
+
+@query("detect_injected", "kind feature corrupted n_extreme n_missing ~ks flagged", _GAPS)
+def _(read):
+    return _detected(read)
+
+
+@query("injected_detection", "kind tp fp fn tn ~tpr ~fpr ~precision ~recall ~f1", f"""
+    SELECT *, 2 * precision * tpr / (precision + tpr) AS f1, tpr AS recall FROM (SELECT kind, tp, fp, fn, tn, tp / (tp + fn) AS tpr, fp / (fp + tn) AS fpr, tp / (tp + fp) AS precision FROM (
+    SELECT kind, count(*) FILTER (corrupted AND flagged) AS tp, count(*) FILTER (NOT corrupted AND flagged) AS fp, count(*) FILTER (corrupted AND NOT flagged) AS fn, count(*) FILTER (NOT corrupted AND NOT flagged) AS tn FROM ({_GAPS}) GROUP BY kind))""")
+def _(read):
+    return inference.detection(_detected(read), ["kind"])
+
+
+@query("synthetic_base", "n events ~corrupted_spread", f"""
+    WITH c AS (SELECT *, (c_mktsegment = 'BUILDING')::INT AS y FROM customer), f AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM c)
+    SELECT count(*) AS n, sum(y)::BIGINT AS events, stddev_pop(CASE WHEN {_u('pick', 'c_acctbal', ['c_custkey'])} < 0.2 THEN m + (2.0::DOUBLE * y - 1) * (4 + 4 * {_u('size', 'c_acctbal', ['c_custkey'])}) * 3 * s ELSE c_acctbal END) AS corrupted_spread FROM c, f""")
 def _(read):
-    table, corrupted = synthetic.generate(read("region").sparkSession, synthetic.InstabilityType.HETEROSCEDASTIC)
-    return table.agg(F.count("*").alias("n"), F.sum("target").alias("events"), F.stddev_pop(corrupted[0]).alias("corrupted_spread"))
+    table = synthetic.inject_into(_customers(read), "heteroscedastic", ["c_acctbal"], ["c_acctbal"], "target", ["c_custkey"], backend="md5")
+    return table.agg(F.count("*").alias("n"), F.sum("target").alias("events"), F.stddev_pop("c_acctbal").alias("corrupted_spread"))
 
 
 def _customers(read):

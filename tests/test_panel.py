@@ -83,3 +83,19 @@ def test_meta_bootstrap_equals_its_splits_one_by_one(spark, credit, strategy):
     assert report["income"]["n_splits"] == 3 and report["income"]["ci_lower"] <= report["income"]["mean"] <= report["income"]["ci_upper"]
     assert got["by_category"].count() == 6
     spark.catalog.clearCache()
+
+
+def test_injected_columns_and_their_detection(spark, credit):
+    df = credit.withColumns({"rent": 0.3 * F.col("income") + F.col("id"), "age": F.col("id") % 60 + 20.0})
+    names = ["income", "rent", "age"]
+    for kind in synthetic.InstabilityType:
+        got = synthetic.inject_into(df, kind, ["age"], names, "default_flag", ["id"])
+        met = got.select("id", F.col("age").alias("new"), F.col("_extreme.age").alias("extreme")).join(df, "id")
+        r = met.agg(F.count_if("extreme").alias("n"), F.count_if(F.expr("new is null")).alias("gone"), F.count_if(F.expr("extreme and sign(new - 49.5) <> 2 * default_flag - 1")).alias("wrong"), F.count_if(F.expr("not extreme and new <> age")).alias("changed")).first()
+        assert 110 < r["n"] < 210 and r["wrong"] == 0 and r["changed"] == 0 and (r["gone"] > 0) == (kind is synthetic.InstabilityType.MNAR)
+        gaps = {g["feature"]: g["ks"] for g in synthetic.class_gaps(got, names, "default_flag").collect()}
+        assert gaps["age"] > 0.15
+    suite = synthetic.SyntheticValidation(spark)
+    found = suite.run_on(df, "heteroscedastic", ["age"], names, "default_flag", ["id"], threshold=0.0, use_permutation=False, n_resamples=2, n_points=3)
+    flags = {r["feature"]: (r["corrupted"], r["flagged"]) for r in found.flags.collect()}
+    assert set(flags) == set(names) and flags["age"][0] and not flags["rent"][0] and set(found.metrics) >= {"tpr", "fpr", "f1"}
