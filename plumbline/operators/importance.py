@@ -76,24 +76,6 @@ def added_vif(df: DataFrame, chosen: list[str], candidate: str) -> float:
     return 1 / (1 - min(r2, 1 - 1e-9))
 
 
-def forward_selection(df: DataFrame, candidates: list[str], evaluate, gain: float = 0.003, more: float = 0.005, high: float = 5.0, most: float = 10.0) -> list[str]:
-    """Greedy: candidates by rising inflation, each admitted if `evaluate(columns)` (an AUC) gains
-    enough; then the most inflated column goes while it is over `most`."""
-    order = [c for c, _ in reversed(vif(df, candidates))]
-    chosen, best = [], 0.5
-    for c in order:
-        need = gain + (more if added_vif(df, chosen, c) > high else 0.0)
-        score = evaluate([*chosen, c])
-        if score - best >= need:
-            chosen, best = [*chosen, c], score
-    while len(chosen) > 1:
-        worst, v = vif(df, chosen)[0]
-        if v is not None and v <= most:
-            break
-        chosen.remove(worst)
-    return chosen
-
-
 def entropy(importances: DataFrame, by: list[str] | None = None, value: str = "importance") -> DataFrame:
     """entropy, its maximum, their ratio, and a word for the concentration; features without importance are left out."""
     by = by or []
