@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, infer: bool = True) -> DataFrame:
@@ -27,6 +28,14 @@ def read_csv_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     return read_csv(spark, path, infer=False) if there else None
 
 
+def read_csv_or_empty(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """As texts; a table without rows (of the named columns) where no file is."""
+    found = read_csv_if_there(spark, path)
+    if found is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns or []]))
+    return found.select(*columns) if columns else found
+
+
 def read_excel(spark: SparkSession, path: str, header: int = 1, drop: tuple[str, ...] = ("ID",)) -> DataFrame:
     """A spreadsheet, where pandas has a reader for it; spreadsheets are small by their format."""
     frame = pd.read_excel(path, header=header).drop(columns=list(drop), errors="ignore")
@@ -39,6 +48,13 @@ def number_of(c: Column | str) -> Column:
     return F.when(F.trim(c) != "", F.trim(c).try_cast("double"))
 
 
+def number_or_text(c: Column | str) -> Column:
+    """Text as a struct: `number` if it is one, else `text` as it stands; both null for null and for the empty text."""
+    c = F.col(c) if isinstance(c, str) else c
+    number = number_of(c)
+    return F.struct(number.alias("number"), F.when(number.isNull() & (c != ""), c).alias("text"))
+
+
 def renamed(df: DataFrame) -> DataFrame:
     """Column names in lower case, with _ for spaces."""
     return df.toDF(*(c.strip().lower().replace(" ", "_") for c in df.columns))
