@@ -47,6 +47,8 @@ FIRST_ROOTS = 6
 #: Sets compared exhaustively, and sets (of about 300 bytes) whose node one task branches.
 SMALL, LOCAL = 64, 1 << 17
 PIVOTS = 4
+#: Pairs whose signatures are compared at once.
+ROWS = 1 << 16
 MAX_DEPTH = 40
 #: Sets on a side of a block, and their shingles together (a set of more is a side of its own).
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
@@ -131,6 +133,12 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _similarities(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows a with the rows b, a bounded number of signatures at a time."""
+    parts = [_similarity(sig[a[at : at + ROWS]], sig[b[at : at + ROWS]]) for at in range(0, len(a), ROWS)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def _fit(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     """Whether sets of these sizes can be that similar at all."""
     return np.minimum(a, b) >= share * np.maximum(a, b)
@@ -145,7 +153,7 @@ def _exhaustive(node: np.ndarray, rows: np.ndarray, sig: np.ndarray, comp: np.nd
         if not len(i):
             break
         i = i[(comp[rows[i]] != comp[rows[i + d]]) & _fit(n[rows[i]], n[rows[i + d]], share)]
-        e = _similarity(sig[rows[i]], sig[rows[i + d]])
+        e = _similarities(sig, rows[i], rows[i + d])
         ok = e >= least
         a.append(i[ok])
         b.append(i[ok] + d)
