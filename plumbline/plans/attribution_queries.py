@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from plumbline.functions.lineage import Written
 from plumbline.operators import attribution, categories, compare, drift, importance, inference, mergeable, models, reliability, sampling, selection
 from plumbline.operators.ranking import spearman
 from plumbline.plans.registry import query
-from plumbline.plans.tables import DRAW_SQL, LINE_KEY, LINES_SQL, PHI_SQL, attributions, lines
+from plumbline.plans.tables import DRAW_SQL, LINE_KEY, LINES_SQL, PHI_SQL, attributions, lines, orders
 
 # -- attribution metrics ----------------------------------------------------------------------
 
@@ -113,6 +113,21 @@ def _(read):
     return phi.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.abs("phi")).alias("mean_abs"))
 
 
+def _stability(read, **how):
+    """Orders explained by a logistic model: per feature the mean and the spread of its metrics over the ladder of pools."""
+    factory = lambda: LogisticRegression(maxIter=20)
+    got = models.AttributionStability(model_factory=factory, **how).fit(orders(read), ["o_totalprice", "o_custkey"], "target", ["o_orderkey"])
+    return got["features"]
+
+
+_STABLE = "feature ~rank_stability ~wasserstein ~js_divergence ~direction_consistency ~magnitude_cv ~magnitude_iqr ~wasserstein_std ~magnitude_cv_std ~complexity_score"
+
+
+@query("attribution_stability", _STABLE)
+def _(read):
+    return _stability(read)
+
+
 @query("category_attribution", "feature n ~mean_abs ~low ~high", f"""
     WITH l AS ({LINES_SQL}), g AS (SELECT l_shipmonth, avg(target) AS m, count(*) AS n FROM (SELECT *, CASE WHEN month(l_shipdate) <= 6 THEN 'first' ELSE 'second' END AS l_shipmonth FROM l) GROUP BY l_shipmonth), a AS (SELECT avg(target) AS m FROM l)
     SELECT 'half' AS feature, sum(n)::BIGINT AS n, sum(n * abs(g.m - a.m)) / sum(n) AS mean_abs, min(g.m - a.m) AS low, max(g.m - a.m) AS high FROM g, a""")
