@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that a task holds before it writes them out: several tasks share a heap.
 BLOCK = 8 << 20
+#: Spark's setting of how small a task of a shuffle's reader may be.
+_LEAST = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 _local: dict[str, str] = {}
 
 
@@ -48,7 +50,12 @@ class Written:
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.number}"
         self.number += 1
-        df.write.option("parquet.block.size", BLOCK).parquet(path)
+        before = self.spark.conf.get(_LEAST, None)
+        self.spark.conf.set(_LEAST, "64k")  # else a small table is a file or two, and what reads it as many tasks
+        try:
+            df.write.option("parquet.block.size", BLOCK).parquet(path)
+        finally:
+            self.spark.conf.set(_LEAST, before) if before else self.spark.conf.unset(_LEAST)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
