@@ -18,7 +18,7 @@ from plumbline.functions.rng import draw
 from plumbline.operators import checks, mergeable, sampling
 from plumbline.operators.analyzer import StabilityAnalyzer
 from plumbline.operators.mergeable import Statistic
-from plumbline.operators.ranking import average_rank_of_rows, buckets_for
+from plumbline.operators.ranking import HASH_ROWS, average_rank_of_rows, buckets_for, dealt
 
 #: Statistics that stay in SQL, from a resample's counts.
 STATISTICS = ("mean", "median", "std", "sum", "min", "max")
@@ -59,11 +59,13 @@ def bootstrap_values(df: DataFrame, value: str | Sequence[str], stat: str | Stat
         each = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
         drawn = each.withColumn("cnt", sampling.poisson_weight(1.0, seed, "ci", F.col("r"), *hashed)).filter("cnt > 0").select("r", *names, "cnt")
     else:
-        numbered = sampling.number_rows(rows, keys or names, buckets=buckets_for(n), name="slot", backend=backend)
+        numbered = sampling.number_rows(rows, keys or names, buckets=buckets_for(n, HASH_ROWS), name="slot", backend=backend)
         blocks = df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("r"))
-        draws = blocks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 65536)))).withColumn("i", F.explode(F.sequence(F.col("b") * 65536, F.least(F.lit(n - 1), (F.col("b") + 1) * 65536 - 1))))
+        blocks = dealt(blocks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 65536)))), "r", "b")
+        draws = blocks.withColumn("i", F.explode(F.sequence(F.col("b") * 65536, F.least(F.lit(n - 1), (F.col("b") + 1) * 65536 - 1))))
         slot = F.pmod(draw(seed, "ci", F.col("r"), F.col("i"), backend=backend), F.lit(n)).cast("long")
-        drawn = draws.groupBy("r", slot.alias("slot")).agg(F.count("*").alias("cnt")).join(numbered.select("slot", *names), "slot").select("r", *names, "cnt")
+        # without the hint, the planner takes the draws for as few as the resamples, and broadcasts them
+        drawn = draws.select("r", slot.alias("slot")).join(numbered.select("slot", *names).hint("shuffle_hash"), "slot").select("r", *names, F.lit(1).alias("cnt"))
     return _each(drawn, names, stat)
 
 
