@@ -1,9 +1,11 @@
 """Steps whose rows multiply: what they broadcast, and that leaving out buckets changes no rank."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import inference, mergeable, sampling
+from plumbline.operators import inference, marginal, mergeable, sampling
 from plumbline.operators.ranking import hash_rank
 
 
@@ -42,3 +44,33 @@ def test_ranks_below_a_size_are_those_of_all(rows, buckets):
     some = hash_rank(own, ["g", "size"], "_h", ["k"], buckets=buckets, below="size")
     assert sorted(map(tuple, some.select("k", "rank").collect())) == sorted(map(tuple, whole.select("k", "rank").collect()))
     assert some.count() == 3 * 55  # a group whose key is null is one
+
+
+@pytest.fixture(scope="module")
+def samples(spark):
+    r = spark.range(4000)
+    return r.select((F.col("id") % 40).cast("string").alias("k"), (F.xxhash64("id") % 1000).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit(2).alias("cnt"))
+
+
+def test_kernels_get_rows_by_group(spark, samples):
+    """Else every batch holds rows of most groups, and each gives an array of the grid for nearly every row."""
+    ref = spark.createDataFrame([(str(g), -1000.0, 1000.0, 50.0) for g in range(40)], "k string, low double, high double, bandwidth double")
+    got = marginal.densities(samples, ["k"], ref, ["k"], grid=20)
+    below = plan(got).split("MapInArrow", 1)[1]
+    assert "Sort [k" in below.split("Exchange", 1)[0]
+    own = {(r["k"], r["g"]): r["p"] for r in got.collect()}
+    xs = {}
+    for r in samples.collect():
+        xs.setdefault(r["k"], []).append(r["x"])
+    for g in ("0", "39"):
+        k = [sum(math.exp(-0.5 * ((-1000 + 2000 * i / 19 - x) / 50) ** 2) for x in xs[g]) for i in range(20)]
+        assert [own[g, i] for i in range(20)] == pytest.approx([v / sum(k) for v in k], rel=1e-9)
+
+
+def test_cut_groups_give_the_same_totals(samples):
+    rows = samples.withColumn("f", F.lit("a"))
+    assert marginal.cuts_of(rows, ["f"]) is None
+    cuts = marginal.cuts_of(rows, ["f"], each=300)
+    by = ["f", "k"]
+    as_rows = lambda df: sorted(map(tuple, df.select(*by, "x", "c", "e", "below", "m", "events", "n_values").collect()))
+    assert as_rows(marginal.value_table(rows, by, cuts, ["f"])) == as_rows(marginal.value_table(rows, by))
