@@ -23,7 +23,7 @@ from plumbline.functions.side_by_side import side_by_side
 from plumbline.operators import attribution, sampling
 from plumbline.operators.categories import is_nominal, prepare_categorical, supports_categorical
 from plumbline.operators.importance import ranking_metrics
-from plumbline.operators.ranking import buckets_for, hash_rank
+from plumbline.operators.ranking import HASH_ROWS, buckets_for, hash_rank
 
 
 def linear_attributions(df: DataFrame, coefficients: dict[str, float], sample: str) -> DataFrame:
@@ -308,7 +308,7 @@ class AttributionStability:
         if self.eval_set_strategy == "holdout":
             n = rows.count()
             hashed = rows.withColumn("_h", draw(self.random_state, "eval", F.col("_row")))
-            marked = hold(hash_rank(hashed, [], "_h", ["_row"], "_rank", buckets_for(n)).withColumn("_eval", F.col("_rank") < int(n * self.eval_set_size)).drop("_h", "_rank"))
+            marked = hold(hash_rank(hashed, [], "_h", ["_row"], "_rank", buckets_for(n, HASH_ROWS)).withColumn("_eval", F.col("_rank") < int(n * self.eval_set_size)).drop("_h", "_rank"))
             train, held = marked.filter(~F.col("_eval")).drop("_eval"), marked.filter("_eval").drop("_eval")
         model = self._model().fit(assemble(train, features, target))
         return rows, train, held, hold(explain(held, model, features, "_row", self.explainer_type)), model
@@ -330,7 +330,7 @@ class AttributionStability:
             use = drawn.sparkSession.createDataFrame(good, "point int, resample int")
             # rows of different resamples meet by their order in the resample, as positions
             copies = rows_of(drawn.join(F.broadcast(use), ["point", "resample"])).withColumn("_h", draw(self.random_state, "place", F.col("_row"), F.col("_copy")))
-            placed = hash_rank(copies, ["point", "resample"], "_h", ["_row", "_copy"], "sample", buckets_for(max(pools)))
+            placed = hash_rank(copies, ["point", "resample"], "_h", ["_row", "_copy"], "sample", buckets_for(max(pools), HASH_ROWS))
             out = hold(placed.join(phi, "_row").select("point", "resample", "sample", "feature", "phi"))
             failed = []
         else:
@@ -355,9 +355,9 @@ class AttributionStability:
         plan = [(i * self.n_resamples + r, 0, int(size)) for i, size in enumerate(pools) for r in range(self.n_resamples)]
         plan = train.sparkSession.createDataFrame(plan, "pool int, draw_no int, pool_size long")
         numbered = sampling.number_rows(train.select("_row"), ["_row"], name="row_id")
-        pooled = sampling.draw_pools(numbered, plan, [], self.random_state, buckets=buckets_for(max(pools)))
+        pooled = sampling.draw_pools(numbered, plan, [], self.random_state, buckets=buckets_for(max(pools), sampling.POOL_ROWS))
         slots = sampling.draw_resamples(plan, [], 1, self.resample_frac, self.random_state).select("pool", "slot", "cnt")
-        picked = pooled.join(slots, ["pool", "slot"])
+        picked = pooled.hint("shuffle_hash").join(slots, ["pool", "slot"])  # slots come from a row a pool: not to be broadcast
         return picked.select(F.floor(F.col("pool") / self.n_resamples).cast("int").alias("point"), (F.col("pool") % self.n_resamples).alias("resample"), "_row", "cnt")
 
 

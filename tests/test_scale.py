@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import inference, marginal, mergeable, sampling
+from plumbline.operators import inference, marginal, mergeable, models, sampling
 from plumbline.operators.ranking import hash_rank
 
 
@@ -74,3 +74,11 @@ def test_cut_groups_give_the_same_totals(samples):
     by = ["f", "k"]
     as_rows = lambda df: sorted(map(tuple, df.select(*by, "x", "c", "e", "below", "m", "events", "n_values").collect()))
     assert as_rows(marginal.value_table(rows, by, cuts, ["f"])) == as_rows(marginal.value_table(rows, by))
+
+
+def test_slots_of_attributions_are_not_broadcast(rows):
+    numbered = rows.select(F.col("k").alias("_row")).localCheckpoint()
+    got = models.AttributionStability(n_resamples=3).drawn(numbered, [100, 3000])
+    assert "ShuffledHashJoin" in plan(got)
+    sizes = got.groupBy("point", "resample").agg(F.sum("cnt").alias("n")).groupBy("point", "n").count()
+    assert sorted(map(tuple, sizes.collect())) == [(0, 80, 3), (1, 2400, 3)]
