@@ -15,7 +15,9 @@ SMALL sets are outside the largest component compares those with all its sets,
 so a large group of copies costs its size and not its square. What the later trees
 compare with pivots, or with the sets outside, is confirmed in blocks: a few sets
 against up to BLOCK others, each full set once in a block and not once in a pair,
-and a set's link with a component is given once. In the later trees
+and a set's link with a component is given once. The blocks of the nodes that one task
+branches are merged, so a set is in few of them however many nodes it was in, and
+is compared with the sets that it met in one of those. In the later trees
 every other set of a larger node branches, whatever it is like. Those trees are
 independent: a link between different components is missed only if all miss it.
 Nodes that MAX_DEPTH choices did not part are compared in blocks, all with all.
@@ -53,8 +55,9 @@ MAX_DEPTH = 40
 #: Sets on a side of a block, and their shingles together (a set of more is a side of its own).
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 
-#: Candidates: a pair (a, b); or with a block's number, the set a of the block, on the side of the few or not.
-CANDIDATES = "a long, b long, block long, few boolean, comp long"
+#: Candidates: a pair (a, b); or with a block's number, the set a of the block, on the side of the few or not,
+#: and the numbers of what it was met in there: sets without one in common are not candidates.
+CANDIDATES = "a long, b long, block long, few boolean, comp long, met array<int>"
 
 #: Ids, components and sizes of sets.
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -202,12 +205,43 @@ def _blocks(key: int, few: Sets, many: Sets, other: np.ndarray) -> list[tuple[np
     return out
 
 
+def _merged(key: int, blocks: list[tuple[np.ndarray, ...]], id_: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """As few blocks as hold the candidates of those given, in which a set stands once on a side; with
+    the numbers of the given ones that it was in, as counts and end to end. n: sizes of the sets id_."""
+    if not blocks:
+        return []
+    ids, _, few, comp = map(np.concatenate, zip(*blocks))
+    number = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])
+    order = np.argsort(id_)
+    size = n[order][np.searchsorted(id_[order], ids)]
+
+    def sides(rows: np.ndarray) -> Iterator[np.ndarray]:
+        _, first, of = np.unique(ids[rows], return_index=True, return_inverse=True)
+        by = np.argsort(first)  # what was met together stays together
+        place = np.argsort(by)[of]
+        for s in _sides(size[rows[first[by]]]):
+            yield rows[(s.start <= place) & (place < s.stop)]
+
+    out, salt = [], tk.mix(np.array([key], np.int64).view(np.uint64))[0]
+    for i in sides(np.flatnonzero(few)):
+        for j in sides(np.flatnonzero(~few & np.isin(number, number[i]))):
+            at = np.concatenate([i[np.isin(number[i], number[j])], j])
+            at = at[np.lexsort((number[at], ids[at], ~few[at]))]
+            start = np.flatnonzero(np.append(True, (np.diff(ids[at]) != 0) | np.diff(few[at])))
+            got, side = ids[at[start]], few[at[start]]
+            ends = np.array([got[0], got[side.sum()]], np.int64).view(np.uint64)
+            block = np.full(len(got), tk.mix(tk.mix(ends[:1] + salt) + ends[1:]).view(np.int64)[0])
+            out.append((got, block, side, comp[at[start]], np.diff(np.append(start, len(at))), number[at]))
+    return out
+
+
 def _candidate_batch(a: np.ndarray, b: np.ndarray, blocks: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Rows of CANDIDATES: pairs, then the sets of blocks."""
-    ids, block, few, comp = map(np.concatenate, zip(*blocks)) if blocks else (np.zeros(0, np.int64),) * 4
+    ids, block, few, comp, count, number = map(np.concatenate, zip(*blocks)) if blocks else (np.zeros(0, np.int64),) * 6
+    met = pa.ListArray.from_arrays(pa.array(tk.prefix(count).astype(np.int32)), pa.array(number, pa.int32()))
     join = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(len(a), t), pa.array(y, t) if y is not None else pa.nulls(len(ids), t)])
-    columns = [join(a, ids, pa.int64()), join(b, None, pa.int64()), join(None, block, pa.int64()), join(None, few.astype(bool), pa.bool_()), join(None, comp, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "block", "few", "comp"])
+    columns = [join(a, ids, pa.int64()), join(b, None, pa.int64()), join(None, block, pa.int64()), join(None, few.astype(bool), pa.bool_()), join(None, comp, pa.int64()), pa.concat_arrays([pa.nulls(len(a), met.type), met])]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "block", "few", "comp", "met"])
 
 
 def _children(hashed: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -279,7 +313,8 @@ def _node_pairs(rows: DataFrame, least: float, share: float, like: float, spanni
             leaves, a, b, more = _descend(int(key[first[k]]), np.arange(first[k], first[k] + size[k]), id_, sig, comp, n, least, share, like, spanning)
             left += a
             right += b
-            blocks += more
+            own = slice(first[k], first[k] + size[k])
+            blocks += _merged(int(key[first[k]]), more, id_[own], n[own])
             nodes += leaves
             at += [np.full(len(x), len(size) + len(at) + i) for i, x in enumerate(leaves)]
         a, b = _exhaustive(np.concatenate(at), np.concatenate(nodes), sig, comp, n, least, share, spanning)
@@ -336,7 +371,8 @@ def _branch(rows: DataFrame, least: float, share: float, like: float, spanning:
                 _, first, group = np.unique(same, return_index=True, return_inverse=True)
                 for g, r in enumerate(first):
                     own, few = np.flatnonzero(group == g), slice(start[r], start[r] + size[r])
-                    blocks += _blocks(int(key[r]), (p_id[few], p_comp[few], p_n[few]), (id_[own], comp[own], n[own]), mask[own, : few.stop - few.start])
+                    more = _blocks(int(key[r]), (p_id[few], p_comp[few], p_n[few]), (id_[own], comp[own], n[own]), mask[own, : few.stop - few.start])
+                    blocks += _merged(int(key[r]), more, np.append(p_id[few], id_[own]), np.append(p_n[few], n[own]))
             got = _candidate_batch(id_[owner[use]], p_id[use], blocks)
             yield got.append_column("child", pa.nulls(len(got), pa.int64()))
             (go_a, key_a), (go_b, key_b) = _children(tk.mix(key.view(np.uint64)), sig)
@@ -393,11 +429,12 @@ def _candidates(sets: DataFrame, roots: range, least: float, share: float, like:
     for more in found[1:]:
         got = got.unionByName(more)
     ends = F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")  # a set of a block has no b
-    return got.select(*ends, "block", "few", "comp").filter("b is null or a != b").distinct()
+    return got.select(*ends, "block", "few", "comp", "met").filter("b is null or a != b").distinct()
 
 
 def _links_of(block: pa.Table, percent: int) -> pa.Table:
-    """Links between the few and the many of a block, whose full sets are compared: each of the few with one of each other component."""
+    """Links between the few and the many of a block, whose full sets are compared if they were met together
+    (without `met`, all are): each of the few with one of each other component."""
     block = block.combine_chunks()
     id_, comp, few = (block.column(c).to_numpy() for c in ("a", "comp", "few"))
     grams = block.column("grams").combine_chunks()
@@ -407,14 +444,26 @@ def _links_of(block: pa.Table, percent: int) -> pa.Table:
     values, code = np.unique(grams.flatten().to_numpy(), return_inverse=True)
     offsets = offsets - offsets[0]
     few = few.astype(bool)
-    many = np.flatnonzero(~few)
-    of_many = code[np.repeat(~few, n)]
-    starts = tk.prefix(n[many])[:-1]
-    a, b = [], []
+    number, at = np.zeros(len(few), np.int64), np.arange(len(few) + 1)
+    if "met" in block.column_names:
+        met = block.column("met").combine_chunks()
+        met = met.chunk(0) if isinstance(met, pa.ChunkedArray) else met
+        number, at = met.flatten().to_numpy(), met.offsets.to_numpy() - met.offsets[0].as_py()
+    owner = np.repeat(np.arange(len(few)), np.diff(at))
+    order = np.argsort(number, kind="stable")
+    order = order[~few[owner[order]]]  # the many, by number
+    keys = number[order]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in np.flatnonzero(few):
         own = np.zeros(len(values), bool)
         own[code[offsets[i] : offsets[i + 1]]] = True
-        common = np.add.reduceat(own[of_many], starts, dtype=np.int64)
+        of = number[at[i] : at[i + 1]]
+        ends = np.searchsorted(keys, of, "left"), np.searchsorted(keys, of, "right")
+        many = np.unique(np.concatenate([owner[order[x:y]] for x, y in zip(*ends)]))
+        if not len(many):
+            continue
+        starts = tk.prefix(n[many])
+        common = np.add.reduceat(own[code[np.repeat(offsets[many] - starts[:-1], n[many]) + np.arange(starts[-1])]], starts[:-1], dtype=np.int64)
         linked = np.flatnonzero((comp[many] != comp[i]) & (common > 0) & (100 * common >= percent * (n[i] + n[many] - common)))
         linked = many[linked[np.unique(comp[many[linked]], return_index=True)[1]]]
         a.append(np.full(len(linked), id_[i]))
@@ -424,7 +473,7 @@ def _links_of(block: pa.Table, percent: int) -> pa.Table:
 
 def _confirm(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Links among CANDIDATES: full sets share at least `percent` hundredths of their union."""
-    pairs, blocks = found.filter("block is null").select("a", "b"), found.filter("block is not null").select("block", "a", "few", "comp")
+    pairs, blocks = found.filter("block is null").select("a", "b"), found.filter("block is not null").select("block", "a", "few", "comp", "met")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(blocks.select(F.col("a").alias("id")))
     wanted = keep(ids.distinct(), "wanted")
 

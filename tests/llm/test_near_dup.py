@@ -186,3 +186,37 @@ def test_what_no_choice_parts_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "MAX_DEPTH", 0)
     monkeypatch.setattr(near_dup._in_blocks, "__defaults__", (16,))
     assert rows_of(near_dup.link(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_merged_blocks_hold_what_met_and_a_set_once(monkeypatch):
+    """A set in many nodes' blocks stands once on a side, and meets the sets of those nodes only."""
+    r = np.random.default_rng(5)
+    n = r.integers(1, 9, 300)
+    blocks, want = [], set()
+    for i in range(60):
+        part = r.choice(300, 40, replace=False)
+        blocks.append((part, np.full(40, i), np.arange(40) < 5, part + 1000))
+        want |= {(int(f), int(m)) for f in part[:5] for m in part[5:]}
+    for most in (4096, 50):
+        monkeypatch.setattr(near_dup, "BLOCK", most)
+        merged = near_dup._merged(7, blocks, np.arange(300), n)
+        met, numbers = set(), []
+        for ids, block, few, comp, count, number in merged:
+            assert (comp == ids + 1000).all() and max(few.sum(), (~few).sum()) <= most
+            assert len(set(zip(ids.tolist(), few.tolist()))) == len(ids)
+            numbers += set(block.tolist())
+            of = [set(x.tolist()) for x in np.split(number, np.cumsum(count)[:-1])]
+            met |= {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(few) for j in np.flatnonzero(~few) if of[i] & of[j]}
+        assert met == want
+        assert len(numbers) == len(merged) == len(set(numbers))
+        if most == 4096:
+            assert len(merged) == 1 and len(merged[0][0]) <= 600  # not 60 * 40
+
+
+def test_links_of_a_block_are_of_sets_that_met():
+    side = [(1, True, [0, 2]), (2, False, [1]), (3, False, [2, 3]), (4, True, [1])]
+    table = pa.table({
+        "a": [i for i, _, _ in side], "few": [f for _, f, _ in side], "comp": [i for i, _, _ in side],
+        "met": pa.array([m for _, _, m in side], pa.list_(pa.int32())), "grams": pa.array([list(range(8 + i)) for i in range(4)], pa.list_(pa.int64())),
+    })
+    assert near_dup._links_of(table, 75).to_pylist() == [{"a": 1, "b": 3}, {"a": 4, "b": 2}]
