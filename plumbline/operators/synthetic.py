@@ -95,28 +95,68 @@ def inject_into(df: DataFrame, kind: InstabilityType | str, corrupted: list[str]
     the rows are. All columns are changed from the values that they had. What is missing
     not at random goes by size against the largest of the values that stay, from one aggregation.
     """
-    kind = InstabilityType(kind)
+    draws = _draws_into(corrupted, keys, seed, backend)
+    out = _injected(InstabilityType(kind), corrupted, names, target, design, seed, _facts(df, corrupted, names, draws, design), draws)
+    return df.withColumns(out | {"_extreme": F.struct(*((draws["pick", f] < design.influential).alias(f) for f in corrupted))})
+
+
+def inject_each(df: DataFrame, kinds: list[str], corrupted: list[str], names: list[str], target: str, keys: list[str], design: Design = Design(), seed: int = 42, backend: str = "xxhash64") -> DataFrame:
+    """Rows (kind, feature, y, x, extreme): the columns of `inject_into` for several kinds, from one pass after that for
+    the facts. All kinds draw alike, so a row's draws are made once."""
+    facts = _facts(df, corrupted, names, _draws_into(corrupted, keys, seed, backend), design)
+    made = {f"_{what}_{f}": c for (what, f), c in _draws_into(corrupted, keys, seed, backend).items()}
+    base = df.select(F.col(target), *names, *(c.alias(n) for n, c in made.items()))
+    draws = {(what, f): F.col(f"_{what}_{f}") for what in _DRAWN for f in corrupted}
+    cells = []
+    for k in kinds:
+        out = _injected(InstabilityType(k), corrupted, names, target, design, seed, facts, draws)
+        for n in names:
+            extreme = draws["pick", n] < design.influential if n in corrupted else F.lit(False)
+            cells.append(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("feature"), out.get(n, F.col(n).cast("double")).alias("x"), extreme.alias("extreme")))
+    return base.select(F.col(target).alias("y"), F.explode(F.array(*cells)).alias("p")).select("p.kind", "p.feature", "y", "p.x", "p.extreme")
+
+
+_DRAWN = ("pick", "size", "gone")
+
+
+def _draws_into(corrupted: list[str], keys: list[str], seed: int, backend: str) -> dict[tuple[str, str], Column]:
+    return {(what, f): uniform(seed, what, f, *(F.col(k) for k in keys), backend=backend) for what in _DRAWN for f in corrupted}
+
+
+def _facts(df: DataFrame, corrupted: list[str], names: list[str], draws: dict[tuple[str, str], Column], design: Design) -> tuple[dict, dict]:
+    """Of each column: mean, spread, and the largest standard scores of all values and of those that stay. None depends on the kind."""
     value = {n: F.col(n).cast("double") for n in names}
     moments = df.agg(*(f(value[n]).alias(f"{f.__name__}_{n}") for n in names for f in (F.avg, F.stddev_pop))).first()  # two numbers a column
-    z = {n: (value[n] - F.lit(moments[f"avg_{n}"] or 0.0)) / F.lit(moments[f"stddev_pop_{n}"] or 1.0) for n in names}
-    row = [F.col(k) for k in keys]
-    picked = {f: uniform(seed, "pick", f, *row, backend=backend) < design.influential for f in corrupted}
+    z = _standard(names, moments.asDict())
+    picked = {f: draws["pick", f] < design.influential for f in corrupted}
     most = df.agg(*(F.max(F.abs(z[n])).alias(f"all_{n}") for n in names), *(F.max(F.when(~picked[f], F.abs(z[f]))).alias(f"left_{f}") for f in corrupted)).first()
+    return moments.asDict(), most.asDict()
+
+
+def _standard(names: list[str], moments: dict) -> dict[str, Column]:
+    return {n: (F.col(n).cast("double") - F.lit(moments[f"avg_{n}"] or 0.0)) / F.lit(moments[f"stddev_pop_{n}"] or 1.0) for n in names}
+
+
+def _injected(kind: InstabilityType, corrupted: list[str], names: list[str], target: str, design: Design, seed: int, facts: tuple[dict, dict], draws: dict[tuple[str, str], Column]) -> dict[str, Column]:
+    """The corrupted columns."""
+    moments, most = facts
+    z = _standard(names, moments)
     side = 2.0 * F.col(target) - 1.0
     out = {}
     for f in corrupted:
-        size = 4 + 4 * uniform(seed, "size", f, *row, backend=backend)
+        picked = draws["pick", f] < design.influential
+        size = 4 + 4 * draws["size", f]
         scale: Column = F.lit(design.shift_magnitude if kind is InstabilityType.DISTRIBUTION_SHIFT else design.noise_scale)
         if kind is InstabilityType.INTERACTION:
             partner = partner_of(names, f, seed)
             scale = (0.5 + F.abs(z[partner]) / F.lit((most[f"all_{partner}"] or 0.0) + 1e-8)) * design.interaction_strength
         extreme = F.lit(moments[f"avg_{f}"] or 0.0) + side * size * scale * F.lit(moments[f"stddev_pop_{f}"] or 1.0)
-        own = F.when(picked[f], extreme).otherwise(value[f])
+        own = F.when(picked, extreme).otherwise(F.col(f).cast("double"))
         if kind is InstabilityType.MNAR:
-            gone = ~picked[f] & (uniform(seed, "gone", f, *row, backend=backend) < F.abs(z[f]) / F.lit(most[f"left_{f}"] or 1.0) * design.missing_fraction)
+            gone = ~picked & (draws["gone", f] < F.abs(z[f]) / F.lit(most[f"left_{f}"] or 1.0) * design.missing_fraction)
             own = F.when(~gone, own)
         out[f] = own
-    return df.withColumns(out | {"_extreme": F.struct(*(picked[f].alias(f) for f in corrupted))})
+    return out
 
 
 def class_gaps(df: DataFrame, names: list[str], target: str, by: list[str] | None = None) -> DataFrame:
