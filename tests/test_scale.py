@@ -1,12 +1,13 @@
 """Steps whose rows multiply: what they broadcast, and that leaving out buckets changes no rank."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import inference, marginal, mergeable, models, sampling
-from plumbline.operators.ranking import hash_rank
+from plumbline.operators.ranking import bucketed, hash_rank, value_cuts
 
 
 def plan(df) -> str:
@@ -82,3 +83,33 @@ def test_slots_of_attributions_are_not_broadcast(rows):
     assert "ShuffledHashJoin" in plan(got)
     sizes = got.groupBy("point", "resample").agg(F.sum("cnt").alias("n")).groupBy("point", "n").count()
     assert sorted(map(tuple, sizes.collect())) == [(0, 80, 3), (1, 2400, 3)]
+
+
+def test_values_are_not_dealt_by_group(spark, samples):
+    """A join of values with a row for each group would bring a group's values to one task."""
+    rows, by = samples.withColumn("f", F.lit("a")), ["f", "k"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        values = marginal.value_table(rows, by, marginal.cuts_of(rows, ["f"], each=300), ["f"])
+        edges = marginal.order_quantiles(values.localCheckpoint(), by, (0.0, 0.25, 0.5, 0.75, 1.0))
+        bins = marginal.binned(rows, edges, by)
+        plans = [plan(values), plan(bins), plan(marginal.value_table(rows, by))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [j for p in plans for j in re.findall(r"(?:SortMerge|ShuffledHash)Join (\[[^]]*\])", p)]
+    assert joins and all("_bucket" in j or "bin" in j for j in joins)
+    xs = {}
+    for r in rows.collect():
+        xs.setdefault(r["k"], []).append((r["x"], r["y"]))
+    q = {r["k"]: r["q"] for r in edges.collect()}
+    want = sorted((k, sum(x >= c for c in sorted(set(q[k]))[1:-1]), y) for k, own in xs.items() for x, y in own for _ in range(2))
+    got = sorted((r["k"], r["bin"], y) for r in bins.collect() for y in (0, 1) for _ in range(r["events"] if y else r["others"]))
+    assert got == want
+
+
+@pytest.mark.parametrize("buckets", [2, 3, 10, 17, 300])
+def test_buckets_found_in_two_steps_are_those_of_all_cuts(samples, buckets):
+    cuts = value_cuts(samples, ["y"], "x", buckets)
+    got = bucketed(samples.select("y", "x"), cuts, ["y"], "x").join(cuts, "y")
+    assert got.filter(F.col("_bucket") != F.size(F.filter("_cuts", lambda c: c < F.col("x")))).count() == 0
+    assert got.select("_bucket").distinct().count() == buckets
