@@ -47,6 +47,15 @@ def test_ranks_below_a_size_are_those_of_all(rows, buckets):
     assert some.count() == 3 * 55  # a group whose key is null is one
 
 
+def test_buckets_beyond_a_pool_are_not_shuffled(spark, rows):
+    pools = spark.createDataFrame([(0, 0, 40)], "pool int, draw_no int, pool_size long")
+    got = sampling.draw_pools(sampling.number_rows(rows, ["k"]).localCheckpoint(), pools, [], 1, buckets=30)
+    assert got.count() == 40
+    below = plan(got).split("Window [row_number", 1)[1]
+    assert re.search(r"BroadcastHashJoin \[[^]]*_bucket", below.split("Exchange", 2)[1])
+    assert re.search(r"Filter [^\n]*< (cast\()?pool_size", below)
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     r = spark.range(4000)
