@@ -56,6 +56,23 @@ def test_buckets_beyond_a_pool_are_not_shuffled(spark, rows):
     assert re.search(r"Filter [^\n]*< (cast\()?pool_size", below)
 
 
+def test_rows_numbered_in_one_task_leave_it_before_they_multiply(spark, rows):
+    """Few rows are numbered in one task, whose partitioning suits any window: all pools would be ranked in it."""
+    numbered = sampling.number_rows(rows, ["k"])
+    pools = spark.createDataFrame([(i, 0, 3000) for i in range(25)], "pool int, draw_no int, pool_size long")
+    pooled = sampling.draw_pools(numbered, pools, [], 1)
+    for got, made in ((pooled, "BroadcastNestedLoopJoin"), (sampling.permuted(numbered, "x", 4, 3), "Generate explode")):
+        exchange = re.search(r"Exchange (\w+)", plan(got).split(made, 1)[1])
+        assert exchange[1] == "hashpartitioning"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = {r["task"]: r["count"] for r in pooled.groupBy(F.spark_partition_id().alias("task")).count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks.values()) == 25 * 3000
+    assert len(tasks) > 1
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     r = spark.range(4000)
