@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -275,18 +274,15 @@ class AttributionStability:
             raise ValueError("no pool holds enough events")
         phi, lost = self.attributions(hold, train, held, model, features, target, pools)
 
-        def of_pool(i: int) -> tuple[DataFrame, DataFrame]:
-            own = phi.filter(F.col("point") == i).drop("point")
-            size = F.lit(int(pools[i])).alias("pool_size")
-            return hold(attribution.all_metrics(own, reference, self.n_bins, self.top_k).select("*", size)), hold(attribution.feature_metrics(own, reference, self.n_bins).select("*", size))
-
-        found = side_by_side(of_pool, [i for i in range(len(pools)) if lost.get(i, 0) < self.n_resamples], self.n_jobs)
-        for error in found:
-            if isinstance(error, Exception):
-                raise error
-        if not found:
+        if all(lost.get(i, 0) >= self.n_resamples for i in range(len(pools))):
             raise ValueError("every resample is of one class, or failed")
-        points, own = (reduce(DataFrame.unionByName, parts) for parts in zip(*found, strict=True))
+        # all pools at once: one pass over their attributions for each metric, not one for each pool
+        by = ["point"]
+        sizes = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(map(int, pools))), "point int, pool_size long"))
+        imp = hold(attribution.importances(phi, by))
+        own = hold(attribution.feature_metrics(phi, reference, self.n_bins, by, imp).join(sizes, by).drop("point"))
+        found = attribution.all_metrics(phi, reference, self.n_bins, self.top_k, ["pool_size"], imp.join(sizes, by).drop("point"), own)
+        points = hold(found.select("metric", "mean", "stderr", "pool_size"))
         fits = hold(attribution.fit_curves(points, r2_threshold=self.r2_threshold))
         score = attribution.score(fits, [], self.weights, self.double_invert).first()["complexity"]
         if score is None:
@@ -326,12 +322,16 @@ class AttributionStability:
         good = [(r["point"], r["resample"]) for r in sides.filter("low < high").orderBy("point", "resample").collect()]  # a row for each resample
         rows_of = lambda rows: rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))))
         if not self.retrain:
-            phi = hold(explain(train, model, features, "_row", self.explainer_type).withColumnRenamed("sample", "_row"))
+            names = [f"p{i}" for i in range(len(features))]
+            each = explain(train, model, features, "_row", self.explainer_type).groupBy("sample").pivot("feature", features).agg(F.first("phi"))
+            wide = hold(each.toDF("_row", *names))  # a row of all features is dealt once
             use = drawn.sparkSession.createDataFrame(good, "point int, resample int")
             # rows of different resamples meet by their order in the resample, as positions
             copies = rows_of(drawn.join(F.broadcast(use), ["point", "resample"])).withColumn("_h", draw(self.random_state, "place", F.col("_row"), F.col("_copy")))
             placed = hash_rank(copies, ["point", "resample"], "_h", ["_row", "_copy"], "sample", buckets_for(max(pools), HASH_ROWS))
-            out = hold(placed.join(phi, "_row").select("point", "resample", "sample", "feature", "phi"))
+            met = hold(placed.join(wide.hint("shuffle_hash"), "_row").select("point", "resample", "sample", *names))
+            pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(n).alias("phi")) for f, n in zip(features, names, strict=True))))
+            out = met.select("point", "resample", "sample", pairs.alias("p")).select("point", "resample", "sample", "p.feature", "p.phi")
             failed = []
         else:
 
@@ -352,13 +352,12 @@ class AttributionStability:
 
     def drawn(self, train: DataFrame, pools: list[int]) -> DataFrame:
         """(point, resample, _row, cnt): the rows of each resample, from a pool of its own."""
-        plan = [(i * self.n_resamples + r, 0, int(size)) for i, size in enumerate(pools) for r in range(self.n_resamples)]
-        plan = train.sparkSession.createDataFrame(plan, "pool int, draw_no int, pool_size long")
-        numbered = sampling.number_rows(train.select("_row"), ["_row"], name="row_id")
-        pooled = sampling.draw_pools(numbered, plan, [], self.random_state, buckets=buckets_for(max(pools), sampling.POOL_ROWS))
-        slots = sampling.draw_resamples(plan, [], 1, self.resample_frac, self.random_state).select("pool", "slot", "cnt")
-        picked = pooled.hint("shuffle_hash").join(slots, ["pool", "slot"])  # slots come from a row a pool: not to be broadcast
-        return picked.select(F.floor(F.col("pool") / self.n_resamples).cast("int").alias("point"), (F.col("pool") % self.n_resamples).alias("resample"), "_row", "cnt")
+        n = train.count()
+        plan = [(n, i * self.n_resamples + r, 0, size) for i, size in enumerate(pools) for r in range(self.n_resamples)]
+        numbered = sampling.number_rows(train.select("_row"), ["_row"], name="row_id", buckets=buckets_for(n, HASH_ROWS))
+        picked = sampling.resampled_rows(train.sparkSession, plan, 1, self.resample_frac, self.random_state).filter("c0 > 0")
+        met = picked.join(numbered.hint("shuffle_hash"), "row_id")  # picked rows come from a row a pool: not to be broadcast
+        return met.select(F.floor(F.col("pool") / self.n_resamples).cast("int").alias("point"), (F.col("pool") % self.n_resamples).alias("resample"), "_row", F.col("c0").cast("long").alias("cnt"))
 
 
 def predictions(model: Model, df: DataFrame, features: list[str], target: str) -> DataFrame:
