@@ -152,15 +152,17 @@ class MetaBootstrap:
         keys = list(rows_key or df.columns)
         split = self.splits(df, keys)
         named = [*keys, *(["_copy"] if "_copy" in split.columns else [])]
-        long = checks.to_long_with(split.withColumn("_key", F.xxhash64(*named)), features, target, ["split", "_key", *[k for k in named if k not in features]])
         # a feature in a split is a key of one panel, with its own rows, ladder, kernels and fits
-        panel = StabilityAnalyzer(**settings).fit_long(long.withColumn("feature", F.concat_ws(":", "split", "feature")).drop("split"), target)
+        hold = Written(df.sparkSession)
+        split = hold(split.select("split", *dict.fromkeys([*named, *features, *([target] if target else [])])))
+        panel = StabilityAnalyzer(**settings).fit_sets(split.withColumn("_key", F.xxhash64(*named)), target, features, ["_key", *[k for k in named if k not in features]], "split")
         key = F.col("feature")
         scores = panel.complexity_scores.select(
             F.substring_index(key, ":", 1).cast("int").alias("split"), F.expr("substring(feature, instr(feature, ':') + 1)").alias("feature"), "overall", "target_agnostic", "target_dependent"
         )
         scores = Written(df.sparkSession)(scores)
         panel.release()
+        hold.release()
         long = scores.select("split", "feature", F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in ("overall", "target_agnostic", "target_dependent")))).alias("p")).select("split", "feature", "p.category", "p.score")
         report = t_intervals(scores, ["feature"], "overall", self.ci_level, self.skip_null).orderBy(F.asc_nulls_last("mean"), "feature")
         return {"report": report, "by_category": t_intervals(long, ["feature", "category"], "score", self.ci_level, self.skip_null), "scores": scores, "skipped": panel.skipped}
@@ -193,14 +195,15 @@ class PermutationBaseline:
         features = [features] if isinstance(features, str) else list(features)
         settings = {"n_resamples": 10, "random_state": self.random_state} | settings
         keys = rows_key or df.columns
-        numbered = sampling.number_rows(df.select(*dict.fromkeys([*keys, *features, target])), keys, name="_row").persist()
-        wide = numbered.select("_row", target, *features)
-        for f in features:
-            dealt = sampling.permuted(numbered.select("_row", f), f, self.n_permutations, self.random_state, "_row")
-            # one column per permutation: each is one more feature of the same panel
-            columns = dealt.groupBy("_row").pivot("permutation", list(range(1, self.n_permutations + 1))).agg(F.first(f))
-            columns = columns.select("_row", *(F.col(str(i)).alias(f"{f}@{i}") for i in range(1, self.n_permutations + 1)))
-            wide = wide.join(columns, "_row")
+        hold = Written(df.sparkSession)
+        rows = df.select(*dict.fromkeys([*keys, *features, target]))
+        numbered = hold(sampling.number_rows(rows, keys, name="_row").select(F.col("_row").cast("long").alias("_row"), target, *features))
+        # a permutation deals all features alike, so a row's values travel together; a column for each is one more feature of the panel
+        every = range(1, self.n_permutations + 1)
+        to = sampling.permuted_rows(df.sparkSession, numbered.count(), self.n_permutations, self.random_state)
+        dealt = to.join(numbered.select(F.col("_row").alias("source"), *features).hint("shuffle_hash"), "source")
+        columns = dealt.repartition("row_id").groupBy(F.col("row_id").alias("_row")).agg(*(F.first(F.when(F.col("permutation") == i, F.col(f)), True).alias(f"{f}@{i}") for f in features for i in every))
+        wide = hold(numbered.join(columns, "_row"))
         names = [*features, *(f"{f}@{i}" for f in features for i in range(1, self.n_permutations + 1))]
         panel = StabilityAnalyzer(**settings).fit_panel(wide, target, names, ["_row"])
         scores = panel.complexity_scores.select(F.split("feature", "@")[0].alias("name"), F.split("feature", "@").alias("parts"), F.col(category).alias("score"))

@@ -1,10 +1,14 @@
 """All pools and resamples in one pass: the same draws and metrics as one by one."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.rng import draw, draws_of_range
+from plumbline.functions.lineage import Written
 from plumbline.operators import attribution, marginal, sampling
+from plumbline.operators.analyzer import StabilityAnalyzer
 
 
 def test_draws_in_a_task_are_those_of_the_plan(spark):
@@ -67,3 +71,50 @@ def test_metrics_of_all_pools_are_those_of_each(phi):
 
 def own_columns(row) -> list[str]:
     return [c for c in row.asDict() if c != "feature"]
+
+
+def test_permuted_rows_are_the_dealt_values(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "PART_SLOTS", 40)
+    rows = spark.range(100).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x"))
+    want = {(r["permutation"], r["row_id"], r["x"]) for r in sampling.permuted(rows, "x", 3, 5).collect()}
+    assert {(r["permutation"], r["row_id"], 2 * r["source"]) for r in sampling.permuted_rows(spark, 100, 3, 5).collect()} == want
+
+
+def test_samples_side_by_side_are_those_one_by_one(spark):
+    by = ["feature", "pool"]
+    side = spark.range(60).select(F.lit("a").alias("feature"), (F.col("id") % 2).alias("pool"), (F.col("id") * 7 % 31).cast("double").alias("x"), (F.col("id") % 5).alias("c0"), (F.col("id") % 3).alias("c1"), *(F.lit(v).alias(n) for n, v in (("f0_below", 0.25), ("f0_upto", 0.5))))
+    side = side.withColumns({"e0": F.least("c0", F.lit(1)), "e1": F.col("c1") - F.least("c1", F.lit(1))}).localCheckpoint()
+    draws = marginal.draws_side_by_side(side, by, 2).localCheckpoint()
+    as_rows = lambda d: sorted(tuple(r.asDict().items()) for r in d.collect())
+    columns = [*by, "r", "x", "f0_below", "f0_upto", "c", "e", "below", "m", "events", "n_values"]
+    want = as_rows(marginal.value_table(draws, [*by, "r"], carry=["f0_below", "f0_upto"]).select(columns))
+    for buckets in (1, 4):
+        assert as_rows(marginal.values_side_by_side(side, by, 2, buckets).select(columns)) == want
+    ref = spark.createDataFrame([("a", 0.0, 30.0, 4.0)], "feature string, low double, high double, bandwidth double")
+    key = lambda d: {(r["pool"], r["r"], r["g"]): r["p"] for r in d.collect()}
+    assert key(marginal.densities(side, by, ref, ["feature"], 9, 2)) == pytest.approx(key(marginal.densities(draws, [*by, "r"], ref, ["feature"], 9)), abs=1e-12)
+
+
+def test_features_with_missing_values_keep_rows_of_their_own(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") * 1.5).alias("holes"), (F.col("id") % 50 + 0.5).alias("whole"), (F.col("id") % 2).alias("y"))
+    settings = {"n_resamples": 2, "n_points": 3}
+    both = StabilityAnalyzer(**settings).fit_panel(df, "y", ["holes", "whole"], ["id"])
+    assert both.pools["holes"][-1] == 200 and both.pools["whole"][-1] == 300
+    got = {r["feature"]: r["overall"] for r in both.complexity_scores.collect()}
+    for f in got:
+        one = StabilityAnalyzer(**settings).fit_panel(df, "y", [f], ["id"])
+        assert got[f] == pytest.approx(one.complexity_scores.first()["overall"], abs=1e-9)
+        one.release()
+    both.release()
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    files = lambda: {f for d in glob.glob(f"{spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0]}/*") for f in glob.glob(f"{d}/shuffle_*.data")}
+    had = files()
+    hold = Written(spark)
+    table = hold(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count())
+    assert files() <= had
+    assert table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    hold.release()
