@@ -12,10 +12,14 @@ from plumbline.functions.numeric import clean
 from plumbline.operators.ranking import average_rank, running_totals, spearman
 
 
-def ranking_metrics(df: DataFrame, by: list[str], label: str, score: str, buckets: int | None = None) -> DataFrame:
-    """Per group: auc (ties one half), gini, ks, brier. Empty groups do not appear; one class gives auc .5 and ks 0."""
+def ranking_metrics(df: DataFrame, by: list[str], label: str, score: str, buckets: int | None = None, weight: str | None = None) -> DataFrame:
+    """Per group: auc (ties one half), gini, ks, brier. Empty groups do not appear; one class gives auc .5 and ks 0.
+
+    weight: a column of how many rows each row stands for.
+    """
+    one = F.col(weight) if weight else F.lit(1)
     counts = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"),
+        F.sum(F.when(F.col(label) == 1, one).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(one)).alias("n"),
     )
     totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     c = running_totals(counts, by, score, ["p", "n"], buckets)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ from plumbline.operators.importance import gram, ranking_metrics
 
 #: Pivots below this share of a column's own square mean that the chosen columns determine it.
 DETERMINED = 1e-9
+#: Rows of a kind on average from which equal rows are counted once before models are fitted.
+REPEATS = 8
 
 
 class GrowingFactor:
@@ -76,13 +78,24 @@ def inflations(cross: np.ndarray, chosen: Sequence[int]) -> list[float]:
     return out
 
 
-def fold_models(df: DataFrame, columns: Sequence[str], target: str, k: int, fold: str = "fold", most: int = 25, ridge: float = 1e-8, close: float = 1e-8) -> np.ndarray:
-    """Logistic coefficients (k, 1 + columns), intercept first: model f of the rows whose fold is not f. Nulls count as 0."""
-    d = len(columns) + 1
+def _counted(df: DataFrame, columns: Sequence[str], target: str, fold: str) -> tuple[DataFrame, bool]:
+    """Rows (fold, y, x0, x1, ..., cnt), nulls as 0; equal ones once with their number, and kept, where there are at least REPEATS of a kind."""
     x = [F.coalesce(clean(c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)]
     rows = df.select(F.col(fold).cast("int").alias("fold"), F.col(target).cast("double").alias("y"), *x)
-    facts = rows.agg(*(f(f"x{i}") for i in range(d - 1) for f in (F.avg, F.stddev_pop))).first()  # two numbers a column
-    mean, sd = np.array(facts[::2], float), np.array(facts[1::2], float)
+    kinds = F.approx_count_distinct(F.xxhash64(*rows.columns))  # decides what is counted, and changes no result
+    n, different = rows.agg(F.count("*"), kinds).first()
+    if different * REPEATS > n:
+        return rows.withColumn("cnt", F.lit(1).cast("long")), False
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("cnt")).persist(), True
+
+
+def _fitted(rows: DataFrame, d: int, k: int, most: int, ridge: float, close: float) -> np.ndarray:
+    """`fold_models` of `_counted` rows; d: columns and intercept."""
+    weight, names = F.col("cnt"), [f"x{i}" for i in range(d - 1)]
+    facts = rows.agg(F.sum(weight), *(F.sum(weight * F.col(n)) for n in names)).first()  # a number a column
+    mean = np.array(facts[1:], float) / facts[0]
+    spread = rows.agg(*(F.sum(weight * F.pow(F.col(n) - F.lit(float(m)), 2)) for n, m in zip(names, mean, strict=True))).first()
+    sd = np.sqrt(np.array(spread, float) / facts[0])
     sd = np.where(sd > 0, sd, 1.0)
     beta = np.zeros((k, d))
 
@@ -90,19 +103,21 @@ def fold_models(df: DataFrame, columns: Sequence[str], target: str, k: int, fold
         def run(batches):
             out = np.zeros((k, d + d * d))
             for b in batches:
-                z = np.column_stack([np.ones(len(b)), (b.iloc[:, 2:].to_numpy(float) - mean) / sd])
-                y, own = b["y"].to_numpy(), b["fold"].to_numpy()
-                for f in range(k):
-                    at = own != f
-                    p = 1 / (1 + np.exp(-np.clip(z[at] @ current[f], -35, 35)))
-                    out[f, :d] += z[at].T @ (y[at] - p)
-                    out[f, d:] += ((z[at].T * (p * (1 - p))) @ z[at]).ravel()
-            yield pd.DataFrame({"f": np.repeat(np.arange(k), d + d * d), "i": np.tile(np.arange(d + d * d), k), "s": out.ravel()})
+                own, y, cnt, *x = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "y", "cnt", *names))
+                for a in range(0, len(y), 4096):
+                    at = slice(a, a + 4096)
+                    z = np.column_stack([np.ones(len(y[at])), *((v[at] - m) / s for v, m, s in zip(x, mean, sd, strict=True))])
+                    # a row counts for the models of all folds but its own
+                    trains = (own[at, None] != np.arange(k)) * cnt[at, None]
+                    p = 1 / (1 + np.exp(-np.clip(z @ current.T, -35, 35)))
+                    out[:, :d] += (trains * (y[at, None] - p)).T @ z
+                    out[:, d:] += (trains * p * (1 - p)).T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), d * d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k, dtype=np.int32), d + d * d)), pa.array(np.tile(np.arange(d + d * d, dtype=np.int32), k)), pa.array(out.ravel())], names=["f", "i", "s"])
 
         return run
 
     for _ in range(most):
-        total = rows.mapInPandas(sums(beta.copy()), "f int, i int, s double").groupBy("f", "i").agg(F.sum("s").alias("s")).toPandas()  # squares of the columns, for each fold
+        total = rows.mapInArrow(sums(beta.copy()), "f int, i int, s double").groupBy("f", "i").agg(F.sum("s").alias("s")).toPandas()  # squares of the columns, for each fold
         table = np.zeros((k, d + d * d))
         table[total["f"], total["i"]] = total["s"]
         step = np.stack([np.linalg.solve(t[d:].reshape(d, d) + ridge * np.eye(d), t[:d]) for t in table])
@@ -115,15 +130,28 @@ def fold_models(df: DataFrame, columns: Sequence[str], target: str, k: int, fold
     return out
 
 
+def fold_models(df: DataFrame, columns: Sequence[str], target: str, k: int, fold: str = "fold", most: int = 25, ridge: float = 1e-8, close: float = 1e-8) -> np.ndarray:
+    """Logistic coefficients (k, 1 + columns), intercept first: model f of the rows whose fold is not f. Nulls count as 0."""
+    rows, kept = _counted(df, columns, target, fold)
+    beta = _fitted(rows, len(columns) + 1, k, most, ridge, close)
+    if kept:
+        rows.unpersist()
+    return beta
+
+
 def fold_auc(df: DataFrame, columns: Sequence[str], target: str, k: int, fold: str = "fold") -> float:
     """Mean area under the curve of held-out folds; one half without columns."""
     if not columns:
         return 0.5
-    beta = fold_models(df, columns, target, k, fold)
-    of = lambda i: F.element_at(F.array(*(F.lit(float(b)) for b in beta[:, i])), F.col(fold) + 1)
-    score = sum((of(i + 1) * F.coalesce(clean(c), F.lit(0.0)) for i, c in enumerate(columns)), of(0))
-    scored = df.select(F.col(fold), F.col(target).cast("int").alias("label"), (1 / (1 + F.exp(-score))).alias("score"))
-    return ranking_metrics(scored, [fold], "label", "score").agg(F.avg("auc")).first()[0] or 0.5
+    rows, kept = _counted(df, columns, target, fold)
+    beta = _fitted(rows, len(columns) + 1, k, 25, 1e-8, 1e-8)
+    of = lambda i: F.element_at(F.array(*(F.lit(float(b)) for b in beta[:, i])), F.col("fold") + 1)
+    score = sum((of(i + 1) * F.col(f"x{i}") for i in range(len(columns))), of(0))
+    scored = rows.select("fold", F.col("y").cast("int").alias("label"), (1 / (1 + F.exp(-score))).alias("score"), "cnt")
+    auc = ranking_metrics(scored, ["fold"], "label", "score", weight="cnt").agg(F.avg("auc")).first()[0] or 0.5
+    if kept:
+        rows.unpersist()
+    return auc
 
 
 def forward_selection(df: DataFrame, candidates: Sequence[str], evaluate: Callable[[list[str]], float], gain: float = 0.003, more: float = 0.005, high: float = 5.0, most: float = 10.0) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rng import draw, draws_of_range
 from plumbline.functions.lineage import Written
-from plumbline.operators import attribution, marginal, sampling
+from plumbline.operators import attribution, marginal, sampling, selection
 from plumbline.operators.analyzer import StabilityAnalyzer
 
 
@@ -118,3 +118,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert table.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
     hold.release()
+
+
+def test_equal_rows_are_counted_once_before_models_are_fitted(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 3).cast("int").alias("fold"), (F.xxhash64("id") % 7 > F.col("id") % 5 - 2).cast("int").alias("y"), (F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("b"))
+    rows, kept = selection._counted(df, ["a", "b"], "y", "fold")
+    assert kept and rows.count() <= 3 * 2 * 5 * 4 and rows.agg(F.sum("cnt")).first()[0] == 4000
+    rows.unpersist()
+    some = selection.fold_models(df, ["a", "b"], "y", 3), selection.fold_auc(df, ["a", "b"], "y", 3)
+    monkeypatch.setattr(selection, "REPEATS", 10**9)
+    assert not selection._counted(df, ["a", "b"], "y", "fold")[1]
+    assert some[0] == pytest.approx(selection.fold_models(df, ["a", "b"], "y", 3), abs=1e-9)
+    assert some[1] == pytest.approx(selection.fold_auc(df, ["a", "b"], "y", 3), abs=1e-9)
